@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import minhash
+from lodestone.llm import jump, minhash, mixing, ordinal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,25 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, grade) from the labels: 0 toxic, 1 of low quality, 2 good; rows without a full label are left out."""
+    labels = _table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
+    return labels.selectExpr("doc_id", "CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END AS grade")
+
+
+@_query
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return ordinal.graded(docs, ordinal.fit_on(docs, ratings(spark, sf_dir)))
+
+
+@_query
+def op4_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    made = mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "blocks.shard")
+    return made.withColumnRenamed("shard", "shards")
+
+
 @_query
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -46,3 +65,9 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
        d.doc_id = least(d.doc_id, coalesce(comp.low, d.doc_id)) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.doc_id = d.doc_id
 """
+
+
+@_query
+def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = jump.sharded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
