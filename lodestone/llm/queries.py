@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import jump, minhash, mixing, ordinal
+from lodestone.llm import jump, minhash, mixing, ordinal, spaced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,37 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.doc_i
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = jump.sharded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@_query
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _decontamination_sql() -> str:
+    def seeds(source: str, key: str) -> str:
+        return " UNION ALL ".join(
+            f"SELECT {key}, {k} AS mask, i - 1 AS at, array_to_string([{', '.join(f'h[i + {m}]' for m in mask)}], ' ') AS seed FROM (SELECT {key}, h, unnest(generate_series(1, len(h) - {mask[-1]})) AS i FROM {source} WHERE len(h) > {mask[-1]})"
+            for k, mask in enumerate(spaced.MASKS)
+        )
+
+    def toks(key: str, table: str) -> str:
+        return rf"SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS h FROM {table}"
+
+    return f"""
+WITH d AS ({toks('doc_id', 'documents')}), b AS ({toks('item_id', 'benchmark')}),
+ds AS ({seeds('d', 'doc_id')}), bs AS ({seeds('b', 'item_id')}),
+hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.at - bs.at AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+agree AS (
+  SELECT doc_id, item_id, shift, least({spaced.WINDOW}, len(b.h)) AS w,
+    list_transform(generate_series(1, len(b.h)), lambda j: CASE WHEN j + shift BETWEEN 1 AND len(d.h) AND d.h[j + shift] = b.h[j] THEN 1 ELSE 0 END) AS a
+  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
+), best AS (
+  SELECT doc_id, item_id, w, list_max(list_transform(generate_series(1, len(a) - w + 1), lambda s: list_sum(a[s:s + w - 1]))) AS matched FROM agree
+)
+SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(max(w) AS BIGINT) AS "window"
+FROM best WHERE matched * 100 >= w * {spaced.PERCENT} GROUP BY doc_id, item_id
+"""
+
+
+ORACLES["op10_spaced_seed_decontamination"] = _decontamination_sql()
