@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import jump, minhash, mixing, ordinal, spaced
+from lodestone.llm import jump, minhash, mixing, ordinal, spaced, urlmodel, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,11 @@ def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.graded(docs, ordinal.fit_on(docs, ratings(spark, sf_dir)))
 
 
+@_query
+def op3_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlmodel.filtered(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op4_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -40,6 +45,11 @@ def op4_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumnRenamed("shard", "shards")
 
 
+@_query
+def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
