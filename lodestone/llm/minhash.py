@@ -24,8 +24,8 @@ from lodestone.runtime import small, store
 
 #: 42 bands of 6 bins: a pair at similarity 0.8 shares no bucket with probability 3e-6.
 BINS, BANDS, ROWS = 256, 42, 6
-#: Documents in a block of a bucket that is compared completely.
-BLOCK = 100
+#: Documents and shingles in a block of a bucket that is compared completely, about.
+BLOCK, BLOCK_SHINGLES = 400, 400_000
 _PROBE = np.random.RandomState(77).randint(0, BINS, (BINS, 4096))
 
 
@@ -134,11 +134,12 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
         return np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(vocabulary, np.concatenate(sets))
 
     (ri, ci), (rj, cj) = rows(left), rows(right)
-    for at in range(0, len(vocabulary), 8192):
+    run = 4096
+    for at in range(0, len(vocabulary), run):
         parts = []
         for r, c, n in ((ri, ci, len(left)), (rj, cj, len(right))):
-            inside = (c >= at) & (c < at + 8192)
-            m = np.zeros((n, 8192), np.float32)
+            inside = (c >= at) & (c < at + run)
+            m = np.zeros((n, run), np.float32)
             m[r[inside], c[inside] - at] = 1
             parts.append(m)
         out += parts[0] @ parts[1].T
@@ -215,7 +216,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = crowd.select("bucket", "n", "b").join(parts, "b", "left").withColumn("comp", F.coalesce("comp", "b"))
     open_buckets = placed.groupBy("bucket", "n").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.xxhash64("b").bitwiseAND((1 << 40) - 1)).alias("same")).where("low <> high")
     open_buckets = open_buckets.groupBy("n", "same", "low", "high").agg(F.min("bucket").alias("bucket")).select("bucket")
-    blocks = placed.join(open_buckets, "bucket").withColumn("of", F.ceil(F.col("n") / BLOCK).cast("long"))
+    opened = store(placed.join(open_buckets, "bucket"))
+    weight = opened.join(sets.select(F.col("id").alias("b"), (F.octet_length("shingles") / 8).alias("w")), "b").groupBy("bucket").agg(F.sum("w").alias("w"))
+    parts_of = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("long")
+    blocks = opened.join(weight, "bucket").withColumn("of", parts_of)
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("b"), "of")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
     blocks = blocks.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("b").alias("id"), "comp")
     blocks = blocks.join(sets, "id")
