@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import jump, minhash, mixing, ordinal, spaced, urlmodel, warc
+from lodestone.llm import covertree, jump, minhash, mixing, ordinal, spaced, urlmodel, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,30 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op1_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+ORACLES["op1_cover_tree_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT a AS vec_id, b AS other FROM links
+  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), low AS (SELECT vec_id, min(other) AS low FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(low.low, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(low.low, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON n.vec_id = e.vec_id LEFT JOIN low ON low.vec_id = e.vec_id
+"""
+
+
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, grade) from the labels: 0 toxic, 1 of low quality, 2 good; rows without a full label are left out."""
     labels = _table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
