@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.runtime import BROADCAST_ROWS, store
 
-#: Hashed positions of a run, the first and last included.  Any run of 12 tokens with one
+#: Hashed positions of a run, the first and last included, as many in every mask.  Any run of 12 tokens with one
 #: substitution, and nearly all with two, holds one of the masks unharmed.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 2, 3, 4, 7), (0, 1, 4, 6, 8))
 #: An item leaks where a stretch of this many of its tokens (all, if it has fewer) agrees in this percentage.
@@ -25,7 +25,7 @@ WINDOW, PERCENT = 20, 80
 
 def tokens(text: Column) -> Column:
     """The lower-cased runs of letters and digits; none for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _hashes(text: Column) -> Column:
@@ -34,16 +34,13 @@ def _hashes(text: Column) -> Column:
 
 def _seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
     """A row per mask and start that fits: `at` and the seed's hash, beside the columns of `rows` with array `h`."""
-    spans = [m[-1] + 1 for m in masks]
-    starts = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.size("h") * len(masks) - 1))).where("size(h) > 0")
-    at = F.expr(f"run div {len(masks)}").cast("int")
-    which = F.expr(f"run % {len(masks)}").cast("int")
-    seed, fits = F.lit(None).cast("long"), F.lit(False)
-    for k, mask in enumerate(masks):
-        value = F.xxhash64(F.lit(k), *[F.get("h", at + i) for i in mask])
-        seed = F.when(which == k, value).otherwise(seed)
-        fits = F.when(which == k, at + spans[k] <= F.size("h")).otherwise(fits)
-    return starts.where(fits).withColumns({"at": at, "seed": seed}).drop("run")
+    # explode_outer, and no filter before it: a filter would be pushed below the hashing and do it twice.
+    starts = rows.withColumn("run", F.explode_outer(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") * len(masks) - 1))))
+    at, which = F.expr(f"run div {len(masks)}").cast("int"), F.expr(f"run % {len(masks)}").cast("int")
+    # The masks' offsets are looked up in constant arrays: an expression per mask would make code too long to be compiled.
+    offset = [F.get(F.array(*[F.lit(m[k]) for m in masks]), which) for k in range(len(masks[0]))]
+    seed = F.xxhash64(which, *[F.get("h", at + o) for o in offset])
+    return starts.where(at + offset[-1] < F.size("h")).withColumns({"at": at, "seed": seed}).drop("run")
 
 
 def leaks(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
@@ -69,16 +66,14 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...]
     hits = hits.select("doc_id", "h", "at", F.explode("places").alias("p")).select("doc_id", "h", "p.number", (F.col("at") - F.col("p.item_at")).alias("shift"))
     tests = tests.select("number", "item_ids", F.col("h").alias("item"))
     beside = hits.join(F.broadcast(tests) if tests.count() <= BROADCAST_ROWS // 100 else tests, "number")
-    agree = F.transform("item", lambda t, j: F.when(F.get("h", j + F.col("shift")) == t, 1).otherwise(0))
-    width = F.least(F.lit(window), F.size("item"))
-    found = beside.select("doc_id", "item_ids", agree.alias("agree"), width.alias("window"))
-    stretch = "transform(sequence(1, size(agree) - window + 1), s -> aggregate(slice(agree, s, window), 0, (n, x) -> n + x))"
-    found = found.withColumn("matched", F.array_max(F.expr(stretch))).where(F.col("matched") * 100 >= F.col("window") * percent)
-    return (
-        found.select("doc_id", F.explode("item_ids").alias("item_id"), "matched", "window")
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"))
-    )
+    # One expression, bound once: the flags of agreeing tokens, and their largest sum over a stretch.
+    best = """transform(array(transform(item, (t, j) -> if(get(h, j + shift) = t, 1, 0))), agree ->
+        aggregate(sequence(0, size(agree) - 1), named_struct('sum', 0, 'best', 0), (s, j) -> transform(
+            array(s.sum + agree[j] - if(j < window, 0, agree[greatest(j - window, 0)])), n -> named_struct('sum', n, 'best', greatest(s.best, n)))[0], s -> s.best))[0]"""
+    flagged = beside.withColumn("window", F.least(F.lit(window), F.size("item"))).select("doc_id", "number", "window", F.expr(best).alias("matched"))
+    found = flagged.groupBy("doc_id", "number", "window").agg(F.max("matched").alias("matched")).where(F.col("matched") * 100 >= F.col("window") * percent)
+    named = found.join(tests.select("number", F.explode("item_ids").alias("item_id")), "number")
+    return named.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
