@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import covertree, jump, minhash, mixing, ordinal, spaced, urlmodel, warc
+from lodestone.llm import attention, covertree, jump, minhash, mixing, ordinal, spaced, urlmodel, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,6 +101,11 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.doc_i
 """
 
 
+@_query
+def op8_attention_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.scored(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = jump.sharded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
