@@ -164,3 +164,19 @@ def graded(docs: DataFrame, model: Model, least: float = 0.6) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+
+
+def kept_documents(docs: DataFrame, model: Model, least: float = 0.6) -> DataFrame:
+    """The rows of `docs` that `graded` keeps, all columns as they are."""
+    weights, thresholds = model.weights.astype(np.float32), model.thresholds
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Model(weights, thresholds)
+        for batch in batches:
+            sets = list(features(batch.column(at)))
+            bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
+            tails = scorer.tails(np.concatenate(sets) if sets else np.zeros(0, np.int32), bounds)
+            yield batch.filter(pa.array(tails[:, -1] >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import attention, covertree, jump, minhash, mixing, ordinal, spaced, urlmodel, warc
+from lodestone.llm import attention, chat, covertree, jump, minhash, mixing, ordinal, spaced, urlmodel, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,6 +101,11 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.doc_i
 """
 
 
+@_query
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(_table(spark, sf_dir, "conversations"))
+
+
 @_query
 def op8_attention_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention.scored(_table(spark, sf_dir, "documents"))
@@ -144,3 +149,10 @@ FROM best WHERE matched * 100 >= w * {spaced.PERCENT} GROUP BY doc_id, item_id
 
 
 ORACLES["op10_spaced_seed_decontamination"] = _decontamination_sql()
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
