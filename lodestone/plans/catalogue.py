@@ -1,6 +1,626 @@
-"""The registry of the evaluation and retrieval queries."""
+"""The registry of the retrieval, evaluation and data-building queries, and their SQL.
+
+The tables stand in for the roles of a claim-verification corpus: documents are
+the corpus, benchmark items the claims, embeddings a dense corpus whose rows with an id divisible by 100 are the
+queries, labels the gold verdicts (toxic contradicts, low quality is insufficient), events a request log.
+Predictions are fixed functions of a document's size: the queries exercise operators, not models.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import parsing, vectors
+from lodestone.functions import text as T
+from lodestone.operators import latency, metrics, retrieval, sampling, statistics, validation
+from lodestone.runtime import store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Dense retrieval
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranking, relevance, vectors): every vector whose id is divisible by 100 against all others."""
+    rows = _table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    corpus = rows.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    ranking = retrieval.dense_topk(queries, corpus, k)
+    relevance = queries.select("query_id", "label").join(corpus.select("doc_id", "label"), "label").select("query_id", "doc_id")
+    return ranking, relevance, corpus
+
+
+_DENSE = """
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 100 = 0),
+c AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 100 <> 0),
+s AS (SELECT query_id, doc_id, round(list_dot_product(q.v, c.v), 9) AS score FROM q, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s),
+rel AS (SELECT query_id, doc_id FROM q JOIN c ON q.label = c.label)"""
+
+_IR = """
+, pos AS (SELECT query_id, count(DISTINCT doc_id) AS n_pos FROM rel GROUP BY 1),
+h AS (SELECT r.query_id, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END) AS dcg, count(*) FILTER (rank <= 10) AS h10,
+        count(*) FILTER (rank <= 100) AS h100, min(rank) FILTER (rank <= 10) AS first
+      FROM r JOIN (SELECT DISTINCT query_id, doc_id FROM rel) USING (query_id, doc_id) WHERE rank <= 100 GROUP BY 1),
+m AS (SELECT pos.query_id, coalesce(dcg / list_sum(list_transform(generate_series(1, least(10, n_pos)), lambda i: 1 / log2(i + 1))), 0) AS ndcg_10,
+        coalesce(h10 / n_pos, 0) AS recall_10, coalesce(h100 / n_pos, 0) AS recall_100, coalesce(1.0::DOUBLE / first, 0) AS mrr_10
+      FROM pos LEFT JOIN h USING (query_id))
+SELECT count(*) AS n_queries, round(avg(ndcg_10), 9) AS ndcg_10, round(avg(recall_10), 9) AS recall_10, round(avg(recall_100), 9) AS recall_100, round(avg(mrr_10), 9) AS mrr_10 FROM m"""
+
+
+def _means(each: DataFrame) -> DataFrame:
+    return each.agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 9).alias(c) for c in ("ndcg_10", "recall_10", "recall_100", "mrr_10")])
+
+
+@_query(_DENSE + "SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 100")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir, 100)[0].select("query_id", "doc_id", "score", "rank")
+
+
+@_query(_DENSE + _IR)
+def dense_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranking, relevance, _ = _dense(spark, sf_dir, 100)
+    return _means(metrics.ir_metrics(ranking, relevance))
+
+
+@_query(_DENSE + """, p AS (SELECT query_id, min(doc_id) AS doc_id FROM rel GROUP BY 1),
+x AS (SELECT p.query_id, CASE WHEN rank IS NULL OR rank > 100 THEN NULL ELSE rank END AS rank FROM p LEFT JOIN r USING (query_id, doc_id))
+SELECT CASE WHEN rank = 1 THEN '1' WHEN rank <= 10 THEN '2-10' WHEN rank <= 100 THEN '11-100' ELSE '>100' END AS bucket, count(*) AS n,
+  count(*) FILTER (rank IS NULL) AS absent, sum(coalesce(rank, 101))::BIGINT AS rank_sum FROM x GROUP BY 1""")
+def positive_rank_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranking, relevance, _ = _dense(spark, sf_dir, 100)
+    first = relevance.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    each = first.join(ranking, ["query_id", "doc_id"], "left")
+    return each.groupBy(retrieval.rank_buckets(F.col("rank")).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("rank").isNull()).alias("absent"), F.sum(F.coalesce("rank", F.lit(101))).cast("bigint").alias("rank_sum"))
+
+
+@_query(_DENSE + """, t AS (SELECT r.query_id, r.doc_id, rank, round(list_dot_product(q.v[1:8], c.v[1:8]), 9) AS second FROM r JOIN q USING (query_id) JOIN c USING (doc_id) WHERE rank <= 100)
+SELECT query_id, doc_id, rank, second, CASE WHEN rank <= 10 THEN row_number() OVER (PARTITION BY query_id, rank <= 10 ORDER BY second DESC, rank) ELSE rank END AS new_rank FROM t""")
+def rerank_prefix_keep_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranking, _, corpus = _dense(spark, sf_dir, 100)
+    rows = _table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.slice("embedding", 1, 8).alias("a"))
+    pairs = ranking.join(F.broadcast(queries), "query_id").join(corpus.select("doc_id", F.slice("vector", 1, 8).alias("b")), "doc_id")
+    second = pairs.select("query_id", "doc_id", F.round(vectors.dot(F.col("a"), F.col("b")), 9).alias("second"))
+    return retrieval.reranked_prefix(ranking.select("query_id", "doc_id", "rank"), second, 10).select("query_id", "doc_id", "rank", "second", "new_rank")
+
+
+_PRINT = "md5(array_to_string(list_transform(CAST({v} AS DOUBLE[]), lambda x: CAST(round(x * 1000) AS BIGINT)), ','))"
+
+
+@_query(_DENSE + f""", f AS (SELECT doc_id, {_PRINT.format(v='v')} AS fp FROM c),
+k AS (SELECT DISTINCT query_id, fp FROM rel JOIN f USING (doc_id)),
+l AS (SELECT r.query_id, r.doc_id, r.rank, f.fp, row_number() OVER (PARTITION BY r.query_id, f.fp ORDER BY r.rank) AS n FROM r JOIN f USING (doc_id)
+  WHERE r.rank <= 50 AND NOT EXISTS (SELECT 1 FROM rel WHERE rel.query_id = r.query_id AND rel.doc_id = r.doc_id) AND NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = r.query_id AND k.fp = f.fp)),
+o AS (SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS negative FROM l WHERE n = 1)
+SELECT * FROM o WHERE negative <= 5""")
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranking, relevance, corpus = _dense(spark, sf_dir, 50)
+    thousandths = F.transform(F.col("vector").cast("array<double>"), lambda x: F.round(x * 1000).cast("bigint").cast("string"))
+    prints = corpus.select("doc_id", F.md5(F.array_join(thousandths, ",")).alias("fingerprint"))
+    return retrieval.hard_negatives(ranking, relevance, prints, 5)
+
+
+@_query(_DENSE + """SELECT query_id, arg_min(doc_id, md5('7|' || query_id || '|' || doc_id)) AS doc_id FROM q JOIN c ON q.label <> c.label
+WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rank <= 10 AND r.query_id = q.query_id AND r.doc_id = c.doc_id) GROUP BY 1""")
+def random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranking, _, corpus = _dense(spark, sf_dir, 10)
+    queries = _table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    # The stated queries against every row; a task keeps one row a query.
+    pairs = corpus.select("doc_id", "label").crossJoin(F.broadcast(queries)).where("label <> own").join(F.broadcast(ranking.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_anti")
+    return pairs.groupBy("query_id").agg(F.min(F.struct(T.seeded_order(7, F.col("query_id"), F.col("doc_id")), "doc_id"))["doc_id"].alias("doc_id"))
+
+
+@_query(_DENSE + """, b AS (SELECT r.*, CASE WHEN rank = 1 THEN 'B' ELSE 'C' END AS pool, EXISTS (SELECT 1 FROM rel WHERE rel.query_id = r.query_id AND rel.doc_id = r.doc_id) AS annotated FROM r WHERE rank <= 10)
+SELECT pool, count(*) AS n, count(*) FILTER (score <= 0.66) AS accepted, round(min(score), 6) AS low, round(max(score), 6) AS high FROM b WHERE NOT annotated GROUP BY 1""")
+def rank_band_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranking, relevance, _ = _dense(spark, sf_dir, 10)
+    pools = ranking.join(relevance, ["query_id", "doc_id"], "left_anti").withColumn("pool", F.when(F.col("rank") == 1, "B").otherwise("C"))
+    return pools.groupBy("pool").agg(F.count("*").alias("n"), F.count_if(F.col("score") <= 0.66).alias("accepted"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"))
+
+
+# Lexical retrieval
+
+_TOK = r"regexp_extract_all(lower(coalesce({t}, '')), '[\p{{L}}\p{{N}}_]+')"
+_BM25 = f"""
+WITH d AS (SELECT doc_id, {_TOK.format(t='text')} AS t FROM documents),
+z AS (SELECT count(*) AS n, avg(len(t)) AS ml FROM d),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM d) GROUP BY 1),
+i AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, z),
+e AS (SELECT avg(idf) AS mean FROM i),
+w AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM i, e),
+a AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK.format(t='text')}) AS term FROM benchmark) GROUP BY 1, 2),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY 1, 2),
+s AS (SELECT query_id, tf.doc_id, round(sum(times * w.idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.t) / ml))), 9) AS score FROM tf JOIN w USING (term) JOIN a USING (term) JOIN d ON d.doc_id = tf.doc_id, z GROUP BY 1, 2),
+al AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT * FROM s UNION ALL SELECT item_id, doc_id, 0 FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100)) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM al),
+rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.bm25_topk(queries, _table(spark, sf_dir, "documents").select("doc_id", "text"), 100)
+
+
+def _containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id): the documents that hold an item's text, found by its first five tokens and then compared whole."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")).where("item IS NOT NULL")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(F.broadcast(items), F.contains(docs["text"], items["item"])).select("query_id", "doc_id")
+
+
+@_query(_BM25 + "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 100")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@_query(_BM25 + _IR)
+def bm25_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _means(metrics.ir_metrics(_bm25(spark, sf_dir), _containment(spark, sf_dir)))
+
+
+@_query(r"""SELECT fp AS fingerprint, count(*) AS copies, min(doc_id) AS first_doc FROM
+(SELECT doc_id, sha256(trim(regexp_replace(lower(concat_ws(' ', lang, text)), '\s+', ' ', 'g'))) AS fp FROM documents) GROUP BY 1 HAVING count(*) > 1""")
+def content_fingerprint_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("lang"), F.col("text")).alias("fingerprint"))
+    return docs.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+# Leakage grouping and splits
+
+_SIMILAR = f"""
+WITH RECURSIVE s AS (SELECT doc_id, list_distinct({_TOK.format(t="replace(lower(text), 'ß', 'ss')")}) AS t FROM documents),
+k AS (SELECT t, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(t) AS t FROM s WHERE len(t) > 0) GROUP BY t),
+x AS (SELECT rep, len(t) AS n, unnest(t) AS w FROM k),
+p AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.w = b.w AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT rep, doc_id FROM (SELECT doc_id, list_sort(t) AS t FROM s WHERE len(t) > 0) JOIN k USING (t) WHERE rep <> doc_id),
+w2 AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a AS id, b AS other FROM w2 UNION SELECT r.id, w2.b FROM reach r JOIN w2 ON r.other = w2.a),
+g AS (SELECT d.doc_id AS id, least(d.doc_id, coalesce(min(other), d.doc_id)) AS group_id FROM documents d LEFT JOIN reach ON reach.id = d.doc_id GROUP BY d.doc_id)"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))).alias("items"))
+    return store(sampling.similar_sets(docs, 80))
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(sampling.leakage_groups(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), _links(spark, sf_dir)))
+
+
+@_query(_SIMILAR + "SELECT a, b FROM l")
+def jaccard_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir)
+
+
+@_query(_SIMILAR + "SELECT id, group_id FROM g")
+def leakage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, sf_dir)
+
+
+@_query()
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.group_split(_groups(spark, sf_dir), 0.2, 17)
+
+
+# Passages
+
+
+@_query(r"""WITH p AS (SELECT doc_id, i - 1 AS sentence_index, t[i] AS text FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))),
+s AS (SELECT doc_id, sentence_index, len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS score FROM p WHERE trim(text) <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sentence_index) AS rank FROM s)
+SELECT doc_id, sentence_index::BIGINT AS sentence_index, score::BIGINT AS score, rank FROM r WHERE rank <= 3""")
+def sentence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = retrieval.sentence_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = rows.select("doc_id", F.col("sentence_index").cast("bigint").alias("sentence_index"), F.size(F.array_distinct(T.tokens(F.col("text")))).cast("bigint").alias("score"))
+    return retrieval.ranked(scored, 3, by="doc_id", doc="sentence_index").select("doc_id", "sentence_index", "score", "rank")
+
+
+@_query("""WITH c AS (SELECT item_id, doc_id, len(string_split(d.text, chr(10))) AS n_lines FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+SELECT item_id, arg_min(doc_id, n_lines * 1000000000000 + doc_id) AS doc_id, min(n_lines)::BIGINT AS n_lines, count(*) AS n_candidates FROM c GROUP BY 1""")
+def best_rationale_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
+    found = _containment(spark, sf_dir).join(docs, "doc_id")
+    best = found.groupBy(F.col("query_id").alias("item_id")).agg(F.min(F.struct("n_lines", "doc_id")).alias("m"), F.count("*").alias("n_candidates"))
+    return best.select("item_id", "m.doc_id", "m.n_lines", "n_candidates")
+
+
+# Verdicts
+
+_GOLD = "CASE WHEN toxic = 1 THEN 'CONTRADICT' WHEN quality = 0 THEN 'INSUFFICIENT' ELSE 'SUPPORT' END"
+_A = f"CASE WHEN n_chars % 11 = 0 THEN 'INVALID' WHEN n_chars % 5 = 0 THEN 'CONTRADICT' WHEN n_chars % 7 = 0 THEN 'INSUFFICIENT' ELSE {_GOLD} END"
+_B = f"CASE WHEN n_chars % 13 = 0 THEN 'INVALID' WHEN n_chars % 4 = 0 THEN 'SUPPORT' WHEN n_chars % 9 = 0 THEN 'INSUFFICIENT' ELSE {_GOLD} END"
+_V = f"WITH v AS (SELECT l.doc_id, d.lang, d.source, d.n_chars, {_GOLD} AS gold, {_A} AS predicted, {_B} AS other FROM labels l JOIN documents d USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return labels.join(docs, "doc_id").selectExpr("doc_id", "lang", "source", "n_chars", f"{_GOLD} AS gold", f"{_A} AS predicted", f"{_B} AS other")
+
+
+def _f1_sql(by: str, predicted: str = "predicted") -> str:
+    return f"""
+, lab AS (SELECT unnest(['SUPPORT', 'CONTRADICT', 'INSUFFICIENT']) AS label),
+t AS (SELECT {by}, label, count(*) FILTER (gold = label AND {predicted} = label) AS tp, count(*) FILTER (gold = label) AS support, count(*) FILTER ({predicted} = label) AS said, count(*) AS total FROM v, lab GROUP BY {by}, label),
+f AS (SELECT *, coalesce(tp / nullif(said, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall, coalesce(2 * tp / nullif(said + support, 0), 0) AS f1 FROM t)"""
+
+
+@_query(_V + _f1_sql("lang") + """SELECT lang, label, support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1,
+round(sum(f1) OVER (PARTITION BY lang) / 3, 9) AS macro_f1, round(sum(tp) OVER (PARTITION BY lang) / total, 9) AS accuracy FROM f""")
+def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = metrics.classification(_verdicts(spark, sf_dir), ("lang",))
+    return each.select("lang", "label", "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "macro_f1", "accuracy")])
+
+
+@_query(_V + """, g AS (SELECT DISTINCT lang FROM v), lab AS (SELECT unnest(['SUPPORT', 'CONTRADICT', 'INSUFFICIENT']) AS gold),
+pr AS (SELECT gold AS predicted FROM lab UNION SELECT predicted FROM v)
+SELECT g.lang, lab.gold, pr.predicted, count(v.doc_id) AS n FROM g CROSS JOIN lab CROSS JOIN pr LEFT JOIN v ON v.lang = g.lang AND v.gold = lab.gold AND v.predicted = pr.predicted GROUP BY 1, 2, 3""")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(_verdicts(spark, sf_dir), ("lang",))
+
+
+def _length_band(n: Column) -> Column:
+    return F.when(n < 500, "short").when(n < 5000, "medium").otherwise("long")
+
+
+@_query(_V + """, b AS (SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'medium' ELSE 'long' END AS band, (gold = predicted)::INT AS hit FROM v)
+SELECT band, count(*) AS n, round(avg(hit), 9) AS accuracy FROM b GROUP BY 1 UNION ALL SELECT 'all', count(*), round(avg(hit), 9) FROM b""")
+def conditional_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _verdicts(spark, sf_dir).select(_length_band(F.col("n_chars")).alias("band"), (F.col("gold") == F.col("predicted")).cast("int").alias("hit"))
+    return rows.rollup("band").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 9).alias("accuracy")).withColumn("band", F.coalesce("band", F.lit("all")))
+
+
+@_query(_V + """SELECT CASE WHEN predicted = gold THEN 'correct' WHEN predicted = 'INVALID' THEN 'invalid output' WHEN gold = 'INSUFFICIENT' THEN 'overclaimed'
+WHEN predicted = 'INSUFFICIENT' THEN 'missed verdict' ELSE 'wrong side' END AS category, count(*) AS n FROM v GROUP BY 1""")
+def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, said = F.col("gold"), F.col("predicted")
+    category = F.when(said == gold, "correct").when(said == "INVALID", "invalid output").when(gold == "INSUFFICIENT", "overclaimed").when(said == "INSUFFICIENT", "missed verdict").otherwise("wrong side")
+    return _verdicts(spark, sf_dir).groupBy(category.alias("category")).agg(F.count("*").alias("n"))
+
+
+@_query(_V + """, c AS (SELECT source, (predicted = gold)::INT - (other = gold)::INT AS diff, predicted = gold AS a, other = gold AS b FROM v)
+SELECT source, count(*) FILTER (diff > 0) AS improved, count(*) FILTER (diff = 0) AS unchanged, count(*) FILTER (diff < 0) AS degraded, count(*) FILTER (a AND b) AS both_right,
+count(*) FILTER (NOT a AND NOT b) AS both_wrong, round(avg(diff), 9) AS mean_difference FROM c GROUP BY 1""")
+def paired_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("predicted") == F.col("gold"), F.col("other") == F.col("gold")
+    rows = _verdicts(spark, sf_dir).select("source", a.alias("a"), b.alias("b"), (a.cast("int") - b.cast("int")).alias("diff"))
+    rows = rows.withColumn("kind", statistics.sign_class(F.col("diff")))
+    return rows.groupBy("source").agg(
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("improved", "unchanged", "degraded")],
+        F.count_if(F.col("a") & F.col("b")).alias("both_right"), F.count_if(~F.col("a") & ~F.col("b")).alias("both_wrong"), F.round(F.avg("diff"), 9).alias("mean_difference"),
+    )
+
+
+_DISCORDANT = _V + """, c AS (SELECT source, count(*) FILTER (predicted = gold AND other <> gold) AS b, count(*) FILTER (predicted <> gold AND other = gold) AS c FROM v GROUP BY 1),
+m AS (SELECT source, b, c, CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(generate_series(0, least(b, c)), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))) END AS p FROM c)"""
+
+
+def _mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("predicted") == F.col("gold"), F.col("other") == F.col("gold")
+    counts = _verdicts(spark, sf_dir).groupBy("source").agg(F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c"))
+    return counts.withColumn("p", statistics.mcnemar(F.col("b"), F.col("c")))
+
+
+@_query(_DISCORDANT + "SELECT source, b, c, round(p, 8) AS p FROM m")
+def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mcnemar(spark, sf_dir).withColumn("p", F.round("p", 8))
+
+
+@_query(_DISCORDANT + """, s AS (SELECT source, p, row_number() OVER (ORDER BY p, source) AS i, count(*) OVER () AS n FROM m)
+SELECT source, round(p, 8) AS p, round(max(least(1, (n - i + 1) * p)) OVER (ORDER BY p, source ROWS UNBOUNDED PRECEDING), 8) AS holm FROM s""")
+def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.holm(_mcnemar(spark, sf_dir).select("source", "p")).select("source", F.round("p", 8).alias("p"), F.round("holm", 8).alias("holm"))
+
+
+@_query(_V + f""", c AS (SELECT lang, count(*) FILTER (predicted = gold)::DOUBLE AS k, count(*)::DOUBLE AS n, {statistics.Z} AS z FROM v GROUP BY 1)
+SELECT lang, k::BIGINT AS k, n::BIGINT AS n, round((k / n + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n)) / (1 + z * z / n), 9) AS low,
+round((k / n + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n)) / (1 + z * z / n), 9) AS high FROM c""")
+def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _verdicts(spark, sf_dir).groupBy("lang").agg(F.count_if(F.col("predicted") == F.col("gold")).alias("k"), F.count("*").alias("n"))
+    low, high = statistics.wilson(F.col("k"), F.col("n"))
+    return counts.select("lang", "k", "n", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of the two systems gathered by source and length: the clusters that are resampled."""
+    diff = (F.col("predicted") == F.col("gold")).cast("int") - (F.col("other") == F.col("gold")).cast("int")
+    return _verdicts(spark, sf_dir).groupBy("source", (F.col("n_chars") % 50).alias("part")).agg(F.sum(diff).cast("double").alias("total"), F.count("*").cast("double").alias("size"))
+
+
+@_query()
+def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.bootstrap(_units(spark, sf_dir), 2_000)
+
+
+@_query()
+def sign_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.sign_flip(_units(spark, sf_dir), 2_000)
+
+
+@_query()
+def macro_f1_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.macro_f1_bootstrap(_verdicts(spark, sf_dir), "other", 1_000)
+
+
+_LOGITS = "[(n_chars % 17) / 4.0::DOUBLE, (n_chars % 23) / 5.0::DOUBLE, (n_chars % 7) / 2.0::DOUBLE]"
+
+
+@_query(_V + f""", e AS (SELECT gold, {_LOGITS} AS s FROM v), x AS (SELECT gold, list_transform(s, lambda y: exp(y - list_max(s))) AS w FROM e),
+p AS (SELECT list_position(['SUPPORT', 'CONTRADICT', 'INSUFFICIENT'], gold) AS g, list_transform(w, lambda y: y / list_sum(w)) AS p FROM x),
+c AS (SELECT list_max(p) AS conf, (list_position(p, list_max(p)) = g)::INT::DOUBLE AS hit, len(list_filter([{', '.join(f'({i}::DOUBLE / 10)' for i in range(1, 10))}], lambda b: b <= list_max(p))) AS bin,
+  list_sum(list_transform(p, lambda y, i: power(y - CASE WHEN i = g THEN 1 ELSE 0 END, 2))) AS brier, -ln(greatest(p[g], 1e-300)) AS nll FROM p),
+b AS (SELECT bin, count(*) AS n, sum(conf) AS c, sum(hit) AS h, sum(brier) AS br, sum(nll) AS l FROM c GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, round(sum(abs(c - h)) / sum(n), 8) AS ece, round(sum(br) / sum(n), 8) AS brier, round(sum(l) / sum(n), 8) AS nll, round(sum(h) / sum(n), 8) AS accuracy FROM b""")
+def calibration_ece_brier_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars")
+    rows = _verdicts(spark, sf_dir).select("gold", vectors.softmax(F.array((n % 17) / 4.0, (n % 23) / 5.0, (n % 7) / 2.0)).alias("probabilities"))
+    return metrics.calibration(rows).select("n", *[F.round(c, 8).alias(c) for c in ("ece", "brier", "nll", "accuracy")])
+
+
+@_query(_V + """, r AS (SELECT doc_id, [n_chars % 5, n_chars % 3 + 2] AS pred, CASE WHEN gold = 'INSUFFICIENT' THEN [] ELSE [[n_chars % 4], [n_chars % 5, n_chars % 6 + 5]] END AS alt FROM v),
+u AS (SELECT doc_id, list_distinct(pred) AS p, alt, unnest(CASE WHEN len(alt) = 0 THEN [NULL] ELSE alt END) AS g FROM r),
+s AS (SELECT doc_id, len(alt) AS k, len(list_intersect(p, list_distinct(g)))::DOUBLE AS c, len(p) AS np, len(list_distinct(g)) AS ng FROM u),
+f AS (SELECT doc_id, k, c / np AS precision, c / ng AS recall, 2 * c / (np + ng) AS f1 FROM s),
+b AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY f1 DESC, precision DESC, recall DESC) AS n, precision, recall, f1 FROM f)
+SELECT count(*) AS n, count(*) FILTER (k > 0) AS eligible, round(avg(precision) FILTER (k > 0), 9) AS precision, round(avg(recall) FILTER (k > 0), 9) AS recall, round(avg(f1) FILTER (k > 0), 9) AS f1 FROM b WHERE n = 1""")
+def rationale_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars")
+    none = F.array().cast("array<array<bigint>>")
+    rows = _verdicts(spark, sf_dir).select(F.array(n % 5, n % 3 + 2).alias("predicted"), F.when(F.col("gold") == "INSUFFICIENT", none).otherwise(F.array(F.array(n % 4), F.array(n % 5, n % 6 + 5))).alias("alternatives"))
+    each = metrics.rationale_scores(rows)
+    return each.agg(F.count("*").alias("n"), F.count_if(F.size("alternatives") > 0).alias("eligible"), *[F.round(F.avg(c), 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _seed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, seed, accuracy): three seeds are thirds of the documents by length."""
+    rows = _verdicts(spark, sf_dir).withColumn("seed", F.col("n_chars") % 3)
+    return rows.groupBy("source", "seed").agg(F.avg((F.col("predicted") == F.col("gold")).cast("double")).alias("accuracy"), F.avg((F.col("predicted") == "INVALID").cast("double")).alias("invalid"))
+
+
+_SEEDS = _V + ", s AS (SELECT source, n_chars % 3 AS seed, avg((predicted = gold)::INT) AS accuracy, avg((predicted = 'INVALID')::INT) AS invalid FROM v GROUP BY 1, 2)"
+
+
+@_query(_SEEDS + "SELECT source, count(*) AS seeds, round(avg(accuracy), 9) AS mean, round(stddev_samp(accuracy), 9) AS sd FROM s GROUP BY 1")
+def seed_mean_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seed_scores(spark, sf_dir).groupBy("source").agg(F.count("*").alias("seeds"), F.round(F.avg("accuracy"), 9).alias("mean"), F.round(F.stddev_samp("accuracy"), 9).alias("sd"))
+
+
+@_query(_SEEDS + """, m AS (SELECT source, round(avg(accuracy), 9) AS accuracy, round(avg(invalid), 9) AS invalid FROM s GROUP BY 1)
+SELECT source, accuracy, invalid, row_number() OVER (ORDER BY accuracy DESC, invalid, source) AS place FROM m""")
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    systems = _seed_scores(spark, sf_dir).groupBy("source").agg(F.round(F.avg("accuracy"), 9).alias("accuracy"), F.round(F.avg("invalid"), 9).alias("invalid"))
+    return systems.withColumn("place", F.row_number().over(Window.orderBy(F.col("accuracy").desc(), "invalid", "source")))
+
+
+@_query(_SEEDS + """, m AS (SELECT source, round(avg(accuracy), 9) AS accuracy, count(*) AS seeds FROM s GROUP BY 1), b AS (SELECT max(accuracy) AS best FROM m)
+SELECT source, accuracy, best FROM m, b WHERE accuracy >= best - 0.005 ORDER BY source LIMIT 1""")
+def tie_margin_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    systems = _seed_scores(spark, sf_dir).groupBy("source").agg(F.round(F.avg("accuracy"), 9).alias("accuracy"))
+    best = systems.agg(F.max("accuracy").alias("best"))
+    return systems.crossJoin(F.broadcast(best)).where("accuracy >= best - 0.005").orderBy("source").limit(1)
+
+
+@_query(_SEEDS + """, o AS (SELECT source, n_chars % 3 AS seed, avg((predicted = gold)::INT) - avg((other = gold)::INT) AS d FROM v GROUP BY 1, 2)
+SELECT source, CASE WHEN count(*) FILTER (d > 1e-12) >= 2 AND avg(d) > 1e-12 THEN 'better' WHEN count(*) FILTER (d < -1e-12) >= 2 AND avg(d) < -1e-12 THEN 'worse' ELSE 'mixed' END AS verdict FROM o GROUP BY 1""")
+def seed_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = lambda c: F.avg((F.col(c) == F.col("gold")).cast("double"))
+    each = _verdicts(spark, sf_dir).groupBy("source", (F.col("n_chars") % 3).alias("seed")).agg((hit("predicted") - hit("other")).alias("d"))
+    verdict = F.when((F.count_if(F.col("d") > 1e-12) >= 2) & (F.avg("d") > 1e-12), "better").when((F.count_if(F.col("d") < -1e-12) >= 2) & (F.avg("d") < -1e-12), "worse").otherwise("mixed")
+    return each.groupBy("source").agg(verdict.alias("verdict"))
+
+
+# Sampling and mixtures
+
+_SHARES = {"en": 0.45, "de": 0.2, "es": 0.15, "fr": 0.2}
+_POOLS = f"WITH p AS (SELECT lang AS pool, count(*) AS available, CASE lang {' '.join(f'WHEN {k!r} THEN {v}::DOUBLE' for k, v in _SHARES.items())} END AS share FROM documents WHERE lang IN {tuple(_SHARES)} GROUP BY 1)"
+_HAMILTON = _POOLS + """, t AS (SELECT floor(min(available / share)) AS total FROM p), x AS (SELECT pool, share, available, total * share AS exact, floor(total * share) AS base, total FROM p, t),
+q AS (SELECT pool, share, available, CAST(base + CASE WHEN row_number() OVER (ORDER BY base - exact, pool) <= total - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM x)"""
+
+
+def _quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = F.create_map(*[F.lit(x) for pair in _SHARES.items() for x in pair])
+    pools = _table(spark, sf_dir, "documents").where(F.col("lang").isin(*_SHARES)).groupBy(F.col("lang").alias("pool")).agg(F.count("*").alias("available"))
+    return sampling.hamilton(pools.withColumn("share", share[F.col("pool")]))
+
+
+@_query(_HAMILTON + "SELECT * FROM q")
+def hamilton_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quotas(spark, sf_dir)
+
+
+@_query(_HAMILTON + """, r AS (SELECT doc_id AS id, lang AS pool, row_number() OVER (PARTITION BY lang ORDER BY md5('3|' || lang || '|' || doc_id), doc_id) AS place FROM documents)
+SELECT id, r.pool, place FROM r JOIN q ON q.pool = r.pool WHERE place <= quota""")
+def mixture_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("pool"))
+    return sampling.mixture(docs, store(_quotas(spark, sf_dir)), 3).select("id", "pool", "place")
+
+
+@_query("""WITH a AS (SELECT doc_id, source FROM documents ORDER BY md5('first|' || doc_id), doc_id LIMIT 50),
+b AS (SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM a) ORDER BY md5('second|' || doc_id), doc_id LIMIT 50)
+SELECT 'first' AS audit, * FROM a UNION ALL SELECT 'second', * FROM b""")
+def audit_sample_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    first = store(sampling.seeded_sample(docs, 50, "first", "doc_id").select(F.lit("first").alias("audit"), "doc_id", "source"))
+    rest = docs.join(F.broadcast(first.select("doc_id")), "doc_id", "left_anti")
+    return first.unionByName(sampling.seeded_sample(rest, 50, "second", "doc_id").select(F.lit("second").alias("audit"), "doc_id", "source"))
+
+
+def _fold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(spark, sf_dir).groupBy((F.col("n_chars") % 200).alias("group_id"), F.col("gold").alias("label")).agg(F.count("*").alias("n"))
+
+
+@_query()
+def grouped_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.grouped_folds(_fold_groups(spark, sf_dir), 5)
+
+
+@_query()
+def shared_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.grouped_folds(_fold_groups(spark, sf_dir), 5, 0.05)
+
+
+@_query("""WITH r AS (SELECT doc_id AS id, lang, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+a AS (SELECT id, rank, 'long german' AS stratum FROM r WHERE lang = 'de' ORDER BY rank LIMIT 5),
+b AS (SELECT id, rank, 'long' FROM r WHERE id NOT IN (SELECT id FROM a) ORDER BY rank LIMIT 5),
+c AS (SELECT id, rank, 'short' FROM r WHERE n_chars < 500 AND id NOT IN (SELECT id FROM a UNION SELECT id FROM b) ORDER BY rank LIMIT 5)
+SELECT id, stratum FROM a UNION ALL SELECT id, 'long' FROM b UNION ALL SELECT id, 'short' FROM c""")
+def stratified_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars", (-F.col("n_chars")).alias("rank"))
+    return sampling.quota_picks(rows, [("long german", F.col("lang") == "de", 5), ("long", F.lit(True), 5), ("short", F.col("n_chars") < 500, 5)]).select("id", "stratum")
+
+
+# Prompts and outputs
+
+
+@_query("""SELECT conv_id, count(*) AS n_messages, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn, role, text) AS prompt FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL GROUP BY 1""")
+def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL")
+    blocks = rows.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    lines = F.transform("m", lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["text"]))
+    return blocks.select("conv_id", "n_messages", F.array_join(lines, "\n").alias("prompt"))
+
+
+@_query()
+def strict_output_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("predicted") == "INVALID", F.concat(F.lit("I think "), F.col("gold"))).otherwise(
+        F.to_json(F.struct(F.col("predicted").alias("label"), F.when(F.col("predicted") == "INSUFFICIENT", F.array().cast("array<string>")).otherwise(F.array(F.col("doc_id").cast("string"))).alias("evidence_ids"), F.col("source").alias("explanation")))
+    )
+    rows = _verdicts(spark, sf_dir).select("doc_id", parsing.parse_verdict(raw).alias("p"))
+    return rows.groupBy("p.label", F.array_join("p.errors", ",").alias("errors")).agg(F.count("*").alias("n"))
+
+
+@_query()
+def strict_decision_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_chars")
+    raw = F.when(F.col("predicted") == "INVALID", F.lit("{}")).otherwise(F.to_json(F.struct(F.col("predicted").alias("decision"), F.array(n % 6).alias("rationale_sentences"))))
+    rows = _verdicts(spark, sf_dir).select(parsing.parse_decision(raw, n % 7 + 1).alias("p"))
+    return rows.groupBy("p.json_ok", "p.schema_ok", "p.decision_ok", "p.rationale_ok").agg(F.count("*").alias("n"))
+
+
+@_query()
+def token_budget_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", parsing.budget_evidence(F.col("source"), F.split(F.coalesce("text", F.lit("")), "\n"), 256).alias("evidence"))
+
+
+# Request log
+
+
+@_query("""WITH n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value) FILTER (i = greatest(1, floor(0.95 * n))), 6) AS p95_low FROM n GROUP BY 1""")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency.percentiles(_table(spark, sf_dir, "events"), "event_type", "value").select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p95_low")])
+
+
+@_query("""WITH e AS (SELECT 'total' AS component, value AS ms FROM events UNION ALL SELECT 'retrieval', value / 4 FROM events UNION ALL SELECT event_type, value / 2 FROM events)
+SELECT component, count(*) AS n, round(avg(ms), 6) AS mean, round(max(ms), 6) AS peak FROM e GROUP BY 1""")
+def component_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    rows = _table(spark, sf_dir, "events").select(F.create_map(F.lit("total"), v, F.lit("retrieval"), v / 4, F.col("event_type"), v / 2).alias("timing_ms"))
+    return latency.components(rows).select("component", "n", F.round("mean", 6).alias("mean"), F.round("peak", 6).alias("peak"))
+
+
+@_query("""SELECT event_type, count(*) AS n, round(count(*) / nullif(sum(value), 0) * 1000, 6) AS per_second, round(avg((value < 1)::INT), 9) AS failed, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.try_divide(F.count("*"), F.sum("value")) * 1000, 6).alias("per_second"), F.round(F.avg((F.col("value") < 1).cast("int")), 9).alias("failed"), F.countDistinct("user_id").alias("users"))
+
+
+@_query("""WITH t AS (SELECT unnest([128, 512, 2048]) AS target), d AS (SELECT doc_id AS id, len(regexp_extract_all(text, '\\S+')) AS tokens FROM documents),
+r AS (SELECT target, id, tokens, row_number() OVER (PARTITION BY target ORDER BY abs(tokens - target), id) AS n FROM t, d)
+SELECT target, id, tokens::BIGINT AS tokens FROM r WHERE n = 1""")
+def nearest_prompt_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.size(F.array_remove(F.split("text", r"\s+"), "")).cast("bigint").alias("tokens"))
+    return latency.nearest_length(docs, [128, 512, 2048])
+
+
+@_query("""SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS peak FROM events GROUP BY 1, 2""")
+def windowed_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.streaming.requests import windowed_latency as windows
+
+    return windows(_table(spark, sf_dir, "events")).withColumn("mean", F.round("mean", 6))
+
+
+# Integrity
+
+
+@_query("SELECT text_key, count(*) AS n FROM (SELECT md5(text) AS text_key FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(*) > 1")
+def violations_repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.repeated_keys(_table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.md5("text").alias("text_key")), "text_key")
+
+
+@_query("""WITH e AS (SELECT DISTINCT doc_id FROM documents), a AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1)
+SELECT doc_id, 'missing' AS problem FROM e WHERE doc_id NOT IN (SELECT doc_id FROM a) UNION ALL SELECT doc_id, 'extra' FROM a WHERE doc_id NOT IN (SELECT doc_id FROM e) UNION ALL SELECT doc_id, 'repeated' FROM a WHERE n > 1""")
+def violations_id_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.id_differences(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id")
+
+
+@_query("""SELECT text_key, list_sort(list(DISTINCT source)) AS parts FROM (SELECT md5(text) AS text_key, source FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT source) > 1""")
+def violations_shared_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL").select(F.md5("text").alias("text_key"), F.col("source").alias("part"))
+    return validation.overlaps(rows, "text_key")
+
+
+@_query("SELECT doc_id, lang FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'fr', 'de')")
+def violations_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.outside(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ("en", "fr", "de"))
+
+
+@_query("SELECT l.doc_id, l.quality FROM labels l WHERE l.doc_id NOT IN (SELECT doc_id FROM documents)")
+def violations_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.dangling(_table(spark, sf_dir, "labels").select("doc_id", "quality"), _table(spark, sf_dir, "documents"), "doc_id")
+
+
+@_query("SELECT doc_id FROM documents WHERE n_chars % 40 >= len(string_split(text, chr(10)))")
+def violations_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.array(F.lit(0).cast("bigint"), F.col("n_chars") % 40).alias("indices"), F.size(F.split("text", "\n")).alias("lines"))
+    return validation.bad_indices(rows, "indices", F.col("lines")).select("doc_id")
+
+
+@_query("SELECT doc_id FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> trim(regexp_replace(replace(text, '.', ' '), '\\s+', ' ', 'g'))")
+def violations_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return validation.text_differences(docs, docs.select("doc_id", F.replace("text", F.lit("."), F.lit(" ")).alias("text")), "doc_id")
+
+
+@_query("""SELECT o_custkey AS key, round(s, 6) AS stored, round(t, 6) AS recomputed FROM (SELECT o_custkey, sum(o_totalprice) AS s, sum(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice ELSE 0 END) AS t FROM orders GROUP BY 1) WHERE abs(s - t) > 1e-6""")
+def violations_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderstatus", "o_totalprice")
+    stored = orders.groupBy("key").agg(F.sum("o_totalprice").alias("total"))
+    again = orders.groupBy("key").agg(F.sum(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).otherwise(0)).alias("total"))
+    return validation.drifted(stored, again, "key", "total", 1e-6).select("key", F.round("stored", 6).alias("stored"), F.round("recomputed", 6).alias("recomputed"))
+
+
+@_query("""SELECT source, count(l.quality) = count(*) AS available, CASE WHEN count(l.quality) = 0 THEN 'labels hidden' WHEN count(l.quality) < count(*) THEN 'labels incomplete' ELSE 'labels complete' END AS reason
+FROM (SELECT 'all' AS source, doc_id FROM documents) LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
+def label_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id").join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return validation.label_gate(rows, "quality").select(F.lit("all").alias("source"), "available", "reason")
+
+
+@_query(_V + """SELECT doc_id_group, CASE WHEN count(DISTINCT gold) FILTER (gold <> 'INSUFFICIENT') = 0 THEN 'INSUFFICIENT' WHEN count(DISTINCT gold) FILTER (gold <> 'INSUFFICIENT') = 1 THEN max(gold) FILTER (gold <> 'INSUFFICIENT') ELSE 'MIXED' END AS label
+FROM (SELECT n_chars % 500 AS doc_id_group, gold FROM v) GROUP BY 1""")
+def claim_label_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = F.array_sort(F.collect_set(F.when(F.col("gold") != "INSUFFICIENT", F.col("gold"))))
+    groups = _verdicts(spark, sf_dir).groupBy((F.col("n_chars") % 500).alias("doc_id_group")).agg(decided.alias("s"))
+    return groups.select("doc_id_group", F.when(F.size("s") == 0, "INSUFFICIENT").when(F.size("s") == 1, F.get("s", 0)).otherwise("MIXED").alias("label"))
