@@ -162,7 +162,7 @@ def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id): the documents that hold an item's text, found by its first five tokens and then compared whole."""
+    """(query_id, doc_id): the documents that hold an item's text: the stated items against every document."""
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")).where("item IS NOT NULL")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.join(F.broadcast(items), F.contains(docs["text"], items["item"])).select("query_id", "doc_id")
@@ -217,7 +217,11 @@ def leakage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir)
 
 
-@_query()
+@_query(_SIMILAR + """, z AS (SELECT group_id, count(*) AS n FROM g GROUP BY 1), o AS (SELECT group_id, n, row_number() OVER (ORDER BY md5('17|' || group_id), group_id) AS i FROM z),
+goal AS (SELECT round_even(sum(n) * 0.2, 0)::BIGINT AS goal FROM o),
+t AS (SELECT 0::BIGINT AS i, 0::BIGINT AS s, -1::BIGINT AS group_id, false AS dev
+  UNION ALL SELECT o.i, CASE WHEN abs(t.s + o.n - goal) < abs(t.s - goal) THEN t.s + o.n ELSE t.s END, o.group_id, abs(t.s + o.n - goal) < abs(t.s - goal) FROM t JOIN o ON o.i = t.i + 1, goal)
+SELECT group_id, CASE WHEN dev THEN 'dev' ELSE 'train' END AS side FROM t WHERE i > 0""")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.group_split(_groups(spark, sf_dir), 0.2, 17)
 
