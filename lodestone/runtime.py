@@ -22,6 +22,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Hand texts to Python tasks in batches of about `size`: a task's memory then follows its longest text, not the row count."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared scratch folder and read it back: a cut that survives lost executors."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/lodestone/{uuid.uuid4().hex}"
