@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import texthash
 from lodestone.operators.graph import connected_components
-from lodestone.runtime import small, store
+from lodestone.runtime import bounded_batches, small, store
 
 #: 42 bands of 6 bins: a pair at similarity 0.8 shares no bucket with probability 3e-6.
 BINS, BANDS, ROWS = 256, 42, 6
@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     doc_id share one node of the graph and so one component, and each gets its
     row.  Other columns of `docs` are ignored.  An empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     signed = store(signatures(docs, width))
     with_words = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same_set = ["n_shingles", "f1", "f2"]

@@ -118,7 +118,7 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 4, cells: int = CELLS)
     rows = docs.withColumn("size", word_count(F.col("text")))
     rows = rows.withColumn("__order", F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit(seed)))
     rows = rows.withColumn("__cell", F.shiftrightunsigned("__order", 64 - (cells - 1).bit_length()).cast("int"))
-    sums = store(rows.groupBy("source", "__cell").agg(F.sum("size").alias("cell_size"), F.count("*").alias("cell_rows")))
+    sums = store(rows.groupBy("source", "__cell").agg(F.sum("size").alias("cell_size"), F.count_if(F.col("size") > 0).alias("cell_rows")))
     plan = targets(sums.groupBy("source").agg(F.sum("cell_size").alias("source_size")))
     plan = plan.withColumn("want", F.round("target").cast("long"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("want") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
@@ -131,7 +131,7 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 4, cells: int = CELLS)
     rows = rows.alias("a").join(small(placed).alias("b"), of_source & (F.col("a.__cell") == F.col("b.__cell")))
     rows = rows.select("a.*", *[F.col(f"b.{c}") for c in ("number", "source_size", "target", "full", "rest", "__words_before", "__rows_before", "__rows")])
     inside = Window.partitionBy("number", "__cell").orderBy("__order", "doc_id", "size")
-    rows = rows.withColumns({"__before": F.col("__words_before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__at": F.col("__rows_before") + F.row_number().over(inside) - 1})
+    rows = rows.withColumns({"__before": F.col("__words_before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__at": F.col("__rows_before") + F.coalesce(F.count_if(F.col("size") > 0).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     partial = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - F.col("__before")))
     rows = rows.withColumn("__part", partial)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.runtime import scratch_dir, small, store
+from lodestone.runtime import bounded_batches, scratch_dir, small, store
 
 #: Bytes of a segment's block, of a transfer chunk, and records of a file.
 SEGMENT, CHUNK, FILE_RECORDS = 32_768, 8_192, 4_096
@@ -201,6 +201,7 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     page_id, url and html are ignored.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     folder = f"{scratch_dir(spark).rstrip('/')}/lodestone/warc-{uuid.uuid4().hex}"
     write_archives(pages, folder, least)
     read = read_archives(spark, folder)
