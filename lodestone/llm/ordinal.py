@@ -90,12 +90,15 @@ class Model:
 def fit(sets: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = 150, decay: float = 1e-3) -> Model:
     """Maximum likelihood with decay by full-batch Adam; features in under a thousandth of the rated texts, or in one, weigh nothing."""
     least = max(2, len(sets) // 1000)
-    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
     indices = np.concatenate(sets) if sets else np.zeros(0, np.int32)
     used = np.bincount(indices, minlength=DIMENSIONS) >= least
-    mask = used[indices]
-    row = np.repeat(np.arange(len(sets)), np.diff(bounds))[mask]
-    feature, column = np.unique(indices[mask], return_inverse=True)
+    feature, place = np.flatnonzero(used), np.cumsum(used, dtype=np.int32) - 1
+    keep = used[indices]
+    sizes = np.add.reduceat(np.append(keep, False), np.cumsum([0, *map(len, sets)])[:-1], dtype=np.int64) if sets else np.zeros(0, np.int64)
+    sizes[[i for i, s in enumerate(sets) if not len(s)]] = 0
+    column = place[indices[keep]].astype(np.int64)
+    del indices, keep
+    some, starts = np.flatnonzero(sizes), np.concatenate(([0], np.cumsum(sizes)))[:-1][sizes > 0]
     w = np.zeros(len(feature))
     share = np.array([(grades >= k).mean() if len(grades) else 0.5 for k in range(1, n_grades)])
     share = np.clip(share, 0.01, 0.99)
@@ -104,7 +107,9 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
     moments = [np.zeros(len(w) + len(theta)), np.zeros(len(w) + len(theta))]
     for step in range(1, rounds + 1):
         t = np.concatenate(([theta[0]], theta[0] + np.cumsum(np.exp(theta[1:]))))
-        score = np.bincount(row, w[column], len(sets))
+        score = np.zeros(len(sets))
+        if len(some):
+            score[some] = np.add.reduceat(w[column], starts)
         above = 1 / (1 + np.exp(-np.clip(score[:, None] - t[None, :], -40, 40)))
         edge = np.hstack([np.ones((len(sets), 1)), above, np.zeros((len(sets), 1))])
         at = np.arange(len(sets))
@@ -117,7 +122,7 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
         np.add.at(g_t, grades + 1, -upper / p / max(len(sets), 1))
         g_t = g_t[1:-1]
         g_theta = np.concatenate(([g_t.sum()], [g_t[k:].sum() * np.exp(theta[k]) for k in range(1, len(theta))]))
-        g = np.concatenate((np.bincount(column, d_score[row], len(w)) + decay * w, g_theta))
+        g = np.concatenate((np.bincount(column, np.repeat(d_score, sizes), len(w)) + decay * w, g_theta))
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.999 * moments[1] + 0.001 * g * g
         move = 0.05 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
