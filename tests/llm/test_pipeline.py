@@ -62,7 +62,7 @@ def test_stages_one_by_one(spark, corpus, tmp_path):
     gone = set(ids(before[0])) - set(ids(after[0]))
     bad = {i for i in range(260) if i % 13 in (1, 2)}
     # a fitted model on 185 labels: held-out accuracy, not certainty
-    assert len(bad - gone) <= 0.1 * len(bad) and len(gone - bad) <= 3
+    assert len(bad - gone) <= 0.1 * len(bad) and len(gone - bad) <= 0.05 * (len(ids(before[0])) - len(bad))
     groups = near([(r["doc_id"], r["text"]) for r in before[1]], 5, 80)
     assert ids(after[1]) == Counter({i: 1 if i is not None else n for i, n in Counter(i for i, _, _, k in groups if k or i is None).items()})
     flagged = {d for d, _ in leaking([(r["doc_id"], r["text"], "") for r in before[2]], [(*i, "") for i in items])}
