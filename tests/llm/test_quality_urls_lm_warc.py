@@ -149,6 +149,25 @@ def test_base_scores_as_brute_force(spark):
     assert attention.scored(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_each_training_text_is_in_one_round(spark):
+    rows = texts()
+    frame = spark.createDataFrame(rows, DOCS)
+    read = [r["text"] for k in range(attention.ROUNDS) for r in attention.training_part(frame, k).collect()]
+    held = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2
+    assert Counter(read) == Counter(t for i, t, _ in rows if not held(i))
+
+
+def test_runs_of_three_beyond_the_table_count_as_well(spark, monkeypatch):
+    frame = spark.createDataFrame([*texts(), (204, "unit1unit unseenword harbourpapers", "x")], DOCS)
+    made = []
+    for triples, common in ((1 << 18, 1 << 16), (3, 1 << 16), (3, 5)):
+        monkeypatch.setattr(attention, "TRIPLES", triples)
+        monkeypatch.setattr(attention, "COMMON", common)
+        made.append(sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 4)) for r in attention.scored(frame).collect()))
+    for other in made[1:]:
+        assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 for a, b in zip(made[0], other, strict=True))
+
+
 def counted(kept_all=True):
     pieces = attention.Pieces(attention.TOKENIZER)
     ids, bounds = pieces.encode(["the", "thing", "harbour", "of"] * 3)
