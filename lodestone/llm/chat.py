@@ -2,13 +2,13 @@
 
 A line's quote level is the number of > before it.  Runs of lines of one level
 above 0 are quoted passages, what is left is the message's own text.  Passages
-and messages are normalised and hashed; a passage is linked to the message, or the paragraph
-or line of one, of the same hash.  A message replies to the message that its
+and messages are normalised and hashed; a passage is linked to the message, or the paragraph,
+line or lines in a row of one, of the same hash.  A message replies to the message that its
 shallowest passage quotes, and a conversation is ordered so that replies follow what they
 answer, without the quotes.
 
-Everything is DataFrame expressions.  An index keeps one place per hash and conversation,
-and one per hash, so texts that many messages share link no more than once.
+Everything is DataFrame expressions.  Windows find the latest place of a hash in the conversation,
+and an index keeps one per hash and conversation, so texts that many messages share link no more than once.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestone.runtime import cut, store
 
-#: Passages and units of fewer letters and digits than this are too common to be linked.
+#: Passages whose normalised text is shorter than this are linked within their own conversation only.
 LEAST_LETTERS = 12
 #: Turns of a conversation that are numbered together; larger conversations are numbered part by part.
 PART = 1024
@@ -31,10 +31,44 @@ def _normal(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _hash(text: Column) -> Column:
-    """A 64-bit hash of the normalised text; null where it is too short to link."""
-    normal = _normal(text)
-    return F.when(F.length(normal) >= LEAST_LETTERS, F.xxhash64(normal))
+def _hashed(rows: DataFrame, text: Column) -> DataFrame:
+    """`rows` with hash, 64 bits of the normalised `text`, and whether that is long; without those that have no letter or digit."""
+    rows = rows.withColumn("__normal", _normal(text)).where("length(__normal) > 0")
+    return rows.withColumns({"hash": F.xxhash64("__normal"), "long": F.length("__normal") >= LEAST_LETTERS}).drop("__normal")
+
+
+def _lines(text: Column) -> Column:
+    """The normalised lines of a text that have any letter or digit."""
+    return F.filter(F.transform(F.split(text, "\n"), _normal), lambda x: x != "")
+
+
+def _runs(placed: DataFrame, asked: DataFrame) -> DataFrame:
+    """(conv_id, turn, text): the runs of lines of bodies that begin like a passage of several lines and are as many.
+
+    `placed` is (row, conv_id, turn, body) and `asked` has the passages' text.
+    """
+    seed = lambda lines, i: F.xxhash64(F.get(lines, i - 1), F.get(lines, i))
+    begun = asked.select(_lines(F.col("text")).alias("l")).where("size(l) > 1").select(seed(F.col("l"), F.lit(1)).alias("seed"), F.size("l").alias("k")).distinct()
+    held = placed.select("row", "conv_id", "turn", _lines(F.col("body")).alias("l")).where("size(l) > 1")
+    starts = held.select("row", F.size("l").alias("m"), F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.struct(i.alias("i"), seed(F.col("l"), i).alias("seed")))).alias("x"))
+    found = starts.select("row", "m", "x.i", "x.seed").join(begun, "seed").where("i + k - 1 <= m").groupBy("row").agg(F.collect_set(F.struct("i", "k")).alias("at"))
+    both = held.join(found, "row").select("conv_id", "turn", "l", F.explode("at").alias("x"))
+    return both.select("conv_id", "turn", F.array_join(F.slice("l", F.col("x.i"), F.col("x.k")), " ").alias("text"))
+
+
+def _latest(asked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(conv_id, turn, at, level, near_turn): the latest turn of the conversation before a passage's own that holds its hash.
+
+    Turns go part by part, so that a text said everywhere in a long conversation is no single task's.
+    """
+    key = ["conv_id", "hash", "__part"]
+    events = asked.select("conv_id", "hash", "turn", "at", "level", F.lit(None).cast("long").alias("said")).unionByName(wanted.select("conv_id", "hash", "turn", F.col("turn").alias("said")), allowMissingColumns=True)
+    events = events.withColumn("__part", F.expr(f"turn div {PART}"))
+    before = F.max("top").over(Window.partitionBy("conv_id", "hash").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    tops = events.groupBy(*key).agg(F.max("said").alias("top")).select(*key, before.alias("earlier")).where("earlier IS NOT NULL")
+    inside = F.max("said").over(Window.partitionBy(*key).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    found = events.withColumn("inside", inside).where("at IS NOT NULL").join(tops, key, "left")
+    return found.select("conv_id", "turn", "at", "level", F.coalesce("inside", "earlier").alias("near_turn")).where("near_turn IS NOT NULL")
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -60,7 +94,8 @@ def linked(messages: DataFrame) -> DataFrame:
 
     n_quotes counts the quoted passages and n_linked those that are found: in
     the message's own conversation before it, else anywhere else, the latest turn before it and then the
-    smallest (conversation, turn) winning.  parent is what the first of the
+    smallest (conversation, turn) winning; a passage shorter than LEAST_LETTERS is sought in its own
+    conversation alone, and one without a letter or digit nowhere.  Lines in a row are compared without those that have neither.  parent is what the first of the
     shallowest linked passages quotes.  root_turn and depth follow parents within the conversation;
     position, from 1, orders it by root, depth and turn, so that a reply never comes before what it answers.
 
@@ -69,22 +104,25 @@ def linked(messages: DataFrame) -> DataFrame:
     their own; of messages with equal ids one reply serves all.  Extra columns are
     ignored, an empty table gives an empty one.
     """
-    rows = store(parsed(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")).drop("text"))
+    rows = parsed(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")).drop("text")
+    rows = store(rows.withColumn("row", F.monotonically_increasing_id()))
     placed = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     asked = placed.where("size(passages) > 0").select("conv_id", "turn", F.posexplode("passages").alias("at", "p"))
-    asked = asked.select("conv_id", "turn", "at", "p.level", _hash(F.col("p.text")).alias("hash")).where("hash IS NOT NULL").distinct()
+    asked = store(_hashed(asked.select("conv_id", "turn", "at", "p.level", "p.text"), F.col("text")).distinct())
 
     units = F.array_distinct(F.concat(F.array("body"), F.split("body", "\n[ \t]*\n"), F.split("body", "\n")))
-    index = placed.select("conv_id", "turn", F.explode(units).alias("unit")).select("conv_id", "turn", _hash(F.col("unit")).alias("hash")).where("hash IS NOT NULL")
-    wanted = store(index.join(asked.select("hash").distinct(), "hash", "left_semi").distinct())
-    # In the same conversation: the latest turn before the quoting one.
-    near = asked.alias("a").join(wanted.alias("w"), ["conv_id", "hash"]).where("w.turn < a.turn")
-    near = near.groupBy("conv_id", F.col("a.turn").alias("turn"), "at", "level").agg(F.max("w.turn").alias("near_turn"))
+    units = placed.select("conv_id", "turn", F.explode(units).alias("text")).unionByName(_runs(placed, asked))
+    index = _hashed(units, F.col("text")).drop("text")
+    wanted = index.where("long").join(asked.where("long").select("hash").distinct(), "hash", "left_semi").select("conv_id", "turn", "hash", "long")
+    short = index.where("NOT long").join(asked.where("NOT long").select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    wanted = store(wanted.unionByName(short).distinct())
+    near = _latest(asked, wanted)
+    near = near.groupBy("conv_id", "turn", "at", "level").agg(F.max("near_turn").alias("near_turn"))
     # Anywhere: the smallest place, or the next conversation's where that is the quoting message's own.
-    places = wanted.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn"))
+    places = wanted.where("long").groupBy("hash", "conv_id").agg(F.min("turn").alias("turn"))
     first = places.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     other = places.join(first, "hash").where("conv_id <> first.conv_id").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("second"))
-    far = asked.join(first, "hash").join(other, "hash", "left")
+    far = asked.where("long").join(first, "hash").join(other, "hash", "left")
     far = far.select("conv_id", "turn", "at", "level", F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second")).alias("far")).where("far IS NOT NULL")
     both = near.join(far, ["conv_id", "turn", "at", "level"], "full")
     both = both.select("conv_id", "turn", "at", "level", F.when(F.col("near_turn").isNotNull(), F.col("conv_id")).otherwise(F.col("far.conv_id")).alias("pc"), F.coalesce("near_turn", "far.turn").alias("pt"))

@@ -119,6 +119,30 @@ def test_links_levels_and_order(spark):
     assert made[None, 0, "user"]["parent_conv"] is None
 
 
+def test_short_passages_and_runs_of_lines(spark, monkeypatch):
+    lines = ["First we load the cart.", "Then we feed the mule.", "--", "Last we lock the gate.", "Anything else to do today?"]
+    rows = [
+        (1, 0, "user", "Shall we?\nYes, I do", "x", 0),
+        (1, 1, "assistant", "> Yes, I do\nFine.", "x", 0),
+        (1, 2, "user", "\n".join(lines), "x", 0),
+        (1, 3, "assistant", f"> {lines[1]}\n> {lines[3]}\nIt is locked.", "x", 0),
+        (1, 4, "assistant", f"> {lines[0]}\n> {lines[3]}\nThese do not follow each other.", "x", 0),
+        (1, 5, "user", "One paragraph of mine.\n\nAnother paragraph.\n\nA third one.", "x", 0),
+        (1, 6, "assistant", "> One paragraph of mine.\n>\n> Another paragraph.\nBoth read.", "x", 0),
+        (1, 7, "user", "> ...\n> yes i do\nStill?", "x", 0),
+        (1, 8, "user", "> :-)\nNothing to find.", "x", 0),
+        (2, 0, "user", "> Yes, I do\nNobody said so here.", "x", 0),
+        (2, 1, "user", f"> {lines[0]}\n> {lines[1]}\nFrom elsewhere.", "x", 0),
+        (2, 2, "user", "Yes, I do", "x", 0),
+    ]
+    for part in (chat.PART, 2):
+        monkeypatch.setattr(chat, "PART", part)
+        made = {(r["conv_id"], r["turn"]): r for r in chat.linked(spark.createDataFrame(rows, MESSAGES)).collect()}
+        parents = {k: (r["parent_conv"], r["parent_turn"]) for k, r in made.items() if r["n_linked"]}
+        assert parents == {(1, 1): (1, 0), (1, 3): (1, 2), (1, 6): (1, 5), (1, 7): (1, 0), (2, 1): (1, 2)}
+        assert (made[1, 7]["root_turn"], made[1, 7]["depth"], made[1, 7]["position"]) == (0, 1, 3)
+
+
 def test_positions_are_whole_in_parts(spark, monkeypatch):
     monkeypatch.setattr(chat, "PART", 2)
     rows = [(1, t, "user", f"message number {t} of a long talk", "x", 0) for t in range(9)] * 2
