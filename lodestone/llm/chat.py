@@ -153,14 +153,12 @@ def linked(messages: DataFrame) -> DataFrame:
 
 
 def rendered(messages: DataFrame, most: int = 10_000) -> DataFrame:
-    """(conv_id, n_messages, n_linked, chat): each conversation as one text of role and body blocks in reply order.
+    """(conv_id, part, n_messages, n_linked, chat): each conversation as texts of role and body blocks in reply order.
 
-    A conversation is one value here, so conversations of more than `most`
-    messages are left as rows of `linked`, which has them all.
+    A text holds `most` messages at most: a longer conversation goes on in
+    parts, numbered from 0, whose n_messages and n_linked are their own.
     """
-    rows = linked(messages)
     block = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("body", F.lit("")))
-    sized = rows.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.sum("n_linked").alias("n_linked")).where(F.col("n_messages") <= most)
-    held = rows.select(F.col("conv_id").alias("c"), "position", block.alias("block")).join(sized, F.col("c").eqNullSafe(F.col("conv_id")))
-    made = held.groupBy("conv_id", "n_messages", "n_linked").agg(F.array_sort(F.collect_list(F.struct("position", "block"))).alias("blocks"))
-    return made.select("conv_id", "n_messages", "n_linked", F.array_join(F.transform("blocks", lambda b: b["block"]), "\n").alias("chat"))
+    rows = linked(messages).withColumn("part", F.expr(f"(position - 1) div {most}"))
+    made = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n_messages"), F.sum("n_linked").alias("n_linked"), F.array_sort(F.collect_list(F.struct("position", block.alias("block")))).alias("blocks"))
+    return made.select("conv_id", "part", "n_messages", "n_linked", F.array_join(F.transform("blocks", lambda b: b["block"]), "\n").alias("chat"))

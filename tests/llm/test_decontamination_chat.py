@@ -143,6 +143,13 @@ def test_short_passages_and_runs_of_lines(spark, monkeypatch):
         assert (made[1, 7]["root_turn"], made[1, 7]["depth"], made[1, 7]["position"]) == (0, 1, 3)
 
 
+def test_rendered_parts_hold_every_message(spark):
+    rows = [(1, t, "user", f"message number {t} of a long talk", "x", 0) for t in range(7)] + [(None, 0, "user", "alone", "x", 0)]
+    made = sorted(((str(r["conv_id"]), r["part"], r["n_messages"], r["chat"]) for r in chat.rendered(spark.createDataFrame(rows, MESSAGES), 3).collect()))
+    assert [r[:3] for r in made] == [("1", 0, 3), ("1", 1, 3), ("1", 2, 1), ("None", 0, 1)]
+    assert "\n".join(r[3] for r in made[:3]) == "\n".join(f"<|user|>\n{r[3]}" for r in rows[:7])
+
+
 def test_positions_are_whole_in_parts(spark, monkeypatch):
     monkeypatch.setattr(chat, "PART", 2)
     rows = [(1, t, "user", f"message number {t} of a long talk", "x", 0) for t in range(9)] * 2
