@@ -7,76 +7,86 @@ exactly; the parsers are small row helpers inside Arrow tasks.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 LABELS = ("SUPPORT", "CONTRADICT", "INSUFFICIENT")
 VERDICT = "label string, evidence_ids array<string>, explanation string, errors array<string>"
-DECISION = "decision string, rationale array<int>, json_ok boolean, schema_ok boolean, decision_ok boolean, rationale_ok boolean, errors array<string>"
+DECISION = "decision string, rationale array<bigint>, json_ok boolean, schema_ok boolean, decision_ok boolean, rationale_ok boolean, errors array<string>"
+EVIDENCE = "text string, before int, after int, truncated boolean"
 
+# Error codes and texts that consumers of the outputs know by name.
+NOT_JSON, NOT_OBJECT, KEYS = "invalid_json", "output_not_object", "schema_keys"
+LABEL, IDS_TYPE, IDS_TWICE, IDS_UNKNOWN, IDS_IDLE, WHY = "invalid_label", "invalid_evidence_ids_type", "duplicate_evidence_ids", "invented_evidence_id", "insufficient_with_citations", "invalid_explanation"
+CHOICE, SPOTS_TYPE, SPOTS = "invalid_decision", "invalid_rationale_type", "invalid_rationale_indices"
+NO_EVIDENCE, CUT, NOTHING_FITS = "[NO EVIDENCE DOCUMENTS PROVIDED]", "[TRUNCATED]", "[TRUNCATED: no text fit within evidence budget]"
 
-def _object(raw: str | None) -> tuple[dict | None, str | None]:
+
+def _json(raw: str | None) -> tuple[object, str | None]:
+    """(value, name of what went wrong)."""
+    if not isinstance(raw, str):
+        return None, "TypeError"
     try:
-        value = json.loads(raw) if raw is not None else None
-    except (ValueError, RecursionError):
-        return None, "invalid_json"
-    return (value, None) if isinstance(value, dict) else (None, "invalid_json" if raw is None else "not_an_object")
-
-
-def verdict(raw: str | None) -> tuple:
-    """(label, evidence_ids, explanation, errors) of an output with exactly these keys; values are null on any error."""
-    value, error = _object(raw)
-    if error:
-        return None, None, None, [error]
-    errors = []
-    if set(value) != {"label", "evidence_ids", "explanation"}:
-        errors.append("wrong_keys")
-    label, ids, why = value.get("label"), value.get("evidence_ids"), value.get("explanation")
-    if not isinstance(label, str) or label not in LABELS:
-        errors.append("invalid_label")
-    if not isinstance(ids, list) or not all(isinstance(i, str) for i in ids):
-        errors.append("invalid_evidence_ids")
-    else:
-        if len(set(ids)) < len(ids):
-            errors.append("repeated_evidence_ids")
-        if label == "INSUFFICIENT" and ids:
-            errors.append("evidence_without_verdict")
-        if label in ("SUPPORT", "CONTRADICT") and not ids:
-            errors.append("verdict_without_evidence")
-    if not isinstance(why, str) or not why.strip():
-        errors.append("invalid_explanation")
+        return json.loads(raw.strip()), None
+    except (ValueError, RecursionError) as wrong:
+        return None, type(wrong).__name__
+
+
+def _strings(value: object) -> bool:
+    return isinstance(value, list) and all(isinstance(x, str) for x in value)
+
+
+def verdict(raw: str | None, allowed: list[str]) -> tuple:
+    """(label, evidence_ids, explanation, errors) of an output with exactly these keys; the values are null on any error.
+
+    `allowed` are the ids of the documents that were shown; another id is invented.
+    """
+    value, wrong = _json(raw)
+    if wrong:
+        return None, None, None, [f"{NOT_JSON}:{wrong}"]
+    if not isinstance(value, dict):
+        return None, None, None, [NOT_OBJECT]
+    label, ids, why = (value.get(k) for k in ("label", "evidence_ids", "explanation"))
+    listed = _strings(ids)
+    found = {
+        KEYS: value.keys() != {"label", "evidence_ids", "explanation"},
+        LABEL: label not in LABELS,
+        IDS_TYPE: not listed,
+        IDS_TWICE: listed and len(ids) > len(set(ids)),
+        IDS_UNKNOWN: listed and not set(ids).issubset(allowed),
+        IDS_IDLE: listed and bool(ids) and label == "INSUFFICIENT",
+        WHY: not (isinstance(why, str) and why.strip()),
+    }
+    errors = [code for code, is_so in found.items() if is_so]
     return (None, None, None, errors) if errors else (label, ids, why, [])
 
 
+def cites_shown(raw: str | None, allowed: list[str]) -> bool:
+    """Whether an output lists distinct ids of shown documents, whatever else is wrong with it."""
+    value, _ = _json(raw)
+    ids = value.get("evidence_ids") if isinstance(value, dict) else None
+    return _strings(ids) and len(ids) == len(set(ids)) and set(ids).issubset(allowed)
+
+
 def decision(raw: str | None, sentences: int) -> tuple:
     """(decision, rationale, four flags, errors) of an output with the keys decision and rationale_sentences.
 
-    Indices are whole numbers (no booleans, no floats), distinct, in 0..sentences-1, and empty for INSUFFICIENT alone.
+    The decision stands wherever it is one of the labels, also beside a wrong rationale, which is then null.  Indices are whole
+    numbers (no booleans, no floats), distinct, in 0..sentences-1, none for INSUFFICIENT and some for the other labels.
     """
-    value, error = _object(raw)
-    if error:
-        return None, None, error == "not_an_object", False, False, False, [error]
-    errors = []
-    schema = set(value) == {"decision", "rationale_sentences"} and isinstance(value.get("decision"), str) and isinstance(value.get("rationale_sentences"), list)
-    if not schema:
-        errors.append("wrong_schema")
-    label, found = value.get("decision"), value.get("rationale_sentences")
-    known = isinstance(label, str) and label in LABELS
-    if not known:
-        errors.append("invalid_decision")
-    whole = isinstance(found, list) and all(type(i) is int for i in found)
-    fits = whole and len(set(found)) == len(found) and all(0 <= i < sentences for i in found)
-    if not fits:
-        errors.append("invalid_rationale")
-    elif known and (label == "INSUFFICIENT") != (not found):
-        errors.append("rationale_does_not_fit_decision")
-        fits = False
-    good = not errors
-    return label if good else None, found if good else None, True, schema, known, fits, errors
+    value, wrong = _json(raw)
+    if wrong or not isinstance(value, dict):
+        return None, None, not wrong, False, False, False, [NOT_JSON if wrong else NOT_OBJECT]
+    label, spots = value.get("decision"), value.get("rationale_sentences")
+    schema, known = value.keys() == {"decision", "rationale_sentences"}, label in LABELS
+    whole = isinstance(spots, list) and all(type(i) is int for i in spots)
+    fits = whole and known and len(spots) == len(set(spots)) and all(i in range(sentences) for i in spots) and bool(spots) == (label != "INSUFFICIENT")
+    found = {KEYS: not schema, CHOICE: not known, SPOTS_TYPE: not whole, SPOTS: whole and not fits}
+    return label if known else None, spots if fits else None, True, schema, known, fits, [code for code, is_so in found.items() if is_so]
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -84,13 +94,26 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).astype(object)
 
 
-def parse_verdict(raw: Column) -> Column:
-    """struct<VERDICT> of each output."""
+def _listed(ids: object) -> list[str]:
+    return [] if ids is None else [str(x) for x in ids]
+
+
+def parse_verdict(raw: Column, allowed: Column) -> Column:
+    """struct<VERDICT> of each output, given the ids of the documents shown (array<string>; null: none)."""
+
+    def run(outputs: pd.Series, shown: pd.Series) -> pd.DataFrame:
+        return _frame([verdict(x, _listed(a)) for x, a in zip(outputs, shown, strict=True)], VERDICT)
 
-    def run(outputs: pd.Series) -> pd.DataFrame:
-        return _frame([verdict(x) for x in outputs], VERDICT)
+    return F.pandas_udf(run, VERDICT)(raw, allowed)
 
-    return F.pandas_udf(run, VERDICT)(raw)
+
+def citations_hold(raw: Column, allowed: Column) -> Column:
+    """`cites_shown` of each output."""
+
+    def run(outputs: pd.Series, shown: pd.Series) -> pd.Series:
+        return pd.Series([cites_shown(x, _listed(a)) for x, a in zip(outputs, shown, strict=True)], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(raw, allowed)
 
 
 def parse_decision(raw: Column, sentences: Column) -> Column:
@@ -102,40 +125,78 @@ def parse_decision(raw: Column, sentences: Column) -> Column:
     return F.pandas_udf(run, DECISION)(raw, sentences)
 
 
-def _whitespace(text: str) -> list[str]:
-    return text.split()
-
-
-def budgeted(title: str, sentences: list[str], budget: int, tokenize: Callable[[str], list[str]] = _whitespace, marker: str = "[truncated]") -> str:
-    """The title and as many sentences as `budget` tokens hold: the title always, whole sentences in order, then the part of the next that fits.
-
-    Where no sentence token fits the marker stands for them.
-    """
-    head = tokenize(title)
-    room = budget - len(head)
-    lines, left = [title], room
-    for i, sentence in enumerate(sentences):
-        words = tokenize(sentence)
-        label = f"[{i}] "
-        if len(words) + 1 <= left:
-            lines.append(label + sentence)
-            left -= len(words) + 1
+def white_space(text: str) -> list[str]:
+    """The runs of characters other than space and \\x09-\\x0D."""
+    return re.findall(r"[^\x20\x09-\x0d]+", text)
+
+
+def _block(document: tuple[str, str, list[str]], room: int, tokenize: Callable[[str], list[str]], join: Callable[[list[str]], str]) -> tuple[str | None, int]:
+    """(text, tokens used) of one document within `room` tokens."""
+    name, title, sentences = document
+    size = lambda text: len(tokenize(text))
+    header = f"[EVIDENCE_ID: {name}] Title: {title}"
+    if size(header) + 2 >= room:
+        marker = f"[EVIDENCE_ID: {name}] {NOTHING_FITS}"
+        return (marker, size(marker)) if size(marker) <= room else (None, 0)
+    lines, used = [header], size(header)
+    for k, sentence in enumerate(sentences):
+        place = f"[EVIDENCE_ID: {name}; SENTENCE: {k}] "
+        if used + size(place + sentence) <= room:
+            lines.append(place + sentence)
+            used += size(place + sentence)
             continue
-        if left >= 2:
-            lines.append(label + " ".join(words[: left - 1]))
+        left = room - used - size(place) - size(" " + CUT)
+        if left > 0:
+            lines.append(f"{place}{join(tokenize(sentence)[:left])} {CUT}")
+            used = room
         break
-    if len(lines) == 1 and sentences:
-        lines.append(marker)
-    return "\n".join(lines)
-
-
-def budget_evidence(title: Column, sentences: Column, budget: int) -> Column:
-    """`budgeted` evidence per row, counted in white-space tokens."""
+    return "\n".join(lines), used
 
-    def run(titles: pd.Series, arrays: pd.Series) -> pd.Series:
-        return pd.Series([budgeted(t or "", [x for x in (a if a is not None else []) if x is not None], budget) for t, a in zip(titles, arrays, strict=True)])
 
-    return F.pandas_udf(run, StringType())(title, sentences)
+def budgeted(documents: list[tuple[str, str, list[str]]], budget: int, tokenize: Callable[[str], list[str]] = white_space, join: Callable[[list[str]], str] = " ".join) -> tuple[str, int, int, bool]:
+    """(text, tokens of all evidence, tokens of the text, whether it was cut) of (id, title, sentences) documents.
 
-
-__all__ = ["DECISION", "VERDICT", "budget_evidence", "budgeted", "decision", "parse_decision", "parse_verdict", "verdict"]
+    Evidence that fits stays whole.  Else every document has its header and as many whole sentences
+    as fit, then the marked beginning of the next; one whose header leaves no room is named with a marker where
+    that fits.  The text never exceeds the budget: what its parts' joints add is cut off at the end.
+    """
+    if budget <= 0:
+        raise ValueError("the budget must be positive")
+    whole = "\n\n".join("\n".join([f"[EVIDENCE_ID: {name}] Title: {title}", *(f"[EVIDENCE_ID: {name}; SENTENCE: {k}] {s}" for k, s in enumerate(sentences))]) for name, title, sentences in documents)
+    whole = whole or NO_EVIDENCE
+    before = len(tokenize(whole))
+    if before <= budget:
+        return whole, before, before, False
+    parts, room = [], budget
+    for document in documents:
+        text, used = _block(document, room, tokenize, join)
+        parts += [] if text is None else [text]
+        room -= used
+    text = "\n\n".join(parts)
+    tokens = tokenize(text)
+    if len(tokens) > budget:
+        text = join(tokens[:budget])
+        tokens = tokenize(text)
+    return text, before, len(tokens), True
+
+
+def budget_evidence(documents: Column, budget: int) -> Column:
+    """struct<EVIDENCE> per row: `budgeted` documents, array<struct<id string, title string, sentences array<string>>>, counted in white-space tokens; nulls are left out."""
+
+    def run(column: pd.Series) -> pd.DataFrame:
+        rows = []
+        for listed in column:
+            shown = [(d["id"], d["title"] or "", [s for s in (d["sentences"] if d["sentences"] is not None else []) if s is not None]) for d in (listed if listed is not None else []) if d is not None]
+            rows.append(budgeted(shown, budget))
+        return _frame(rows, EVIDENCE)
+
+    return F.pandas_udf(run, EVIDENCE)(documents)
+
+
+def messages(system: str, claim: Column, evidence: Column) -> Column:
+    """The chat of a verification request: array<struct<role, content>> of the instructions, then claim and evidence."""
+    asked = F.concat(F.lit("CLAIM:\n"), claim, F.lit("\n\nEVIDENCE:\n"), evidence)
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), asked.alias("content")))
+
+
+__all__ = ["DECISION", "EVIDENCE", "VERDICT", "budget_evidence", "budgeted", "citations_hold", "cites_shown", "decision", "messages", "parse_decision", "parse_verdict", "verdict", "white_space"]

@@ -113,27 +113,58 @@ def test_quota_picks_do_not_repeat(spark):
 
 def test_strict_verdicts():
     good = {"label": "SUPPORT", "evidence_ids": ["1"], "explanation": "it says so"}
-    assert parsing.verdict(json.dumps(good)) == ("SUPPORT", ["1"], "it says so", [])
-    wrong = [(None, "invalid_json"), ("nope", "invalid_json"), ("[1]", "not_an_object"), (good | {"x": 1}, "wrong_keys"), (good | {"label": "MAYBE"}, "invalid_label"), (good | {"evidence_ids": [1]}, "invalid_evidence_ids")]
-    wrong += [(good | {"evidence_ids": ["1", "1"]}, "repeated_evidence_ids"), (good | {"evidence_ids": []}, "verdict_without_evidence"), (good | {"label": "INSUFFICIENT"}, "evidence_without_verdict"), (good | {"explanation": " "}, "invalid_explanation")]
+    assert parsing.verdict(json.dumps(good), ["1", "2"]) == ("SUPPORT", ["1"], "it says so", [])
+    assert parsing.verdict(" " + json.dumps(good | {"evidence_ids": []}) + "\n", []) == ("SUPPORT", [], "it says so", [])
+    wrong = [(None, "invalid_json:TypeError"), ("nope", "invalid_json:JSONDecodeError"), ("[1]", "output_not_object"), (good | {"x": 1}, "schema_keys"), (good | {"label": "MAYBE"}, "invalid_label"), (good | {"evidence_ids": [1]}, "invalid_evidence_ids_type")]
+    wrong += [(good | {"evidence_ids": ["1", "1"]}, "duplicate_evidence_ids"), (good | {"evidence_ids": ["3"]}, "invented_evidence_id"), (good | {"label": "INSUFFICIENT"}, "insufficient_with_citations"), (good | {"explanation": " "}, "invalid_explanation")]
     for raw, error in wrong:
-        out = parsing.verdict(raw if raw is None or isinstance(raw, str) else json.dumps(raw))
-        assert out[0] is None and error in out[3]
+        out = parsing.verdict(raw if raw is None or isinstance(raw, str) else json.dumps(raw), ["1", "2"])
+        assert out == (None, None, None, [error])
+    assert parsing.verdict("{}", [])[3] == ["schema_keys", "invalid_label", "invalid_evidence_ids_type", "invalid_explanation"]
+    assert parsing.cites_shown('{"evidence_ids": ["1"], "label": 4}', ["1"]) and not parsing.cites_shown('{"evidence_ids": ["9"]}', ["1"])
+    assert not parsing.cites_shown('{"evidence_ids": ["1", "1"]}', ["1"]) and not parsing.cites_shown("[]", []) and not parsing.cites_shown(None, [])
 
 
 def test_strict_decisions(spark):
-    cases = [('{"decision": "SUPPORT", "rationale_sentences": [0, 2]}', (True, True, True, True)), ('{"decision": "SUPPORT", "rationale_sentences": [true]}', (True, True, True, False))]
-    cases += [('{"decision": "SUPPORT", "rationale_sentences": [0.0]}', (True, True, True, False)), ('{"decision": "SUPPORT", "rationale_sentences": [3]}', (True, True, True, False)), ('{"decision": "SUPPORT", "rationale_sentences": []}', (True, True, True, False))]
-    cases += [('{"decision": "INSUFFICIENT", "rationale_sentences": []}', (True, True, True, True)), ('{"decision": "X", "rationale_sentences": []}', (True, True, False, True)), ("[]", (True, False, False, False)), ("{", (False, False, False, False)), (None, (False, False, False, False))]
+    # (flags, decision, errors)
+    whole, spots = (True, True, True, True), (True, True, True, False)
+    cases = [
+        ('{"decision": "SUPPORT", "rationale_sentences": [0, 2]}', whole, "SUPPORT", []),
+        ('{"decision": "SUPPORT", "rationale_sentences": [true]}', spots, "SUPPORT", ["invalid_rationale_type"]),
+        ('{"decision": "SUPPORT", "rationale_sentences": [0.0]}', spots, "SUPPORT", ["invalid_rationale_type"]),
+        ('{"decision": "SUPPORT", "rationale_sentences": [3]}', spots, "SUPPORT", ["invalid_rationale_indices"]),
+        ('{"decision": "CONTRADICT", "rationale_sentences": []}', spots, "CONTRADICT", ["invalid_rationale_indices"]),
+        ('{"decision": "SUPPORT", "rationale_sentences": [1, 1]}', spots, "SUPPORT", ["invalid_rationale_indices"]),
+        ('{"decision": "INSUFFICIENT", "rationale_sentences": []}', whole, "INSUFFICIENT", []),
+        ('{"decision": "INSUFFICIENT", "rationale_sentences": [0]}', spots, "INSUFFICIENT", ["invalid_rationale_indices"]),
+        ('{"decision": "X", "rationale_sentences": []}', (True, True, False, False), None, ["invalid_decision", "invalid_rationale_indices"]),
+        ('{"decision": "SUPPORT", "rationale_sentences": "0"}', spots, "SUPPORT", ["invalid_rationale_type"]),
+        ('{"decision": "SUPPORT", "rationale_sentences": [0], "x": 1}', (True, False, True, True), "SUPPORT", ["schema_keys"]),
+        ("{}", (True, False, False, False), None, ["schema_keys", "invalid_decision", "invalid_rationale_type"]),
+        ("[]", (True, False, False, False), None, ["output_not_object"]),
+        ("{", (False, False, False, False), None, ["invalid_json"]),
+        (None, (False, False, False, False), None, ["invalid_json"]),
+    ]
     rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, raw string").select("i", parsing.parse_decision(F.col("raw"), F.lit(3)).alias("p"))
     for r in rows.collect():
-        assert (r["p"]["json_ok"], r["p"]["schema_ok"], r["p"]["decision_ok"], r["p"]["rationale_ok"]) == cases[r["i"]][1], cases[r["i"]]
+        p = r["p"]
+        assert ((p["json_ok"], p["schema_ok"], p["decision_ok"], p["rationale_ok"]), p["decision"], p["errors"]) == cases[r["i"]][1:], cases[r["i"]]
 
 
 def test_evidence_within_a_budget():
-    assert parsing.budgeted("a title", ["one two", "three four five"], 100) == "a title\n[0] one two\n[1] three four five"
-    assert parsing.budgeted("a title", ["one two", "three four five"], 8) == "a title\n[0] one two\n[1] three four"
-    assert parsing.budgeted("a title", ["one two"], 2) == "a title\n[truncated]"
+    documents = [("7", "a title", ["one two", "three four five"]), ("8", "other", ["six"])]
+    whole = "[EVIDENCE_ID: 7] Title: a title\n[EVIDENCE_ID: 7; SENTENCE: 0] one two\n[EVIDENCE_ID: 7; SENTENCE: 1] three four five\n\n[EVIDENCE_ID: 8] Title: other\n[EVIDENCE_ID: 8; SENTENCE: 0] six"
+    assert parsing.budgeted(documents, 100) == (whole, 27, 27, False)
+    cut, before, after, truncated = parsing.budgeted(documents, 17)
+    assert cut == "[EVIDENCE_ID: 7] Title: a title\n[EVIDENCE_ID: 7; SENTENCE: 0] one two\n[EVIDENCE_ID: 7; SENTENCE: 1] three [TRUNCATED]" and (before, after, truncated) == (27, 17, True)
+    assert parsing.budgeted([("7", " ".join("abcdefgh"), ["x"])], 3) == ("", 16, 0, True)
+    marker = parsing.budgeted([("7", "t " * 30, ["x"])], 11)
+    assert marker[0] == "[EVIDENCE_ID: 7] [TRUNCATED: no text fit within evidence budget]" and marker[2] == 9
+    assert parsing.budgeted([], 9) == ("[NO EVIDENCE DOCUMENTS PROVIDED]", 4, 4, False)
+    for budget in range(1, 30):
+        assert parsing.budgeted(documents, budget)[2] <= budget
+    with pytest.raises(ValueError, match="positive"):
+        parsing.budgeted(documents, 0)
 
 
 def test_text_functions(spark):
