@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.runtime import small
+from lodestone.runtime import small, store
 
 #: Queries that every task holds as one matrix; more are searched group by group.
 QUERY_ROWS = 4096
+#: Documents that are scored together.
+SCORED_ROWS = 512
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -23,19 +25,53 @@ def ranked(scores: DataFrame, k: int | None = None, by: str = "query_id", doc: s
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+class _Best:
+    """The best `k` (score, id) of every query seen so far, ties to the smaller id; a task's memory follows queries times `k`."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.scores, self.docs = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int64)
+
+    def add(self, scores: np.ndarray, docs: np.ndarray) -> None:
+        """scores (queries, documents) of further documents."""
+        scores = np.concatenate([self.scores, scores], axis=1)
+        docs = np.concatenate([self.docs, np.broadcast_to(docs, (len(scores), len(docs)))], axis=1)
+        order = np.lexsort((docs, -scores), axis=1)[:, : self.k]
+        self.scores, self.docs = np.take_along_axis(scores, order, 1), np.take_along_axis(docs, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        n = self.scores.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.queries, n)), pa.array(self.docs.ravel()), pa.array(self.scores.ravel())], ["query_id", "doc_id", "score"])
+
+
+def _in_groups(queries: DataFrame) -> Iterator[DataFrame]:
+    """`queries` in groups of about QUERY_ROWS query_ids."""
+    groups = max(1, -(-queries.select("query_id").distinct().count() // QUERY_ROWS))
+    for g in range(groups):
+        yield queries if groups == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
+
+
+def _together(found: list[DataFrame], corpus: DataFrame) -> DataFrame:
+    """All groups' rows; with several groups each is written first, so the plan does not grow with the queries."""
+    if not found:
+        return corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """(query_id, doc_id, score, rank): the `k` best documents of each query by inner product.
 
     `queries` is (query_id, vector) and `corpus` (doc_id, vector).  Groups of
-    queries go to the tasks as a matrix; a task scores its block of
-    the corpus by one product and passes on its own best `k`.  Scores are rounded to `digits`,
+    queries go to the tasks as a matrix; a task scores its documents
+    by products and passes on its own best `k`.  Scores are rounded to `digits`,
     so that ties go by id whatever the order of summation.  Null vectors are left out.
     """
     queries, corpus = queries.where("vector IS NOT NULL"), corpus.where("vector IS NOT NULL").select("doc_id", F.col("vector").cast("array<double>"))
-    groups = max(1, -(-queries.count() // QUERY_ROWS))
-    found = None
-    for g in range(groups):
-        part = queries if groups == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
+    groups, found = list(_in_groups(queries)), []
+    for part in groups:
         table = part.select("query_id", F.col("vector").cast("array<double>")).toArrow().combine_chunks()  # about QUERY_ROWS rows
         ids = table.column(0).to_numpy()
         if not len(ids):
@@ -43,47 +79,99 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 9) -
         matrix = np.array(table.column(1).to_pylist(), np.float64)
 
         def search(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            best = _Best(ids, k)
             for batch in batches:
-                docs = batch.column(0).to_numpy()
-                block = batch.column(1).flatten().to_numpy().reshape(len(docs), -1)
-                scores = np.round(matrix @ block.T, digits)
-                n = min(k, len(docs))
-                for q, row in enumerate(scores):
-                    cut = np.partition(row, len(row) - n)[len(row) - n]
-                    at = np.flatnonzero(row >= cut)
-                    best = at[np.lexsort((docs[at], -row[at]))[:n]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ids[q])), pa.array(docs[best]), pa.array(row[best])], ["query_id", "doc_id", "score"])
-
-        hits = corpus.mapInArrow(search, "query_id long, doc_id long, score double")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-    return ranked(found, k)
-
-
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 9) -> DataFrame:
+                for at in range(0, len(batch), SCORED_ROWS):
+                    rows = batch.slice(at, SCORED_ROWS)
+                    docs = rows.column(0).to_numpy()
+                    best.add(np.round(matrix @ rows.column(1).flatten().to_numpy().reshape(len(docs), -1).T, digits), docs)
+            yield best.rows()
+
+        hits = ranked(corpus.mapInArrow(search, "query_id long, doc_id long, score double"), k).drop("rank")
+        found.append(hits if len(groups) == 1 else store(hits))
+    return ranked(_together(found, corpus), k)
+
+
+def postings(corpus: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, length) of (doc_id, text), written once: how often a document holds a term, and its number of tokens."""
+    docs = corpus.select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return store(docs.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf")))
+
+
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 9, terms_of: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) by Okapi BM25 over (query_id, text) and (doc_id, text).
 
     A term in more than half of the documents weighs `epsilon` times the mean
     inverse document frequency of the vocabulary.  A term counts as often as the
     query repeats it.  Documents without a query's terms score 0 and fill up its ranks by id.
+
+    `terms_of` are the corpus' `postings` where they stand already.  Only those of the queries' terms are gathered by document;
+    a task then scores blocks of documents against a group of queries and passes on its own best `k`.
     """
-    docs = corpus.select("doc_id", T.tokens(F.col("text")).alias("t"))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_length"))
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    vocabulary = docs.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = vocabulary.crossJoin(F.broadcast(size)).select("term", "df", "n", "mean_length", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    terms = idf.join(small(asked.select("term").distinct()), "term").crossJoin(F.broadcast(mean))
-    terms = terms.select("term", "mean_length", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    # Only a query's terms leave a document's row.
-    tf = docs.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).join(small(terms), "term")
-    tf = tf.groupBy("doc_id", "length", "term", "mean_length", "idf").agg(F.count("*").alias("tf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scores = tf.withColumn("w", weight).join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("times")), digits).alias("score"))
+    terms_of = postings(corpus) if terms_of is None else terms_of
+    n, words = corpus.count(), terms_of.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    idf = terms_of.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    idf = store(idf)
+    mean = idf.agg(F.avg("idf")).first()[0]
+    asked = store(queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
+    groups, found = list(_in_groups(asked)), []
+    for part in groups:
+        terms = part.select("term").distinct().join(idf, "term").select("term", F.when(F.col("idf") < 0, epsilon * (mean or 0.0)).otherwise(F.col("idf")).alias("idf"), F.xxhash64("term").alias("key"))
+        terms = store(terms)
+        lists = part.join(terms.select("term", "key"), "term").select("query_id", "key", "times").toArrow().combine_chunks()  # the terms of about QUERY_ROWS queries
+        ids, row = np.unique(lists.column(0).to_numpy(), return_inverse=True)
+        keys, place = np.unique(lists.column(1).to_numpy(), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        table = (ids, keys, np.searchsorted(place[order], np.arange(len(keys) + 1)), row[order], lists.column(2).to_numpy()[order].astype(np.float64))
+        if not len(ids):
+            continue
+        weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(words / max(n, 1))))
+        docs = terms_of.join(small(terms), "term").groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list(weight).alias("weights"))
+
+        def search(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            ids, keys, starts, row, times = table
+            best = _Best(ids, k)
+            for batch in batches:
+                for at in range(0, len(batch), SCORED_ROWS):
+                    rows = batch.slice(at, SCORED_ROWS)
+                    owner = np.repeat(np.arange(len(rows)), rows.column(1).value_lengths().to_numpy())
+                    term, w = np.searchsorted(keys, rows.column(1).flatten().to_numpy()), rows.column(2).flatten().to_numpy()
+                    scores = np.zeros((len(rows), len(ids)))
+                    order = np.argsort(term, kind="stable")
+                    for mine in np.split(order, np.flatnonzero(np.diff(term[order])) + 1):  # a document holds a term once
+                        span = slice(starts[term[mine[0]]], starts[term[mine[0]] + 1])
+                        scores[owner[mine][:, None], row[span][None, :]] += w[mine][:, None] * times[span][None, :]
+                    scores = np.where((scores != 0).any(0), np.round(scores, digits), 0.0)
+                    best.add(scores.T, rows.column(0).to_numpy())
+            yield best.rows()
+
+        hits = ranked(docs.mapInArrow(search, "query_id long, doc_id long, score double"), k).drop("rank")
+        found.append(hits if len(groups) == 1 else store(hits))
     first = corpus.select("doc_id").orderBy("doc_id").limit(k)
-    zero = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
-    return ranked(scores.unionByName(zero).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+    zero = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows a query
+    return ranked(_together(found, corpus).unionByName(zero).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+
+
+def containment(items: DataFrame, corpus: DataFrame, terms_of: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id): the documents whose text holds an item's, of (query_id, item) and (doc_id, text).
+
+    A document that holds an item has its inner tokens whole, so only the documents with the rarest of them are
+    searched.  Items of fewer than three tokens have no inner ones and are sought in every document.
+    """
+    items = store(items.where("item IS NOT NULL").withColumn("t", T.tokens(F.col("item"))))
+    terms_of = postings(corpus) if terms_of is None else terms_of
+    inner = items.where("size(t) > 2").select("query_id", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.size("t") - 2))).alias("term"))
+    counts = terms_of.join(small(store(inner.select("term").distinct())), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = inner.join(counts, "term").groupBy("query_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"), F.count("*").alias("known"))
+    whole = inner.groupBy("query_id").agg(F.count("*").alias("all"))  # an item with a token that no document has is held by none
+    rarest = rarest.join(whole, "query_id").where("known = all").select("query_id", "term")
+    texts = corpus.select("doc_id", "text")
+    near = terms_of.select("doc_id", "term").join(small(store(rarest)), "term").select("query_id", "doc_id").join(items.select("query_id", "item"), "query_id").join(texts, "doc_id")
+    held = near.where(F.contains("text", F.col("item"))).select("query_id", "doc_id")
+    short = items.where("size(t) <= 2").select("query_id", "item")
+    if short.isEmpty():
+        return held
+    return held.unionByName(texts.join(small(short), F.contains("text", F.col("item"))).select("query_id", "doc_id"))
 
 
 def reranked_prefix(ranking: DataFrame, scores: DataFrame, k: int) -> DataFrame:
@@ -92,7 +180,7 @@ def reranked_prefix(ranking: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     `scores` is (query_id, doc_id, second); a document without a finite second score raises.
     """
     both = ranking.join(scores, ["query_id", "doc_id"], "left")
-    second = F.when(F.col("rank") > k, F.lit(None)).when(F.col("second").isNull() | F.isnan("second"), F.raise_error(F.lit("a second score is missing or not finite")).cast("double")).otherwise(F.col("second"))
+    second = F.when(F.col("rank") > k, F.lit(None)).when(F.col("second").isNull() | F.isnan("second") | (F.abs("second") == float("inf")), F.raise_error(F.lit("a second score is missing or not finite")).cast("double")).otherwise(F.col("second"))
     both = both.withColumn("__s", second).withColumn("__head", F.col("rank") <= k)
     order = Window.partitionBy("query_id", "__head").orderBy(F.col("__s").desc_nulls_last(), "rank")
     return both.withColumn("new_rank", F.when(F.col("__head"), F.row_number().over(order)).otherwise(F.col("rank"))).drop("__s", "__head")
@@ -101,13 +189,17 @@ def reranked_prefix(ranking: DataFrame, scores: DataFrame, k: int) -> DataFrame:
 def hard_negatives(ranking: DataFrame, positives: DataFrame, prints: DataFrame, n: int) -> DataFrame:
     """(query_id, doc_id, rank, negative): the first `n` ranked documents that are no positives and no copies of one or of an earlier negative.
 
-    `positives` is (query_id, doc_id) and `prints` (doc_id, fingerprint).
+    `positives` is (query_id, doc_id) and `prints` (doc_id, fingerprint).  A query with fewer than `n` raises.
     """
     known = positives.join(prints, "doc_id").select("query_id", "fingerprint").distinct()
     left = ranking.join(positives, ["query_id", "doc_id"], "left_anti").join(prints, "doc_id").join(known, ["query_id", "fingerprint"], "left_anti")
     first = Window.partitionBy("query_id", "fingerprint").orderBy("rank")
     left = left.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return left.withColumn("negative", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("negative") <= n).select("query_id", "doc_id", "rank", "negative")
+    chosen = left.withColumn("negative", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("negative") <= n).select("query_id", "doc_id", "rank", "negative")
+    asked = ranking.select("query_id").distinct()
+    each = asked.join(chosen, "query_id", "left").withColumn("__found", F.count("doc_id").over(Window.partitionBy("query_id")))
+    enough = F.when(F.col("__found") < n, F.raise_error(F.concat(F.lit("too few negatives for query "), F.col("query_id").cast("string")))).otherwise(F.lit(True))
+    return each.where(enough.cast("boolean")).drop("__found")
 
 
 def sentence_passages(docs: DataFrame) -> DataFrame:

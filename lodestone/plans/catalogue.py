@@ -1,8 +1,8 @@
 """The registry of the retrieval, evaluation and data-building queries, and their SQL.
 
 The tables stand in for the roles of a claim-verification corpus: documents are
-the corpus, benchmark items the claims, embeddings a dense corpus whose rows with an id divisible by 100 are the
-queries, labels the gold verdicts (toxic contradicts, low quality is insufficient), events a request log.
+the corpus, benchmark items the claims, embeddings a dense corpus whose rows with an id divisible by 100 are
+queries as well, labels the gold verdicts (toxic contradicts, low quality is insufficient), events a request log.
 Predictions are fixed functions of a document's size: the queries exercise operators, not models.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import parsing, vectors
 from lodestone.functions import text as T
 from lodestone.operators import latency, metrics, retrieval, sampling, statistics, validation
-from lodestone.runtime import store
+from lodestone.runtime import small, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,21 +40,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(ranking, relevance, vectors): every vector whose id is divisible by 100 against all others."""
+    """(ranking, relevance, vectors): every vector whose id is divisible by 100 against all rows but itself."""
     rows = _table(spark, sf_dir, "embeddings")
     queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
-    corpus = rows.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
-    ranking = retrieval.dense_topk(queries, corpus, k)
-    relevance = queries.select("query_id", "label").join(corpus.select("doc_id", "label"), "label").select("query_id", "doc_id")
+    corpus = rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    # A query's own vector is among the rows: one more is sought, and it is left out.
+    ranking = retrieval.ranked(retrieval.dense_topk(queries, corpus, k + 1).where("doc_id <> query_id").drop("rank"), k)
+    relevance = queries.select("query_id", "label").join(corpus.select("doc_id", "label"), "label").where("doc_id <> query_id").select("query_id", "doc_id")
     return ranking, relevance, corpus
 
 
 _DENSE = """
 WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 100 = 0),
-c AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 100 <> 0),
-s AS (SELECT query_id, doc_id, round(list_dot_product(q.v, c.v), 9) AS score FROM q, c),
+c AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+s AS (SELECT query_id, doc_id, round(list_dot_product(q.v, c.v), 9) AS score FROM q, c WHERE doc_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s),
-rel AS (SELECT query_id, doc_id FROM q JOIN c ON q.label = c.label)"""
+rel AS (SELECT query_id, doc_id FROM q JOIN c ON q.label = c.label AND doc_id <> query_id)"""
 
 _IR = """
 , pos AS (SELECT query_id, count(DISTINCT doc_id) AS n_pos FROM rel GROUP BY 1),
@@ -99,7 +100,7 @@ def rerank_prefix_keep_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranking, _, corpus = _dense(spark, sf_dir, 100)
     rows = _table(spark, sf_dir, "embeddings")
     queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.slice("embedding", 1, 8).alias("a"))
-    pairs = ranking.join(F.broadcast(queries), "query_id").join(corpus.select("doc_id", F.slice("vector", 1, 8).alias("b")), "doc_id")
+    pairs = ranking.join(small(queries), "query_id").join(corpus.select("doc_id", F.slice("vector", 1, 8).alias("b")), "doc_id")
     second = pairs.select("query_id", "doc_id", F.round(vectors.dot(F.col("a"), F.col("b")), 9).alias("second"))
     return retrieval.reranked_prefix(ranking.select("query_id", "doc_id", "rank"), second, 10).select("query_id", "doc_id", "rank", "second", "new_rank")
 
@@ -126,7 +127,7 @@ def random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranking, _, corpus = _dense(spark, sf_dir, 10)
     queries = _table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
     # The stated queries against every row; a task keeps one row a query.
-    pairs = corpus.select("doc_id", "label").crossJoin(F.broadcast(queries)).where("label <> own").join(F.broadcast(ranking.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_anti")
+    pairs = corpus.select("doc_id", "label").join(small(queries), F.col("label") != F.col("own")).join(small(store(ranking.select("query_id", "doc_id"))), ["query_id", "doc_id"], "left_anti")
     return pairs.groupBy("query_id").agg(F.min(F.struct(T.seeded_order(7, F.col("query_id"), F.col("doc_id")), "doc_id"))["doc_id"].alias("doc_id"))
 
 
@@ -156,16 +157,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bm25(spark: SparkSession, sf_dir: str, terms_of: DataFrame | None = None) -> DataFrame:
     queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.bm25_topk(queries, _table(spark, sf_dir, "documents").select("doc_id", "text"), 100)
+    return retrieval.bm25_topk(queries, _table(spark, sf_dir, "documents").select("doc_id", "text"), 100, terms_of=terms_of)
 
 
-def _containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id): the documents that hold an item's text: the stated items against every document."""
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")).where("item IS NOT NULL")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(items), F.contains(docs["text"], items["item"])).select("query_id", "doc_id")
+def _containment(spark: SparkSession, sf_dir: str, terms_of: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id): the documents that hold an item's text."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    return retrieval.containment(items, _table(spark, sf_dir, "documents").select("doc_id", "text"), terms_of)
 
 
 @_query(_BM25 + "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 100")
@@ -175,7 +175,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_BM25 + _IR)
 def bm25_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _means(metrics.ir_metrics(_bm25(spark, sf_dir), _containment(spark, sf_dir)))
+    terms_of = retrieval.postings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _means(metrics.ir_metrics(_bm25(spark, sf_dir, terms_of), _containment(spark, sf_dir, terms_of)))
 
 
 @_query(r"""SELECT fp AS fingerprint, count(*) AS copies, min(doc_id) AS first_doc FROM
