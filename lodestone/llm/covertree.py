@@ -5,7 +5,7 @@ blocks of bounded size.  A block is a cover tree: nested levels of nodes whose
 radii halve, every node's centre being a point of the level below.  Pairs of blocks, then
 pairs of nodes level by level, are dropped where the distance of their
 centres exceeds both covering radii and the threshold, and taken whole where the
-farthest points are near enough; what is left is decided by the cosine in double
+farthest points are near enough; the points that are left at the last level are decided by the cosine in double
 precision, so the pairs are exact.
 
 A pair of blocks gives the number of links per vector and ties each vector to the
@@ -29,8 +29,8 @@ from lodestone.runtime import store
 
 #: Vectors of a block, about.
 BLOCK = 1500
-#: Share of all pairs of two blocks that, still open, are decided by one product.
-BASE_SHARE = 0.1
+#: Children of a node pair from which on their centres are compared by a product of their own; fewer are gathered with those of other pairs.
+WIDE = 2048
 #: Cosines this near to the threshold are summed without rounding.
 _CLOSE = 1e-12
 #: Allowance of the bounds for rounding in distances taken from products; the cosine decides within it.
@@ -87,62 +87,84 @@ class CoverTree:
         self.points, self.order, self.levels = points, order, levels
 
 
-def _distinct(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of x, all below n, and the place of each value among them."""
-    seen = np.zeros(n, bool)
-    seen[x] = True
-    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[x]
-
-
 def _near(a: np.ndarray, b: np.ndarray, cosine: float) -> bool:
     dot = math.fsum(a * b)
     return dot >= cosine * math.sqrt(math.fsum(a * a)) * math.sqrt(math.fsum(b * b))
 
 
-def linked(one: CoverTree, two: CoverTree, raw_one: np.ndarray, raw_two: np.ndarray, cosine: float) -> tuple[list[tuple[int, int, int, int]], np.ndarray, np.ndarray]:
-    """Taken node pairs as ranges of depth-first positions, and single pairs of points, at `cosine` and above."""
+def _children(tree: CoverTree, depth: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first child on the next level, how many) of nodes; a tree at its last level stays there."""
+    if depth >= len(tree.levels) - 1:
+        return nodes, np.ones(len(nodes), np.int64)
+    kids = tree.levels[depth][4]
+    return kids[nodes], kids[nodes + 1] - kids[nodes]
+
+
+def _opened(one: CoverTree, two: CoverTree, depth: int, i: np.ndarray, j: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(nodes of one, nodes of two, products of their centres) among the children of node pairs, without those that lie apart; the nodes of a part may repeat."""
+    (fi, ni), (fj, nj) = _children(one, depth, i), _children(two, depth, j)
+    a, b = (t.levels[min(depth + 1, len(t.levels) - 1)] for t in (one, two))
+    wide = ni * nj >= WIDE
+
+    def near(dots: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, 2 - 2 * dots)) <= reach + (limit + _SLACK)
+
+    for k in np.flatnonzero(wide):
+        left, right = slice(fi[k], fi[k] + ni[k]), slice(fj[k], fj[k] + nj[k])
+        dots = one.points[a[0][left]] @ two.points[b[0][right]].T
+        p, q = np.nonzero(near(dots, a[1][left][:, None] + b[1][right][None, :]))
+        yield p + fi[k], q + fj[k], dots[p, q]
+    few = np.flatnonzero(~wide)
+    upto = np.cumsum((ni * nj)[few])
+    start = 0
+    while start < len(few):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + 200_000, "right")))
+        part = few[start:end]
+        n = (ni * nj)[part]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = np.repeat(nj[part], n)
+        p, q = np.repeat(fi[part], n) + at // width, np.repeat(fj[part], n) + at % width
+        dots = np.einsum("kd,kd->k", one.points[a[0][p]], two.points[b[0][q]])
+        stay = near(dots, a[1][p] + b[1][q])
+        yield p[stay], q[stay], dots[stay]
+        start = end
+
+
+def linked(one: CoverTree, two: CoverTree, raw_one: np.ndarray, raw_two: np.ndarray, cosine: float, tally: list[tuple[int, int]] | None = None) -> tuple[list[tuple[int, int, int, int]], np.ndarray, np.ndarray]:
+    """Taken node pairs as ranges of depth-first positions, and single pairs of points, at `cosine` and above.
+
+    Both trees are descended together, level by level.  `tally` gets (pairs compared, pairs neither dropped nor taken) of every level.
+    """
     limit = math.sqrt(max(0.0, 2 - 2 * cosine))
     taken: list[tuple[int, int, int, int]] = []
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    depth = 0
-    while len(i):
-        a, b = (t.levels[min(depth, len(t.levels) - 1)] for t in (one, two))
-        last = [depth >= len(t.levels) - 1 for t in (one, two)]
-        ui, vi = _distinct(i, len(a[0]))
-        uj, vj = _distinct(j, len(b[0]))
-        dots = (one.points[a[0][ui]] @ two.points[b[0][uj]].T)[vi, vj]
-        apart = np.sqrt(np.maximum(0, 2 - 2 * dots))
-        reach = a[1][i] + b[1][j]
-        if all(last):
-            sure = dots >= cosine
-            for k in np.flatnonzero(np.abs(dots - cosine) <= _CLOSE):
-                sure[k] = _near(raw_one[a[0][i[k]]], raw_two[b[0][j[k]]], cosine)
-            return taken, a[0][i[sure]], b[0][j[sure]]
-        stay = apart <= reach + limit + _SLACK
-        whole = stay & (apart + reach < limit - _SLACK)
-        taken += list(zip(a[2][i[whole]].tolist(), a[3][i[whole]].tolist(), b[2][j[whole]].tolist(), b[3][j[whole]].tolist(), strict=True))
-        stay &= ~whole
-        i, j = i[stay], j[stay]
-        open_pairs = float(((a[3] - a[2])[i] * (b[3] - b[2])[j]).sum())
-        if open_pairs > BASE_SHARE * len(one.points) * len(two.points):
-            # The base case: the bounds tell little apart, so one product decides all pairs that are not taken.
-            dots = one.points @ two.points.T
-            for lo, hi, lo2, hi2 in taken:
-                dots[np.ix_(one.order[lo:hi], two.order[lo2:hi2])] = -2
-            p, q = np.nonzero(dots >= cosine - _SLACK)
-            sure = np.array([dots[x, y] >= cosine if abs(dots[x, y] - cosine) > _CLOSE else _near(raw_one[x], raw_two[y], cosine) for x, y in zip(p, q, strict=True)], bool)
-            return taken, p[sure], q[sure]
-        kids = []
-        for level, x, end in ((a, i, last[0]), (b, j, last[1])):
-            first, n = (x, np.ones(len(x), np.int64)) if end else (level[4][x], level[4][x + 1] - level[4][x])
-            kids.append((first, n))
-        (fi, ni), (fj, nj) = kids
-        n = ni * nj
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        width = np.repeat(nj, n)
-        i, j = np.repeat(fi, n) + at // np.maximum(width, 1), np.repeat(fj, n) + at % np.maximum(width, 1)
+    i, j, depth = np.zeros(1, np.int64), np.zeros(1, np.int64), -1
+    last = max(len(one.levels), len(two.levels)) - 1
+    while len(i) and depth < last:
+        compared = 1
+        if depth < 0:  # the roots
+            parts = [(i, j, np.array([float(one.points[one.levels[0][0][0]] @ two.points[two.levels[0][0][0]])]))]
+        else:
+            compared = int((_children(one, depth, i)[1] * _children(two, depth, j)[1]).sum())
+            parts = list(_opened(one, two, depth, i, j, limit))
+        i, j, dots = (np.concatenate(x) for x in zip(*parts, strict=True))
         depth += 1
-    return taken, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = (t.levels[min(depth, len(t.levels) - 1)] for t in (one, two))
+        if depth < last:
+            apart, reach = np.sqrt(np.maximum(0, 2 - 2 * dots)), a[1][i] + b[1][j]
+            whole = apart + reach < limit - _SLACK
+            taken += list(zip(a[2][i[whole]].tolist(), a[3][i[whole]].tolist(), b[2][j[whole]].tolist(), b[3][j[whole]].tolist(), strict=True))
+            stay = ~whole & (apart <= reach + limit + _SLACK)
+            i, j, dots = i[stay], j[stay], dots[stay]
+        if tally is not None:
+            tally.append((compared, len(i)))
+    if not len(i):
+        return taken, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Points are left, and their products decide.
+    sure = dots >= cosine
+    x, y = a[0][i], b[0][j]
+    for k in np.flatnonzero(np.abs(dots - cosine) <= _CLOSE):
+        sure[k] = _near(raw_one[x[k]], raw_two[y[k]], cosine)
+    return taken, x[sure], y[sure]
 
 
 def tree_of(raw: np.ndarray) -> CoverTree:
@@ -205,7 +227,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, block: int
     columns are ignored; an empty table gives an empty one.
     """
     sound = F.expr("size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)")
-    rows = vectors.where("vec_id IS NOT NULL AND label IS NOT NULL").where(sound).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.where("vec_id IS NOT NULL AND label IS NOT NULL").where(sound).select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     rows = store(rows)
     classes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     # The cell is a code of signs of fixed projections, as many bits as the label's size asks for.
@@ -222,10 +244,10 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, block: int
         middle = unit.mean(0)
         first = pdf.iloc[0]
         block_id = f"{first['label']}/{first['dim']}/{first['cell']}/{first['part']}"
-        out = (block_id, int(first["label"]), int(first["dim"]), middle.tolist(), float(np.linalg.norm(unit - middle, axis=1).max()), pdf["rep"].to_numpy(np.int64).tobytes(), pdf["copies"].to_numpy(np.int64).tobytes(), raw.tobytes(), pickle.dumps(tree_of(raw)))
+        out = (block_id, first["label"], int(first["dim"]), middle.tolist(), float(np.linalg.norm(unit - middle, axis=1).max()), pdf["rep"].to_numpy(np.int64).tobytes(), pdf["copies"].to_numpy(np.int64).tobytes(), raw.tobytes(), pickle.dumps(tree_of(raw)))
         return pd.DataFrame([out], columns=["block", "label", "dim", "middle", "radius", "ids", "weights", "raw", "tree"])
 
-    blocks = store(placed.groupBy("label", "dim", "cell", "part").applyInPandas(packed, "block string, label long, dim int, middle array<double>, radius double, ids binary, weights binary, raw binary, tree binary"))
+    blocks = store(placed.groupBy("label", "dim", "cell", "part").applyInPandas(packed, "block string, label string, dim int, middle array<double>, radius double, ids binary, weights binary, raw binary, tree binary"))
     limit = math.sqrt(max(0.0, 2 - 2 * cosine))
     a, b = (blocks.select("label", "dim", F.col("block").alias(f"b{k}"), F.col("middle").alias(f"m{k}"), F.col("radius").alias(f"r{k}")) for k in (1, 2))
     apart = F.sqrt(F.expr("aggregate(zip_with(m1, m2, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)"))

@@ -147,6 +147,34 @@ def test_cover_tree_levels_halve_and_nest():
             assert r <= top / 2**depth + 1e-12
 
 
+def test_traversal_descends_and_prunes_below_the_roots():
+    rng = np.random.RandomState(3)
+    centres = rng.standard_normal((30, 64))
+    clustered = centres[rng.randint(0, 30, 900)] + 0.1 * rng.standard_normal((900, 64))
+    flat = rng.standard_normal((700, 2))
+    for raw, least in ((clustered, 3), (flat, 8)):
+        one, two = covertree.tree_of(raw[: len(raw) // 2]), covertree.tree_of(raw[len(raw) // 2 :])
+        tally = []
+        taken, p, q = covertree.linked(one, two, raw[: len(raw) // 2], raw[len(raw) // 2 :], 0.93, tally)
+        assert len(tally) >= least, tally
+        assert sum(compared - left for compared, left in tally[1:]) > 0 and len(taken) > 0
+        # far fewer pairs are compared than there are, and they are the pairs of the whole product
+        assert sum(compared for compared, _ in tally) < len(raw) ** 2 / 8
+        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        wanted = unit[: len(raw) // 2] @ unit[len(raw) // 2 :].T >= 0.93
+        made = np.zeros_like(wanted)
+        made[p, q] = True
+        for lo, hi, lo2, hi2 in taken:
+            made[np.ix_(one.order[lo:hi], two.order[lo2:hi2])] = True
+        assert (made == wanted).all()
+
+
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.1], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)]
+    made = covertree.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in made.collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
+
+
 def test_plan_has_no_cross_join(spark):
     made = minhash.near_duplicates(spark.createDataFrame(corpus(), DOCS), 4)
     assert "Cartesian" not in made._jdf.queryExecution().toString()
