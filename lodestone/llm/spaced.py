@@ -6,7 +6,8 @@ runs of training texts, and around every hit the two texts are compared
 token by token on the hit's diagonal, so overlaps with substituted tokens are found.
 
 Everything is DataFrame expressions.  A document's token hashes stay in its row
-while its runs are enumerated and probed, so no document is shuffled or sorted.
+while its runs are enumerated and probed: only the diagonals that a run names leave it, each
+of them once, and only documents with such a diagonal are read again to be compared.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.runtime import BROADCAST_ROWS, store
+from lodestone.runtime import small, store
 
 #: Hashed positions of a run, the first and last included, as many in every mask.  Any run of 12 tokens with one
 #: substitution, and nearly all with two, holds one of the masks unharmed.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 2, 3, 4, 7), (0, 1, 4, 6, 8))
+#: Tokens in a row that are hashed for items of fewer than 8 tokens, by their number: up to 4 tokens must all agree, and of
+#: 5, 6 or 7 one may differ, which leaves as many in a row unharmed.
+SHORT = {1: 1, 2: 2, 3: 3, 4: 4, 5: 2, 6: 3, 7: 3}
 #: An item leaks where a stretch of this many of its tokens (all, if it has fewer) agrees in this percentage.
 WINDOW, PERCENT = 20, 80
 
@@ -32,15 +36,41 @@ def _hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda t: F.xxhash64(t))
 
 
-def _seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """A row per mask and start that fits: `at` and the seed's hash, beside the columns of `rows` with array `h`."""
+def _seeds(rows: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """A row per mask and start that fits: `at`, `which` mask and the seed's hash, beside the columns of `rows` with array `h`."""
     # explode_outer, and no filter before it: a filter would be pushed below the hashing and do it twice.
     starts = rows.withColumn("run", F.explode_outer(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") * len(masks) - 1))))
     at, which = F.expr(f"run div {len(masks)}").cast("int"), F.expr(f"run % {len(masks)}").cast("int")
     # The masks' offsets are looked up in constant arrays: an expression per mask would make code too long to be compiled.
-    offset = [F.get(F.array(*[F.lit(m[k]) for m in masks]), which) for k in range(len(masks[0]))]
+    # A mask of fewer positions has nulls for the rest, which a hash passes over.
+    looked_up = lambda values: F.get(F.array(*[F.lit(v).cast("int") for v in values]), which)
+    offset = [looked_up([m[k] if k < len(m) else None for m in masks]) for k in range(max(map(len, masks)))]
     seed = F.xxhash64(which, *[F.get("h", at + o) for o in offset])
-    return starts.where(at + offset[-1] < F.size("h")).withColumns({"at": at, "seed": seed}).drop("run")
+    return starts.where(at + looked_up([m[-1] for m in masks]) < F.size("h")).withColumns({"at": at, "which": which, "seed": seed}).drop("run")
+
+
+def _diagonals(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...], window: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text_hash, number, window, matched) of texts that hold items, (number, item_id))."""
+    named = store(items.where("item_id IS NOT NULL").select("item_id", _hashes(F.col("text")).alias("h")).where("size(h) > 0").withColumn("number", F.xxhash64("h")))
+    tests = store(named.select("number", "h").dropDuplicates(["number"]))
+    short = sorted({SHORT[r[0]] for r in tests.select(F.size("h")).where(F.size("h") <= max(SHORT)).distinct().collect()})  # a few lengths
+    used = [*masks, *(tuple(range(k)) for k in short)]
+    own = F.get(F.array(F.lit(-1), *[F.lit(len(masks) + short.index(k) if k in short else -1) for _, k in sorted(SHORT.items())]), F.size("h"))
+    seeds = _seeds(tests, used).where((F.col("which") < len(masks)) & own.isNull() | (F.col("which") == own)).select("seed", "number", F.col("at").alias("item_at")).distinct()
+
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), _hashes(F.col("text")).alias("h"))
+    hits = _seeds(texts, used).select("doc_id", "text_hash", "seed", "at").join(small(store(seeds)), "seed")
+    hits = store(hits.select("doc_id", "text_hash", "number", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+    again = docs.where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text")).join(small(hits.select("doc_id", "text_hash").distinct()), ["doc_id", "text_hash"], "left_semi")
+    again = again.select("doc_id", "text_hash", _hashes(F.col("text")).alias("h"))
+    beside = again.join(small(hits), ["doc_id", "text_hash"]).join(small(tests.withColumnRenamed("h", "item")), "number")
+    # One expression, bound once: the flags of agreeing tokens, and their largest sum over a stretch.
+    best = """transform(array(transform(item, (t, j) -> if(get(h, j + shift) = t, 1, 0))), agree ->
+        aggregate(sequence(0, size(agree) - 1), named_struct('sum', 0, 'best', 0), (s, j) -> transform(
+            array(s.sum + agree[j] - if(j < window, 0, agree[greatest(j - window, 0)])), n -> named_struct('sum', n, 'best', greatest(s.best, n)))[0], s -> s.best))[0]"""
+    flagged = beside.withColumn("window", F.least(F.lit(window), F.size("item"))).select("doc_id", "text_hash", "number", "window", F.expr(best).alias("matched"))
+    found = flagged.groupBy("doc_id", "text_hash", "number", "window").agg(F.max("matched").alias("matched")).where(F.col("matched") * 100 >= F.col("window") * percent)
+    return found, named.select("number", "item_id").distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
@@ -50,33 +80,20 @@ def leaks(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...]
     document and an item are compared on every diagonal on which they share a
     seed.  On it the item leaks where `window` consecutive tokens of the
     item (or all, if it has fewer) agree with the document's in at least `percent`.
+    Items of fewer than 8 tokens have seeds of their own that miss nothing; down to one
+    token, an item leaks into every document that holds it.
 
-    Null or empty texts and items of fewer tokens than the shortest mask spans
-    leak nothing; null ids likewise.  Rows that repeat an id are taken
-    together.  Equal items leak together.  Extra columns are ignored.
+    Null or empty texts and items leak nothing; null ids likewise.  A text of any length is
+    compared whole.  Rows that repeat an id are taken
+    together, the best stretch of their texts counting.  Equal items leak together.  Empty tables give an
+    empty one.  Extra columns are ignored.
     """
-    shortest = min(m[-1] for m in masks) + 1
-    tests = items.where("item_id IS NOT NULL").select("item_id", _hashes(F.col("text")).alias("h")).where(F.size("h") >= shortest)
-    tests = store(tests.groupBy("h").agg(F.collect_set("item_id").alias("item_ids")).withColumn("number", F.monotonically_increasing_id()))
-    seeds = store(_seeds(tests.select("number", "h"), masks).select("number", "seed", F.col("at").alias("item_at")).groupBy("seed").agg(F.collect_set(F.struct("number", "item_at")).alias("places")))
-    keys = seeds if seeds.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS else F.broadcast(seeds)
-
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", _hashes(F.col("text")).alias("h"))
-    hits = _seeds(texts, masks).join(keys, "seed")
-    hits = hits.select("doc_id", "h", "at", F.explode("places").alias("p")).select("doc_id", "h", "p.number", (F.col("at") - F.col("p.item_at")).alias("shift"))
-    tests = tests.select("number", "item_ids", F.col("h").alias("item"))
-    beside = hits.join(F.broadcast(tests) if tests.count() <= BROADCAST_ROWS // 100 else tests, "number")
-    # One expression, bound once: the flags of agreeing tokens, and their largest sum over a stretch.
-    best = """transform(array(transform(item, (t, j) -> if(get(h, j + shift) = t, 1, 0))), agree ->
-        aggregate(sequence(0, size(agree) - 1), named_struct('sum', 0, 'best', 0), (s, j) -> transform(
-            array(s.sum + agree[j] - if(j < window, 0, agree[greatest(j - window, 0)])), n -> named_struct('sum', n, 'best', greatest(s.best, n)))[0], s -> s.best))[0]"""
-    flagged = beside.withColumn("window", F.least(F.lit(window), F.size("item"))).select("doc_id", "number", "window", F.expr(best).alias("matched"))
-    found = flagged.groupBy("doc_id", "number", "window").agg(F.max("matched").alias("matched")).where(F.col("matched") * 100 >= F.col("window") * percent)
-    named = found.join(tests.select("number", F.explode("item_ids").alias("item_id")), "number")
-    return named.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"))
+    found, named = _diagonals(docs, items, masks, window, percent)
+    return found.join(named, "number").groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """`docs` without those that hold test items, all columns kept; rows with a null id stay."""
-    found = leaks(docs, items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` without those that hold test items, all columns kept; rows with a null id stay, and of rows that repeat an id those whose own text holds none."""
+    found, _ = _diagonals(docs, items, MASKS, WINDOW, PERCENT)
+    gone = store(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    return docs.join(small(gone), (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti").select(*docs.columns)

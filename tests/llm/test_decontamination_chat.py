@@ -14,18 +14,17 @@ def toks(text):
 
 
 def brute(docs, items):
+    """Every diagonal of every document and item, without seeds."""
     out = {}
     for d, text, _ in docs:
         h = toks(text)
         for i, item, _ in items:
             t = toks(item)
-            if d is None or i is None or len(t) < 6:
+            if d is None or i is None or not t:
                 continue
+            w = min(20, len(t))
             for shift in range(-len(t), len(h) + 1):
-                if not any(all(0 <= s + shift + m and s + shift + m < len(h) and s + m < len(t) and h[s + shift + m] == t[s + m] for m in mask) for mask in spaced.MASKS for s in range(len(t) - mask[-1])):
-                    continue
                 agree = [int(0 <= j + shift < len(h) and h[j + shift] == t[j]) for j in range(len(t))]
-                w = min(20, len(t))
                 best = max(sum(agree[s : s + w]) for s in range(len(t) - w + 1))
                 if best * 100 >= w * 80:
                     old = out.get((d, i), (0, 0))
@@ -37,7 +36,7 @@ def case():
     rng = random.Random(1)
     vocabulary = [f"tok{i}" for i in range(60)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([6, 9, 25, 40]))), "x") for i in range(8)]
-    items += [(20, items[2][1].upper(), "x"), (21, None, "x"), (22, "", "x"), (23, "too short", "x"), (None, items[0][1], "x")]
+    items += [(20, items[2][1].upper(), "x"), (21, None, "x"), (22, "", "x"), (23, "too short", "x"), (24, "tok3", "x"), (25, "tok1 tok2 tok3 tok4", "x"), (26, "tok5 tok6 tok7 tok8 tok9", "x"), (None, items[0][1], "x")]
     docs = []
     for i in range(40):
         body = [rng.choice(vocabulary) for _ in range(rng.choice([0, 3, 30]))]
@@ -59,10 +58,35 @@ def test_leaks_as_brute_force(spark):
 
 def test_clean_keeps_the_rest_and_its_columns(spark):
     docs, items = case()
-    flagged = {d for d, _ in brute(docs, items)}
+    items = [r for r in items if r[0] not in (23, 24)]  # a single token leaks nearly everywhere
+    flagged = lambda row: any(brute([row], items))  # noqa: E731  by its own text
     made = spaced.clean(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
     assert made.columns == ["doc_id", "text", "item_id"]
-    assert sorted((r["doc_id"] for r in made.collect()), key=str) == sorted((d for d, *_ in docs if d not in flagged), key=str)
+    assert sorted((r["doc_id"] for r in made.collect()), key=str) == sorted((r[0] for r in docs if not flagged(r)), key=str)
+
+
+def test_recall_of_the_seeds_at_every_length(spark):
+    rng = random.Random(9)
+    items, docs = [], []
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15, 17, 20):
+        for copy in range(40):
+            own = [f"i{n}x{copy}x{k}" for k in range(n)]
+            items.append((n * 100 + copy, " ".join(own), "x"))
+            for k in rng.sample(range(n), n - -(-n * 80 // 100)):
+                own[k] = "other"
+            docs.append((n * 100 + copy, " ".join(["before", *own, "after"]), "x"))
+    found = {(r["doc_id"], r["item_id"]) for r in spaced.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert all(d == i for d, i in found)
+    recall = {n: sum((i, i) in found for i in range(n * 100, n * 100 + 40)) / 40 for n in {i // 100 for i, _, _ in items}}
+    assert min(recall.values()) >= 0.9 and all(recall[n] == 1 for n in range(1, 8)), recall
+
+
+def test_clean_keeps_other_texts_of_a_leaking_id(spark):
+    docs, items = case()
+    leaking = next(r for r in docs if (r[0], 3) in brute([r], [items[3]]))
+    rows = [leaking, (leaking[0], "nothing of the kind", "x"), (leaking[0], None, "x")]
+    made = spaced.clean(spark.createDataFrame(rows, DOCS), spark.createDataFrame([items[3]], ITEMS))
+    assert sorted((r["text"] for r in made.collect()), key=str) == [None, "nothing of the kind"]
 
 
 def test_leaks_of_nothing(spark):
@@ -73,7 +97,7 @@ def test_leaks_of_nothing(spark):
 
 
 def test_leaks_with_more_seeds_than_are_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(spaced, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(spaced, "small", lambda df: df)
     docs, items = case()
     made = spaced.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in made} == set(brute(docs, items))
