@@ -75,6 +75,28 @@ def test_stages_one_by_one(spark, corpus, tmp_path):
     assert [r["shard"] for r in after[4]] == jump.jump_hash(keys, 16).tolist()
 
 
+def test_near_dedup_keeps_other_texts_of_an_id(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    other = " ".join(f"other{k}" for k in range(60))
+    rows = [
+        (5, long, "en", "s", 1), (5, other, "en", "s", 2), (5, other, "en", "s", 2), (9, long + " end", "en", "s", 3), (None, long, "en", "s", 4),
+        (7, None, "en", "s", 5), (7, None, "en", "s", 6), (8, "", "en", "s", 7), (None, other + " x", "en", "s", 8), (11, "alone " * 30_000, "en", "s", 9),
+    ]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "n_chars AS __group", "lang AS component_id")
+    made = corpus_pipeline.near_dedup(spark, docs, "")
+    assert made.columns == docs.columns
+    got = sorted((str(r["doc_id"]), r["text"] and r["text"][:5], r["n_chars"]) for r in made.collect())
+    assert got == sorted([("5", "word0", 1), ("5", "other", 2), ("7", None, 5), ("7", None, 6), ("8", "", 7), ("11", "alone", 9)])
+
+
+def test_an_empty_corpus_passes_all_stages(spark, corpus, tmp_path):
+    folder, items = corpus
+    docs = spark.createDataFrame([], DOCS + ", shard string")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        assert docs.count() == 0, name
+
+
 def test_quality_stage_drops_few_clean_documents(spark, corpus):
     folder, _ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -84,6 +106,16 @@ def test_quality_stage_drops_few_clean_documents(spark, corpus):
     assert {900, 901, None} <= gone and len(gone) <= 4
 
 
+def test_long_texts_in_the_last_stages(spark, corpus):
+    folder, _ = corpus
+    rows = [(1, "word " * 200_000, "en", "a", 1_000_000), (2, None, "en", "a", None), (3, "few words", "en", None, 9), (3, "few words", "en", None, 9)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = corpus_pipeline.mix(spark, docs, folder)
+    assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= {1, 3}
+    made = corpus_pipeline.shard(spark, docs, folder).collect()
+    assert len(made) == 4 and sorted(r["size"] for r in made) == [1, 10, 10, 1_000_001]
+
+
 def test_run_is_the_query_and_repeats(spark, corpus):
     folder, _ = corpus
     key = lambda df: sorted((str(r["doc_id"]), r["text"], r["shard"], r["slot"]) for r in df.collect())
