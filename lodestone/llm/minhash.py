@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     doc_id share one node of the graph and so one component, and each gets its
     row.  Other columns of `docs` are ignored.  An empty table gives an empty one.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, "4m")
     signed = store(signatures(docs, width))
     with_words = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same_set = ["n_shingles", "f1", "f2"]

@@ -134,7 +134,7 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
 
 def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, rows: int = FIT_ROWS) -> Model:
     """Fit on rated documents: `ratings` is (doc_id, grade 0..n_grades-1); beyond `rows` of them a sample by hash of the id."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, "4m")
     ratings = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     n = max(ratings.count(), 1)
     share = min(1.0, rows / n)
@@ -158,7 +158,7 @@ def graded(docs: DataFrame, model: Model, least: float = 0.6) -> DataFrame:
     text of unknown words.  Rows with null or repeated ids are graded like any
     other; other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, "4m")
     weights, thresholds = model.weights.astype(np.float32), model.thresholds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def graded(docs: DataFrame, model: Model, least: float = 0.6) -> DataFrame:
 
 def kept_documents(docs: DataFrame, model: Model, least: float = 0.6) -> DataFrame:
     """The rows of `docs` that `graded` keeps, all columns as they are."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, "4m")
     weights, thresholds = model.weights.astype(np.float32), model.thresholds
     at = docs.columns.index("text")
 

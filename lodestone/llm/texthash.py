@@ -13,8 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Texts are worked on in slices of about this many bytes, so temporaries stay near 100 MB.
-SLICE_BYTES = 1_500_000
+#: Texts are worked on in slices of about this many bytes, so temporaries stay near 50 MB.
+SLICE_BYTES = 750_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
