@@ -57,3 +57,13 @@ def masked_labels(prompt_ids: Column, full_ids: Column, ignore: int = -100) -> C
     n = F.size(prompt_ids)
     fits = F.slice(full_ids, 1, n) == prompt_ids
     return F.when(fits, F.transform(full_ids, lambda x, i: F.when(i < n, F.lit(ignore)).otherwise(x)))
+
+
+def excerpt(text: Column, most: int = 1600) -> Column:
+    """The first `most` characters."""
+    return F.substring(text, 1, most)
+
+
+def first_seen(values: Column) -> Column:
+    """The distinct values of an array in the order in which they come first."""
+    return F.array_distinct(values)

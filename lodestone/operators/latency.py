@@ -30,3 +30,13 @@ def nearest_length(rows: DataFrame, targets: list[int]) -> DataFrame:
     """
     wanted = F.explode(F.array(*[F.lit(t) for t in targets])).alias("target")
     return rows.select("id", "tokens", wanted).groupBy("target").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("target")).alias("apart"), "id", "tokens")).alias("m")).select("target", "m.id", "m.tokens")
+
+
+def weighted_mean(rows: DataFrame, by: str, value: str, weight: str) -> DataFrame:
+    """(by, n, mean): the mean of a value weighted by a count; null where the weights sum to 0."""
+    return rows.groupBy(by).agg(F.count(value).alias("n"), F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))).alias("mean"))
+
+
+def measured(rows: DataFrame, by: str, step: str, warmup: int, amount: str, seconds: str) -> DataFrame:
+    """(by, steps, per_second): amounts over seconds of the steps after the warm-up."""
+    return rows.where(F.col(step) > warmup).groupBy(by).agg(F.count("*").alias("steps"), F.try_divide(F.sum(amount), F.sum(seconds)).alias("per_second"))

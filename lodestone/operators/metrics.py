@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 LABELS = ("SUPPORT", "CONTRADICT", "INSUFFICIENT")
 
 
-def ir_metrics(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
+def ir_metrics(ranking: DataFrame, qrels: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(query_id, ndcg_10, recall_10, recall_100, mrr_10) per query with a positive.
 
     `ranking` is (query_id, doc_id, rank), `qrels` (query_id, doc_id).  Gains
     are binary, 1 / log2(rank + 1), ideal over the first ten or all positives; a query
-    without hits scores 0.
+    without hits scores 0.  A ranking that holds a document twice raises, and so does a query of `asked` (query_id), where given, without a positive.
     """
+    once = ranking.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"), F.count("*").alias("__n"))
+    ranking = once.where(F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("a document stands twice in the ranking of query "), F.col("query_id").cast("string"))).cast("boolean")).otherwise(F.lit(True)))
+    if asked is not None:
+        lacking = asked.select("query_id").join(qrels, "query_id", "left_anti").limit(1).collect()
+        if lacking:
+            raise ValueError(f"query {lacking[0][0]} has no positive")
     positives = qrels.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_pos"))
     hits = ranking.join(qrels.distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(
         F.sum(F.when(F.col("rank") <= 10, 1 / F.log2(F.col("rank") + 1))).alias("dcg"),
@@ -46,9 +52,9 @@ def confusion(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def classification(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., label, support, precision, recall, f1, macro_f1, accuracy) over (gold, predicted).
+    """(by..., label, support, said, precision, recall, f1, label_accuracy, macro_f1, accuracy) over (gold, predicted).
 
-    0/0 is 0; a prediction outside the labels is a miss and never a class; the
+    said counts the predictions of a label and label_accuracy, its hits over its support, is null without support.  0/0 is 0; a prediction outside the labels is a miss and never a class; the
     macro mean always divides by the three labels.
     """
     counts = pairs.groupBy(*by, "gold", "predicted").agg(F.count("*").alias("n"))
@@ -61,14 +67,17 @@ def classification(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     each = sums.withColumns({"precision": ratio(F.col("tp"), F.col("said")), "recall": ratio(F.col("tp"), F.col("support"))})
+    each = each.withColumn("label_accuracy", F.try_divide("tp", "support"))
     each = each.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     over = Window.partitionBy(*by)
     each = each.withColumns({"macro_f1": F.sum("f1").over(over) / len(LABELS), "accuracy": F.sum("tp").over(over) / F.col("total")})
-    return each.select(*by, "label", "support", "precision", "recall", "f1", "macro_f1", "accuracy")
+    return each.select(*by, "label", "support", "said", "precision", "recall", "f1", "label_accuracy", "macro_f1", "accuracy")
 
 
 def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
-    """One row (n, ece, brier, nll, accuracy) over (gold, probabilities in label order).
+    """One row (n, ece, brier, nll, accuracy, agreement) over (gold, probabilities in label order).
+
+    agreement is the share of rows whose most probable label is `predicted`, null without such a column.
 
     Confidence is the largest probability, of the first label on ties.  Bins
     are [i/bins, (i+1)/bins), the last closed; the Brier score sums over the labels; the
@@ -79,24 +88,28 @@ def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
     gold = F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col("gold"))
     edge = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     brier = F.aggregate(F.transform(p, lambda x, i: F.pow(x - F.when(i + 1 == gold, 1.0).otherwise(0.0), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
+    agrees = (F.element_at(F.array(*[F.lit(x) for x in LABELS]), at.cast("int")) == F.col("predicted")).cast("double") if "predicted" in rows.columns else F.lit(None).cast("double")
     each = rows.select(
         confidence.alias("confidence"), (at == gold).cast("double").alias("hit"), F.size(F.filter(edge, lambda e: e <= confidence)).alias("bin"), brier.alias("brier"),
-        (-F.log(F.greatest(F.element_at(p, gold.cast("int")), F.lit(1e-300)))).alias("nll"),
+        (-F.log(F.greatest(F.element_at(p, gold.cast("int")), F.lit(1e-300)))).alias("nll"), agrees.alias("agrees"),
     )
-    per_bin = each.groupBy("bin").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.sum("hit").alias("h"), F.sum("brier").alias("b"), F.sum("nll").alias("l"))
+    per_bin = each.groupBy("bin").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.sum("hit").alias("h"), F.sum("brier").alias("b"), F.sum("nll").alias("l"), F.sum("agrees").alias("a"))
     return per_bin.agg(
-        F.sum("n").alias("n"), (F.sum(F.abs(F.col("c") - F.col("h"))) / F.sum("n")).alias("ece"), (F.sum("b") / F.sum("n")).alias("brier"), (F.sum("l") / F.sum("n")).alias("nll"), (F.sum("h") / F.sum("n")).alias("accuracy")
+        F.sum("n").alias("n"), (F.sum(F.abs(F.col("c") - F.col("h"))) / F.sum("n")).alias("ece"), (F.sum("b") / F.sum("n")).alias("brier"), (F.sum("l") / F.sum("n")).alias("nll"), (F.sum("h") / F.sum("n")).alias("accuracy"), (F.sum("a") / F.sum("n")).alias("agreement")
     )
 
 
 def rationale_scores(rows: DataFrame) -> DataFrame:
     """`rows` with precision, recall and f1 of `predicted` (array<int>) against the best of `alternatives` (array<array<int>>).
 
-    Rows without alternatives are not eligible and get nulls, an empty prediction 0.
+    Rows without alternatives are not eligible and get nulls and, with a column `gold`, the reason why in `excluded`: gold_insufficient, or
+    retrieved_document_without_valid_gold_rationale.  An empty prediction scores 0.
     """
     one = """transform(alternatives, g -> named_struct('f1', CASE WHEN size(array_intersect(g, predicted)) = 0 THEN 0D
         ELSE 2D * size(array_intersect(g, predicted)) / (size(array_distinct(g)) + size(array_distinct(predicted))) END,
         'p', CASE WHEN size(predicted) = 0 THEN 0D ELSE double(size(array_intersect(g, predicted))) / size(array_distinct(predicted)) END,
         'r', double(size(array_intersect(g, predicted))) / size(array_distinct(g))))"""
     best = F.array_max(F.expr(one))
-    return rows.withColumn("__b", best).withColumns({"precision": F.col("__b.p"), "recall": F.col("__b.r"), "f1": F.col("__b.f1")}).drop("__b")
+    left_out = F.coalesce(F.size("alternatives"), F.lit(0)) <= 0
+    reason = F.when(left_out & ~F.coalesce(F.col("gold").isin("SUPPORT", "CONTRADICT"), F.lit(False)), "gold_insufficient").when(left_out, "retrieved_document_without_valid_gold_rationale") if "gold" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("__b", best).withColumns({"precision": F.col("__b.p"), "recall": F.col("__b.r"), "f1": F.col("__b.f1"), "excluded": reason}).drop("__b")

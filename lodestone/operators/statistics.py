@@ -1,20 +1,22 @@
 """Paired tests, intervals and resampling over small per-query or per-cluster tables.
 
 Resampled tables are per query, cluster or group: they are checked to be small and go to
-every task; replicates are dealt over the tasks by number, each with a seed of its own, so the
-result does not depend on the partitioning.
+every task.  Draws are md5 numbers of a seed, the replicate and the draw, so they are the same
+on every cluster and in SQL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+from lodestone.runtime import small, store
+
 #: The two-sided 95 % point of the normal law.
 Z = 1.959963984540054
 #: Units that can be resampled; beyond this they must be gathered into clusters first.
@@ -55,45 +57,96 @@ def sign_class(value: Column, tolerance: float = 1e-12) -> Column:
     return F.when(value > tolerance, "improved").when(F.abs(value) <= tolerance, "unchanged").otherwise("degraded")
 
 
-def _resampled(units: DataFrame, replicates: int, columns: list[str], statistic: Callable[[np.ndarray, np.random.Generator, int], np.ndarray], seed: int) -> DataFrame:
-    """(replicate, value): the statistic of each replicate over the small table of units, in order of its columns."""
-    table = units.select(*columns).limit(MOST_UNITS + 1).toPandas()
-    if len(table) > MOST_UNITS:
+def _word(seed: object, *parts: Column) -> Column:
+    """A reproducible number below 2^32: the first eight digits of the md5 of the seed and the parts."""
+    return F.conv(F.substring(T.seeded_order(seed, *parts), 1, 8), 16, 10).cast("bigint")
+
+
+def _numbered(units: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """(`units` with `unit`, numbered from 0 in the order of its columns; how many): small, and so checked."""
+    n = units.count()
+    if n > MOST_UNITS:
         raise ValueError("too many units to resample: gather them into clusters first")
-    values = table.sort_values(columns).to_numpy(np.float64)
+    return units.select(*columns, (F.row_number().over(Window.orderBy(*columns)) - 1).cast("bigint").alias("unit")), n
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [statistic(values, np.random.default_rng([seed, int(r)]), 1)[0] if len(values) else np.nan for r in batch["id"]]
-            yield pd.DataFrame({"replicate": batch["id"], "value": out})
 
-    return units.sparkSession.range(replicates).mapInPandas(run, "replicate long, value double")
+def _draws(units: DataFrame, replicates: int, columns: list[str], seed: object) -> DataFrame:
+    """(replicate, times, columns...): for each replicate the drawn units, as many as there are, with how often.
 
+    Draw d of replicate r is the unit numbered md5(seed|r|d) modulo their number.  Draws are counted before the join, and units go to every task.
+    """
+    numbered, n = _numbered(units, columns)
+    spark = units.sparkSession
+    each = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("d"))
+    picked = each.select("replicate", (_word(seed, F.col("replicate"), F.col("d")) % max(n, 1)).alias("unit")).groupBy("replicate", "unit").agg(F.count("*").alias("times"))
+    return picked.join(small(store(numbered)), "unit").drop("unit")
 
-def bootstrap(units: DataFrame, replicates: int = 10_000, seed: int = 0) -> DataFrame:
+
+def bootstrap(units: DataFrame, replicates: int = 10_000, seed: object = 0) -> DataFrame:
     """(mean, low, high): percentile interval of sum(total) / sum(size) over resampled units (total, size).
 
     A unit is a query (size 1) or a cluster of queries with the sum of their differences.
     """
+    draws = _draws(units, replicates, ["total", "size"], seed).groupBy("replicate").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("size"))).alias("value"))
+    point = units.agg((F.sum("total") / F.sum("size")).alias("mean"))
+    return point.crossJoin(draws.agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high")))
+
 
-    def mean(values: np.ndarray, rng: np.random.Generator, _: int) -> np.ndarray:
-        take = values[rng.integers(0, len(values), len(values))]
-        return np.array([take[:, 0].sum() / take[:, 1].sum()])
+def sign_flip(units: DataFrame, permutations: int = 10_000, seed: object = 0) -> DataFrame:
+    """(mean, p): two-sided sign-flip test of sum(total) / sum(size), (extreme + 1) / (permutations + 1).
 
-    draws = _resampled(units, replicates, ["total", "size"], mean, seed)
+    The sign of a unit in permutation r is the parity of md5(seed|r|unit).
+    """
+    numbered, _ = _numbered(units, ["total", "size"])
+    each = small(store(numbered)).crossJoin(units.sparkSession.range(permutations).withColumnRenamed("id", "replicate"))  # permutations x checked units
+    sign = 1 - 2 * (_word(seed, F.col("replicate"), F.col("unit")) % 2)
+    values = each.groupBy("replicate").agg(F.abs(F.sum(F.col("total") * sign) / F.sum("size")).alias("value"))
     point = units.agg((F.sum("total") / F.sum("size")).alias("mean"))
-    return point.crossJoin(draws.agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high")))
+    return values.crossJoin(F.broadcast(point)).groupBy("mean").agg(((F.count_if(F.col("value") >= F.abs("mean") - 1e-12) + 1) / (permutations + 1)).alias("p"))
 
 
-def sign_flip(units: DataFrame, permutations: int = 10_000, seed: int = 0) -> DataFrame:
-    """(mean, p): two-sided sign-flip test of sum(total) / sum(size), (extreme + 1) / (permutations + 1)."""
+def paired_summary(diff: Column) -> list[Column]:
+    """Aggregates of paired differences: mean, median, and counts and shares of improved, unchanged and degraded."""
+    kind = sign_class(diff)
+    counts = {k: F.count_if(kind == k) for k in ("improved", "unchanged", "degraded")}
+    return [F.avg(diff).alias("mean_difference"), F.median(diff).cast("double").alias("median_difference"), *[c.alias(k) for k, c in counts.items()], *[F.try_divide(c, F.count(diff)).alias(f"{k}_share") for k, c in counts.items()]]
 
-    def flipped(values: np.ndarray, rng: np.random.Generator, _: int) -> np.ndarray:
-        return np.array([np.abs((values[:, 0] * rng.choice([-1.0, 1.0], len(values))).sum() / values[:, 1].sum())])
 
-    draws = _resampled(units, permutations, ["total", "size"], flipped, seed)
-    point = units.agg((F.sum("total") / F.sum("size")).alias("mean"))
-    return draws.crossJoin(F.broadcast(point)).groupBy("mean").agg(((F.count_if(F.col("value") >= F.abs("mean") - 1e-15) + 1) / (permutations + 1)).alias("p"))
+def comparison_family(differences: DataFrame, comparisons: list[str], metrics: list[str], primary: tuple[str, str], replicates: int, permutations: int, seed: int) -> DataFrame:
+    """(comparison, metric, role, mean, low, high, p, holm): a family of paired comparisons over clusters.
+
+    `differences` is (comparison, metric, total, size), a row a cluster.  Test number i of the family, comparison by comparison, has the seed + i; one is
+    primary, and the p-values of all others, the exploratory ones, are adjusted together.
+    """
+    parts = None
+    for i, (comparison, metric) in enumerate((c, m) for c in comparisons for m in metrics):
+        units = store(differences.where((F.col("comparison") == comparison) & (F.col("metric") == metric)).select("total", "size"))
+        role = "primary" if (comparison, metric) == primary else "exploratory"
+        row = bootstrap(units, replicates, seed + i).crossJoin(sign_flip(units, permutations, seed + i).select("p"))
+        row = row.select(F.lit(comparison).alias("comparison"), F.lit(metric).alias("metric"), F.lit(role).alias("role"), "mean", "low", "high", "p")
+        parts = row if parts is None else parts.unionByName(row)
+    family = store(parts)
+    adjusted = holm(family.where("role = 'exploratory'"), "p")
+    return adjusted.unionByName(family.where("role = 'primary'").withColumn("holm", F.lit(None).cast("double")))
+
+
+def cluster_macro_f1(rows: DataFrame, cluster: str, replicates: int, seed: object = 0) -> DataFrame:
+    """(value, low, high): percentile interval of the gain in macro F1 of `predicted` over `other`, clusters of rows being resampled.
+
+    Clusters enter as counts of their label combinations, a few dozen each at most.
+    """
+    from lodestone.operators.metrics import LABELS
+
+    counts = [f"{kind}{k}" for kind in ("g", "p", "q", "pt", "qt") for k in range(len(LABELS))]
+    hit = {"g": F.col("gold"), "p": F.col("predicted"), "q": F.col("other")}
+    sums = [F.count_if(hit[kind] == label).alias(f"{kind}{k}") for kind in "gpq" for k, label in enumerate(LABELS)]
+    sums += [F.count_if((F.col(c) == label) & (F.col("gold") == label)).alias(f"{kind}{k}") for kind, c in (("pt", "predicted"), ("qt", "other")) for k, label in enumerate(LABELS)]
+    units = store(rows.groupBy(cluster).agg(*sums).select(*counts))
+    f1 = lambda said, right: sum((F.coalesce(F.try_divide(2 * F.col(f"{right}{k}"), F.col(f"{said}{k}") + F.col(f"g{k}")), F.lit(0.0)) for k in range(len(LABELS))), F.lit(0.0)) / len(LABELS)
+    gain = (f1("p", "pt") - f1("q", "qt")).alias("value")
+    draws = _draws(units, replicates, counts, seed).groupBy("replicate").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in counts]).select(gain)
+    point = units.agg(*[F.sum(c).alias(c) for c in counts]).select(gain)
+    return point.crossJoin(draws.agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high")))
 
 
 def macro_f1_bootstrap(pairs: DataFrame, other: str | None = None, replicates: int = 2_000, seed: int = 0) -> DataFrame:

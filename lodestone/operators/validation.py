@@ -69,3 +69,88 @@ def label_gate(rows: DataFrame, label: str) -> DataFrame:
     state = rows.agg(F.count("*").alias("n"), F.count(label).alias("k"))
     reason = F.when(F.col("n") == 0, "no rows").when(F.col("k") == 0, "labels hidden").when(F.col("k") < F.col("n"), "labels incomplete").otherwise("labels complete")
     return state.select(((F.col("n") > 0) & (F.col("k") == F.col("n"))).alias("available"), reason.alias("reason"))
+
+
+def filter_rule(score: Column, rule: str, most: float | None = None) -> Column:
+    """Whether a candidate passes a pool's rule: absolute_score_max (inclusive), drop_all or no_filter."""
+    if rule == "absolute_score_max":
+        return F.coalesce(score <= F.lit(float(most)), F.lit(False))
+    if rule in ("drop_all", "no_filter"):
+        return F.lit(rule == "no_filter")
+    raise ValueError(f"unknown filter rule {rule!r}")
+
+
+def kept_pools(audit: DataFrame, threshold: float) -> DataFrame:
+    """(pool, n, contaminated, kept): whether a pool's share of contaminated audit rows (pool, contaminated boolean) is within the threshold."""
+    counts = audit.groupBy("pool").agg(F.count("*").alias("n"), F.count_if("contaminated").alias("contaminated"))
+    return counts.withColumn("kept", F.col("contaminated") <= F.col("n") * F.lit(threshold))
+
+
+#: Columns that a pool row must have.
+POOL_COLUMNS = ("claim_id", "doc_id", "condition", "source_split", "claim_gold_label", "pair_annotation", "context_label", "rationale_sentences", "retrieval_score", "filter_version", "filter_status")
+
+
+def pool_problems(rows: DataFrame, versions: dict[str, str], most: dict[str, float]) -> DataFrame:
+    """(claim_id, doc_id, condition, problem): rows that break what their condition A to D asks for, one row a problem.
+
+    A rows carry their gold label as annotation and context, with a rationale.  B, C and D rows are unannotated,
+    insufficient and without one; B and C need the filter version of their pool and its approval, B a score within its
+    bound.  MIXED claims belong in A alone.  `versions` and `most` are by condition.  Missing columns raise.
+    """
+    missing = [c for c in POOL_COLUMNS if c not in rows.columns]
+    if missing:
+        raise ValueError(f"missing columns {missing}")
+    condition, gold = F.col("condition"), F.col("condition") == "A"
+    version = F.element_at(F.create_map(*[F.lit(x) for pair in (versions or {"": ""}).items() for x in pair]), condition)
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in (most or {"": 0.0}).items() for x in pair]), condition)
+    none = F.coalesce(F.size("rationale_sentences"), F.lit(0)) <= 0
+    sided = F.coalesce(F.col("pair_annotation").isin("SUPPORT", "CONTRADICT"), F.lit(False))
+    found = {
+        "condition": ~F.coalesce(condition.isin("A", "B", "C", "D"), F.lit(False)),
+        "split": ~F.col("source_split").eqNullSafe("TRAIN"),
+        "gold": gold & (~sided | ~F.col("context_label").eqNullSafe(F.col("pair_annotation")) | none),
+        "negative": ~gold & (F.col("pair_annotation").isNotNull() | ~F.col("context_label").eqNullSafe("INSUFFICIENT") | ~none),
+        "filter": condition.isin("B", "C") & (~F.col("filter_version").eqNullSafe(version) | ~F.col("filter_status").eqNullSafe("approved")),
+        "score": bound.isNotNull() & F.coalesce(F.col("retrieval_score") > bound + 1e-12, F.lit(True)),
+        "mixed": ~gold & F.col("claim_gold_label").eqNullSafe("MIXED"),
+    }
+    listed = F.filter(F.array(*[F.when(F.coalesce(is_so, F.lit(False)), name) for name, is_so in found.items()]), lambda x: x.isNotNull())
+    return rows.select("claim_id", "doc_id", "condition", F.explode(listed).alias("problem"))
+
+
+def cluster_problems(expected: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
+    """(key, problem): `clusters` (members array) must hold every expected key exactly once."""
+    return id_differences(expected, clusters.select(F.explode("members").alias(key)), key)
+
+
+def sentence_problems(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id): documents (doc_id, sentences array) whose passages (doc_id, sentence_index, text) are not all of their sentences, each unchanged and once."""
+    wanted = docs.select("doc_id", F.posexplode("sentences").alias("sentence_index", "text"))
+    sides = [d.groupBy("doc_id", "sentence_index").agg(F.count("*").alias(f"n{k}"), F.min("text").alias(f"t{k}")) for k, d in ((1, wanted), (2, passages))]
+    both = sides[0].join(sides[1], ["doc_id", "sentence_index"], "full")
+    return both.where("NOT (n1 <=> n2) OR NOT (t1 <=> t2)").select("doc_id").distinct()
+
+
+def derived_problems(rows: DataFrame, key: str, product: str, factors: tuple[str, str], tolerance: float = 1e-12) -> DataFrame:
+    """(key, problem): rows where a stored product is missing or differs from its factors' by more than the tolerance."""
+    a, b, c = F.col(factors[0]), F.col(factors[1]), F.col(product)
+    problem = F.when(a.isNull() | b.isNull() | c.isNull(), "missing").when(F.abs(c - a * b) > tolerance, "differs")
+    return rows.select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def pin_differences(hashes: DataFrame, pins: DataFrame) -> DataFrame:
+    """(path, problem): files (path, sha256) that differ from their pins, are missing or have none."""
+    both = hashes.select("path", F.col("sha256").alias("a")).join(pins.select("path", F.col("sha256").alias("b")), "path", "full")
+    return both.select("path", F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "not pinned").when(F.col("a") != F.col("b"), "changed").alias("problem")).where("problem IS NOT NULL")
+
+
+def resolved_labels(rows: DataFrame, by: str, label: str, strict: bool = False) -> DataFrame:
+    """(by, label): no decided label gives INSUFFICIENT, one gives itself, several give MIXED, or raise where `strict`."""
+    decided = rows.groupBy(by).agg(F.array_sort(F.collect_set(F.when(F.col(label) != "INSUFFICIENT", F.col(label)))).alias("s"))
+    several = F.raise_error(F.concat(F.lit("conflicting labels of "), F.col(by).cast("string"))).cast("string") if strict else F.lit("MIXED")
+    return decided.select(by, F.when(F.size("s") == 0, "INSUFFICIENT").when(F.size("s") == 1, F.get("s", F.lit(0))).otherwise(several).alias("label"))
+
+
+def pair_conflicts(rows: DataFrame, *pair: str, label: str = "label") -> DataFrame:
+    """(pair..., labels): pairs with more than one decided label."""
+    return rows.where(F.col(label) != "INSUFFICIENT").groupBy(*pair).agg(F.array_sort(F.collect_set(label)).alias("labels")).where("size(labels) > 1")

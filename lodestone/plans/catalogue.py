@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import parsing, vectors
 from lodestone.functions import text as T
-from lodestone.operators import latency, metrics, retrieval, sampling, statistics, validation
+from lodestone.operators import latency, metrics, retrieval, sampling, statistics, training, validation
 from lodestone.runtime import small, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,11 +270,11 @@ t AS (SELECT {by}, label, count(*) FILTER (gold = label AND {predicted} = label)
 f AS (SELECT *, coalesce(tp / nullif(said, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall, coalesce(2 * tp / nullif(said + support, 0), 0) AS f1 FROM t)"""
 
 
-@_query(_V + _f1_sql("lang") + """SELECT lang, label, support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1,
+@_query(_V + _f1_sql("lang") + """SELECT lang, label, support, said, round(tp / nullif(support, 0), 9) AS label_accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1,
 round(sum(f1) OVER (PARTITION BY lang) / 3, 9) AS macro_f1, round(sum(tp) OVER (PARTITION BY lang) / total, 9) AS accuracy FROM f""")
 def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = metrics.classification(_verdicts(spark, sf_dir), ("lang",))
-    return each.select("lang", "label", "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "macro_f1", "accuracy")])
+    return each.select("lang", "label", "support", "said", *[F.round(c, 9).alias(c) for c in ("label_accuracy", "precision", "recall", "f1", "macro_f1", "accuracy")])
 
 
 @_query(_V + """, g AS (SELECT DISTINCT lang FROM v), lab AS (SELECT unnest(['SUPPORT', 'CONTRADICT', 'INSUFFICIENT']) AS gold),
@@ -305,15 +305,14 @@ def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_V + """, c AS (SELECT source, (predicted = gold)::INT - (other = gold)::INT AS diff, predicted = gold AS a, other = gold AS b FROM v)
 SELECT source, count(*) FILTER (diff > 0) AS improved, count(*) FILTER (diff = 0) AS unchanged, count(*) FILTER (diff < 0) AS degraded, count(*) FILTER (a AND b) AS both_right,
-count(*) FILTER (NOT a AND NOT b) AS both_wrong, round(avg(diff), 9) AS mean_difference FROM c GROUP BY 1""")
+count(*) FILTER (NOT a AND NOT b) AS both_wrong, round(avg(diff), 9) AS mean_difference, median(diff)::DOUBLE AS median_difference,
+round(count(*) FILTER (diff > 0) / count(*), 9) AS improved_share, round(count(*) FILTER (diff = 0) / count(*), 9) AS unchanged_share, round(count(*) FILTER (diff < 0) / count(*), 9) AS degraded_share FROM c GROUP BY 1""")
 def paired_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("predicted") == F.col("gold"), F.col("other") == F.col("gold")
     rows = _verdicts(spark, sf_dir).select("source", a.alias("a"), b.alias("b"), (a.cast("int") - b.cast("int")).alias("diff"))
-    rows = rows.withColumn("kind", statistics.sign_class(F.col("diff")))
-    return rows.groupBy("source").agg(
-        *[F.count_if(F.col("kind") == k).alias(k) for k in ("improved", "unchanged", "degraded")],
-        F.count_if(F.col("a") & F.col("b")).alias("both_right"), F.count_if(~F.col("a") & ~F.col("b")).alias("both_wrong"), F.round(F.avg("diff"), 9).alias("mean_difference"),
-    )
+    made = rows.groupBy("source").agg(*statistics.paired_summary(F.col("diff")), F.count_if(F.col("a") & F.col("b")).alias("both_right"), F.count_if(~F.col("a") & ~F.col("b")).alias("both_wrong"))
+    rounded = {c: F.round(c, 9) for c in ("mean_difference", "improved_share", "unchanged_share", "degraded_share")}
+    return made.withColumns(rounded)
 
 
 _DISCORDANT = _V + """, c AS (SELECT source, count(*) FILTER (predicted = gold AND other <> gold) AS b, count(*) FILTER (predicted <> gold AND other = gold) AS c FROM v GROUP BY 1),
@@ -352,14 +351,22 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark, sf_dir).groupBy("source", (F.col("n_chars") % 50).alias("part")).agg(F.sum(diff).cast("double").alias("total"), F.count("*").cast("double").alias("size"))
 
 
-@_query()
+_UNITS = _V + """, u0 AS (SELECT source, n_chars % 50 AS part, sum((predicted = gold)::INT - (other = gold)::INT)::DOUBLE AS total, count(*)::DOUBLE AS size FROM v GROUP BY 1, 2),
+u AS (SELECT total, size, row_number() OVER (ORDER BY total, size) - 1 AS unit FROM u0), k AS (SELECT count(*) AS n, sum(total) / sum(size) AS mean FROM u)"""
+_WORD = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+@_query(_UNITS + f""", d AS (SELECT r, {_WORD.format("'0|' || r || '|' || i")} % n AS unit FROM k, (SELECT unnest(range(2000)) AS r), (SELECT unnest(range(100000)) AS i) WHERE i < n),
+m AS (SELECT r, sum(total) / sum(size) AS value FROM d JOIN u USING (unit) GROUP BY 1)
+SELECT round(mean, 9) AS mean, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high FROM m, k GROUP BY mean""")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.bootstrap(_units(spark, sf_dir), 2_000)
+    return statistics.bootstrap(_units(spark, sf_dir), 2_000).select(*[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
-@_query()
+@_query(_UNITS + f""", d AS (SELECT r, abs(sum(total * (1 - 2 * ({_WORD.format("'0|' || r || '|' || unit")} % 2))) / sum(size)) AS value FROM u, (SELECT unnest(range(2000)) AS r) GROUP BY r)
+SELECT round(mean, 9) AS mean, round((count(*) FILTER (value >= abs(mean) - 1e-12) + 1) / 2001, 9) AS p FROM d, k GROUP BY mean""")
 def sign_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.sign_flip(_units(spark, sf_dir), 2_000)
+    return statistics.sign_flip(_units(spark, sf_dir), 2_000).select(F.round("mean", 9).alias("mean"), F.round("p", 9).alias("p"))
 
 
 @_query()
@@ -370,30 +377,30 @@ def macro_f1_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOGITS = "[(n_chars % 17) / 4.0::DOUBLE, (n_chars % 23) / 5.0::DOUBLE, (n_chars % 7) / 2.0::DOUBLE]"
 
 
-@_query(_V + f""", e AS (SELECT gold, {_LOGITS} AS s FROM v), x AS (SELECT gold, list_transform(s, lambda y: exp(y - list_max(s))) AS w FROM e),
-p AS (SELECT list_position(['SUPPORT', 'CONTRADICT', 'INSUFFICIENT'], gold) AS g, list_transform(w, lambda y: y / list_sum(w)) AS p FROM x),
-c AS (SELECT list_max(p) AS conf, (list_position(p, list_max(p)) = g)::INT::DOUBLE AS hit, len(list_filter([{', '.join(f'({i}::DOUBLE / 10)' for i in range(1, 10))}], lambda b: b <= list_max(p))) AS bin,
+@_query(_V + f""", e AS (SELECT gold, predicted, {_LOGITS} AS s FROM v), x AS (SELECT gold, predicted, list_transform(s, lambda y: exp(y - list_max(s))) AS w FROM e),
+p AS (SELECT predicted, list_position(['SUPPORT', 'CONTRADICT', 'INSUFFICIENT'], gold) AS g, list_transform(w, lambda y: y / list_sum(w)) AS p FROM x),
+c AS (SELECT (['SUPPORT', 'CONTRADICT', 'INSUFFICIENT'][list_position(p, list_max(p))] = predicted)::INT AS agrees, list_max(p) AS conf, (list_position(p, list_max(p)) = g)::INT::DOUBLE AS hit, len(list_filter([{', '.join(f'({i}::DOUBLE / 10)' for i in range(1, 10))}], lambda b: b <= list_max(p))) AS bin,
   list_sum(list_transform(p, lambda y, i: power(y - CASE WHEN i = g THEN 1 ELSE 0 END, 2))) AS brier, -ln(greatest(p[g], 1e-300)) AS nll FROM p),
-b AS (SELECT bin, count(*) AS n, sum(conf) AS c, sum(hit) AS h, sum(brier) AS br, sum(nll) AS l FROM c GROUP BY 1)
-SELECT sum(n)::BIGINT AS n, round(sum(abs(c - h)) / sum(n), 8) AS ece, round(sum(br) / sum(n), 8) AS brier, round(sum(l) / sum(n), 8) AS nll, round(sum(h) / sum(n), 8) AS accuracy FROM b""")
+b AS (SELECT bin, count(*) AS n, sum(conf) AS c, sum(hit) AS h, sum(brier) AS br, sum(nll) AS l, sum(agrees) AS a FROM c GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, round(sum(abs(c - h)) / sum(n), 8) AS ece, round(sum(br) / sum(n), 8) AS brier, round(sum(l) / sum(n), 8) AS nll, round(sum(h) / sum(n), 8) AS accuracy, round(sum(a) / sum(n), 8) AS agreement FROM b""")
 def calibration_ece_brier_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
-    rows = _verdicts(spark, sf_dir).select("gold", vectors.softmax(F.array((n % 17) / 4.0, (n % 23) / 5.0, (n % 7) / 2.0)).alias("probabilities"))
-    return metrics.calibration(rows).select("n", *[F.round(c, 8).alias(c) for c in ("ece", "brier", "nll", "accuracy")])
+    rows = _verdicts(spark, sf_dir).select("gold", "predicted", vectors.softmax(F.array((n % 17) / 4.0, (n % 23) / 5.0, (n % 7) / 2.0)).alias("probabilities"))
+    return metrics.calibration(rows).select("n", *[F.round(c, 8).alias(c) for c in ("ece", "brier", "nll", "accuracy", "agreement")])
 
 
-@_query(_V + """, r AS (SELECT doc_id, [n_chars % 5, n_chars % 3 + 2] AS pred, CASE WHEN gold = 'INSUFFICIENT' THEN [] ELSE [[n_chars % 4], [n_chars % 5, n_chars % 6 + 5]] END AS alt FROM v),
-u AS (SELECT doc_id, list_distinct(pred) AS p, alt, unnest(CASE WHEN len(alt) = 0 THEN [NULL] ELSE alt END) AS g FROM r),
-s AS (SELECT doc_id, len(alt) AS k, len(list_intersect(p, list_distinct(g)))::DOUBLE AS c, len(p) AS np, len(list_distinct(g)) AS ng FROM u),
-f AS (SELECT doc_id, k, c / np AS precision, c / ng AS recall, 2 * c / (np + ng) AS f1 FROM s),
-b AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY f1 DESC, precision DESC, recall DESC) AS n, precision, recall, f1 FROM f)
-SELECT count(*) AS n, count(*) FILTER (k > 0) AS eligible, round(avg(precision) FILTER (k > 0), 9) AS precision, round(avg(recall) FILTER (k > 0), 9) AS recall, round(avg(f1) FILTER (k > 0), 9) AS f1 FROM b WHERE n = 1""")
+@_query(_V + """, r AS (SELECT doc_id, gold, [n_chars % 5, n_chars % 3 + 2] AS pred, CASE WHEN gold = 'INSUFFICIENT' OR n_chars % 8 = 0 THEN [] ELSE [[n_chars % 4], [n_chars % 5, n_chars % 6 + 5]] END AS alt FROM v),
+u AS (SELECT doc_id, gold, list_distinct(pred) AS p, alt, unnest(CASE WHEN len(alt) = 0 THEN [NULL] ELSE alt END) AS g FROM r),
+s AS (SELECT doc_id, gold, len(alt) AS k, len(list_intersect(p, list_distinct(g)))::DOUBLE AS c, len(p) AS np, len(list_distinct(g)) AS ng FROM u),
+f AS (SELECT doc_id, gold, k, c / np AS precision, c / ng AS recall, 2 * c / (np + ng) AS f1 FROM s),
+b AS (SELECT doc_id, gold, k, row_number() OVER (PARTITION BY doc_id ORDER BY f1 DESC, precision DESC, recall DESC) AS n, precision, recall, f1 FROM f)
+SELECT count(*) AS n, count(*) FILTER (k > 0) AS eligible, count(*) FILTER (k = 0 AND gold = 'INSUFFICIENT') AS gold_insufficient, count(*) FILTER (k = 0 AND gold <> 'INSUFFICIENT') AS without_rationale, round(avg(precision) FILTER (k > 0), 9) AS precision, round(avg(recall) FILTER (k > 0), 9) AS recall, round(avg(f1) FILTER (k > 0), 9) AS f1 FROM b WHERE n = 1""")
 def rationale_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")
     none = F.array().cast("array<array<bigint>>")
-    rows = _verdicts(spark, sf_dir).select(F.array(n % 5, n % 3 + 2).alias("predicted"), F.when(F.col("gold") == "INSUFFICIENT", none).otherwise(F.array(F.array(n % 4), F.array(n % 5, n % 6 + 5))).alias("alternatives"))
+    rows = _verdicts(spark, sf_dir).select("gold", F.array(n % 5, n % 3 + 2).alias("predicted"), F.when((F.col("gold") == "INSUFFICIENT") | (n % 8 == 0), none).otherwise(F.array(F.array(n % 4), F.array(n % 5, n % 6 + 5))).alias("alternatives"))
     each = metrics.rationale_scores(rows)
-    return each.agg(F.count("*").alias("n"), F.count_if(F.size("alternatives") > 0).alias("eligible"), *[F.round(F.avg(c), 9).alias(c) for c in ("precision", "recall", "f1")])
+    return each.agg(F.count("*").alias("n"), F.count_if(F.size("alternatives") > 0).alias("eligible"), F.count_if(F.col("excluded") == "gold_insufficient").alias("gold_insufficient"), F.count_if(F.col("excluded") == "retrieved_document_without_valid_gold_rationale").alias("without_rationale"), *[F.round(F.avg(c), 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def _seed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,13 +432,16 @@ def tie_margin_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return systems.crossJoin(F.broadcast(best)).where("accuracy >= best - 0.005").orderBy("source").limit(1)
 
 
-@_query(_SEEDS + """, o AS (SELECT source, n_chars % 3 AS seed, avg((predicted = gold)::INT) - avg((other = gold)::INT) AS d FROM v GROUP BY 1, 2)
-SELECT source, CASE WHEN count(*) FILTER (d > 1e-12) >= 2 AND avg(d) > 1e-12 THEN 'better' WHEN count(*) FILTER (d < -1e-12) >= 2 AND avg(d) < -1e-12 THEN 'worse' ELSE 'mixed' END AS verdict FROM o GROUP BY 1""")
+@_query(_V + """, o AS (SELECT source, n_chars % 3 AS seed, avg((predicted = gold)::INT) - avg((other = gold)::INT) AS d FROM v GROUP BY 1, 2)
+SELECT source, sign(max(d) FILTER (seed = 0))::INT AS seed0_sign, coalesce(sign(max(d) FILTER (seed = 0)) <> 0 AND count(*) FILTER (sign(d) = sign(z)) >= 2 AND sign(avg(d)) = sign(max(d) FILTER (seed = 0)), false) AS holds
+FROM (SELECT *, max(d) FILTER (seed = 0) OVER (PARTITION BY source) AS z FROM (SELECT source, seed, round(d, 12) AS d FROM o)) GROUP BY 1""")
 def seed_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether at least two of three seeds and their mean share the sign of seed 0's difference."""
     hit = lambda c: F.avg((F.col(c) == F.col("gold")).cast("double"))
-    each = _verdicts(spark, sf_dir).groupBy("source", (F.col("n_chars") % 3).alias("seed")).agg((hit("predicted") - hit("other")).alias("d"))
-    verdict = F.when((F.count_if(F.col("d") > 1e-12) >= 2) & (F.avg("d") > 1e-12), "better").when((F.count_if(F.col("d") < -1e-12) >= 2) & (F.avg("d") < -1e-12), "worse").otherwise("mixed")
-    return each.groupBy("source").agg(verdict.alias("verdict"))
+    each = _verdicts(spark, sf_dir).groupBy("source", (F.col("n_chars") % 3).alias("seed")).agg(F.round(hit("predicted") - hit("other"), 12).alias("d"))
+    sides = each.groupBy("source").agg(F.max(F.when(F.col("seed") == 0, F.signum("d"))).alias("t"), F.collect_list(F.signum("d")).alias("signs"), F.signum(F.avg("d")).alias("m"))
+    holds = (F.col("t") != 0) & (F.size(F.filter("signs", lambda x: x == F.col("t"))) >= 2) & (F.col("m") == F.col("t"))
+    return sides.select("source", F.col("t").cast("int").alias("seed0_sign"), F.coalesce(holds, F.lit(False)).alias("holds"))
 
 
 # Sampling and mixtures
@@ -470,18 +480,43 @@ def audit_sample_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(sampling.seeded_sample(rest, 50, "second", "doc_id").select(F.lit("second").alias("audit"), "doc_id", "source"))
 
 
-def _fold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir).groupBy((F.col("n_chars") % 200).alias("group_id"), F.col("gold").alias("label")).agg(F.count("*").alias("n"))
+def _text_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts with the group of their text: the smallest doc_id of all equal ones, of whose verdicts the first by name is the group's gold label."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("key"))
+    groups = docs.join(docs.groupBy("key").agg(F.min("doc_id").alias("group_id")), "key").select("doc_id", "group_id")
+    rows = _verdicts(spark, sf_dir).join(groups, "doc_id")
+    return rows.join(rows.groupBy("group_id").agg(F.min("gold").alias("label")), "group_id")
 
 
-@_query()
+_TEXT_GROUPS = _V + """, g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS group_id FROM documents WHERE text IS NOT NULL),
+w AS (SELECT v.*, group_id, min(gold) OVER (PARTITION BY group_id) AS label FROM v JOIN g USING (doc_id))"""
+_FOLDS = _TEXT_GROUPS.replace("WITH v", "WITH RECURSIVE v") + """, o AS (SELECT *, row_number() OVER (ORDER BY label, n DESC, md5('0|' || group_id), group_id) AS i FROM (SELECT group_id, label, count(*) AS n FROM w GROUP BY 1, 2)),
+f AS (SELECT 0::BIGINT AS i, ''::VARCHAR AS label, 0::BIGINT AS group_id, 0 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load, [0, 0, 0, 0, 0]::BIGINT[] AS total
+  UNION ALL SELECT i, label, group_id, fold - 1, list_transform(load, lambda x, k: CASE WHEN k = fold THEN x + n ELSE x END), list_transform(total, lambda x, k: CASE WHEN k = fold THEN x + n ELSE x END)
+  FROM (SELECT i, label, group_id, n, load, total, list_sort(list_transform([1, 2, 3, 4, 5], lambda k: {'load': load[k], 'total': total[k], 'k': k}))[1].k AS fold
+    FROM (SELECT o.i, o.label, o.group_id, o.n, CASE WHEN o.label = f.label THEN f.load ELSE [0, 0, 0, 0, 0]::BIGINT[] END AS load, f.total FROM f JOIN o ON o.i = f.i + 1)))"""
+
+
+@_query(_FOLDS + " SELECT group_id, fold FROM f WHERE i > 0")
 def grouped_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.grouped_folds(_fold_groups(spark, sf_dir), 5)
+    groups = _text_groups(spark, sf_dir).groupBy("group_id", "label").agg(F.count("*").alias("n"))
+    return sampling.label_folds(groups, 5)
 
 
 @_query()
 def shared_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.grouped_folds(_fold_groups(spark, sf_dir), 5, 0.05)
+    rows = _text_groups(spark, sf_dir)
+    features = rows.select("group_id", F.explode(F.array(F.concat(F.lit("a:"), "gold"), F.concat(F.lit("b:"), "predicted"))).alias("feature"))
+    return sampling.shared_folds(features.groupBy("group_id", "feature").agg(F.count("*").alias("n")), 5)
+
+
+@_query(_FOLDS + """ SELECT x.fold, label, count(*) FILTER (f.fold = x.fold) AS valid, count(*) FILTER (f.fold <> x.fold) AS train
+FROM (SELECT unnest([0, 1, 2, 3, 4]) AS fold) x, w JOIN (SELECT group_id, fold FROM f WHERE i > 0) f USING (group_id) GROUP BY 1, 2""")
+def fold_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _text_groups(spark, sf_dir)
+    folds = sampling.label_folds(rows.groupBy("group_id", "label").agg(F.count("*").alias("n")), 5)
+    parts = training.fold_rows(rows.select("doc_id", "group_id", "label"), folds, 5)
+    return parts.groupBy("fold", "label").agg(F.count_if(F.col("part") == "valid").alias("valid"), F.count_if(F.col("part") == "train").alias("train"))
 
 
 @_query("""WITH r AS (SELECT doc_id AS id, lang, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
@@ -497,35 +532,100 @@ def stratified_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Prompts and outputs
 
 
-@_query("""SELECT conv_id, count(*) AS n_messages, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn, role, text) AS prompt FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL GROUP BY 1""")
+@_query("""WITH p AS (SELECT conv_id, turn, role, text, turn // 1024 AS part FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)
+SELECT conv_id, part, count(*) AS n_messages, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn, role, text) AS prompt FROM p GROUP BY 1, 2""")
 def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL")
-    blocks = rows.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    """Conversations as prompts; one of more than 1,024 turns goes on in numbered parts, so no row holds a conversation of any length."""
+    rows = _table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL").withColumn("part", F.expr("turn div 1024"))
+    blocks = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     lines = F.transform("m", lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["text"]))
-    return blocks.select("conv_id", "n_messages", F.array_join(lines, "\n").alias("prompt"))
-
-
-@_query()
+    return blocks.select("conv_id", "part", "n_messages", F.array_join(lines, "\n").alias("prompt"))
+
+
+#: Outputs with doc_id as {i}, and what is wrong with each where only {i} was shown: (output, label, errors, whether its citations hold).
+_VERDICTS = (
+    ('{"label": "SUPPORT", "evidence_ids": ["{i}"], "explanation": "so"}', "SUPPORT", "", True),
+    ("I think SUPPORT", None, "invalid_json:JSONDecodeError", False),
+    ("[1]", None, "output_not_object", False),
+    ('{"label": "SUPPORT", "evidence_ids": ["{i}"], "explanation": "so", "more": 1}', None, "schema_keys", True),
+    ('{"label": "MAYBE", "evidence_ids": [], "explanation": "so"}', None, "invalid_label", True),
+    ('{"label": "SUPPORT", "evidence_ids": [{i}], "explanation": "so"}', None, "invalid_evidence_ids_type", False),
+    ('{"label": "SUPPORT", "evidence_ids": ["{i}", "{i}"], "explanation": "so"}', None, "duplicate_evidence_ids", False),
+    ('{"label": "SUPPORT", "evidence_ids": ["x{i}"], "explanation": "so"}', None, "invented_evidence_id", False),
+    ('{"label": "INSUFFICIENT", "evidence_ids": ["{i}"], "explanation": "so"}', None, "insufficient_with_citations", True),
+    ('{"label": "SUPPORT", "evidence_ids": ["{i}"], "explanation": " "}', None, "invalid_explanation", True),
+    ('{"label": "CONTRADICT", "evidence_ids": [], "explanation": "so"}', "CONTRADICT", "", True),
+    ('{"evidence_ids": ["{i}"], "explanation": 3}', None, "schema_keys,invalid_label,invalid_explanation", True),
+    (None, None, "invalid_json:TypeError", False),
+)
+#: Outputs of which up to three sentences were shown, and (decision, errors, json, schema, decision and rationale flags).
+_DECISIONS = (
+    ('{"decision": "SUPPORT", "rationale_sentences": [0, 2]}', "SUPPORT", "", True, True, True, True),
+    ('{"decision": "SUPPORT", "rationale_sentences": [true]}', "SUPPORT", "invalid_rationale_type", True, True, True, False),
+    ('{"decision": "CONTRADICT", "rationale_sentences": [1.0]}', "CONTRADICT", "invalid_rationale_type", True, True, True, False),
+    ('{"decision": "SUPPORT", "rationale_sentences": [3]}', "SUPPORT", "invalid_rationale_indices", True, True, True, False),
+    ('{"decision": "SUPPORT", "rationale_sentences": []}', "SUPPORT", "invalid_rationale_indices", True, True, True, False),
+    ('{"decision": "INSUFFICIENT", "rationale_sentences": []}', "INSUFFICIENT", "", True, True, True, True),
+    ('{"decision": "MAYBE", "rationale_sentences": []}', None, "invalid_decision,invalid_rationale_indices", True, True, False, False),
+    ('{"decision": "SUPPORT", "rationale_sentences": [0], "more": 1}', "SUPPORT", "schema_keys", True, False, True, True),
+    ("{}", None, "schema_keys,invalid_decision,invalid_rationale_type", True, False, False, False),
+    ("[]", None, "output_not_object", True, False, False, False),
+    ("{", None, "invalid_json", False, False, False, False),
+)
+
+
+def _case(values: list[object]) -> str:
+    """SQL for the value of a document's kind, its length modulo how many there are."""
+    text = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v + "'"
+    return f"CASE coalesce(n_chars, 0) % {len(values)} " + " ".join(f"WHEN {i} THEN {text(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _outputs(spark: SparkSession, sf_dir: str, values: list[str | None]) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("id"), F.expr(_case(values)).alias("kind"))
+    return rows.select("id", F.replace("kind", F.lit("{i}"), F.col("id")).alias("raw"))
+
+
+@_query(f"""SELECT {_case([v[1] for v in _VERDICTS])} AS label, {_case([v[2] for v in _VERDICTS])} AS errors, {_case([v[3] for v in _VERDICTS])} AS citations_hold, count(*) AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3""")
 def strict_output_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(F.col("predicted") == "INVALID", F.concat(F.lit("I think "), F.col("gold"))).otherwise(
-        F.to_json(F.struct(F.col("predicted").alias("label"), F.when(F.col("predicted") == "INSUFFICIENT", F.array().cast("array<string>")).otherwise(F.array(F.col("doc_id").cast("string"))).alias("evidence_ids"), F.col("source").alias("explanation")))
-    )
-    rows = _verdicts(spark, sf_dir).select("doc_id", parsing.parse_verdict(raw).alias("p"))
-    return rows.groupBy("p.label", F.array_join("p.errors", ",").alias("errors")).agg(F.count("*").alias("n"))
+    shown = F.array("id")
+    rows = _outputs(spark, sf_dir, [v[0] for v in _VERDICTS]).select(parsing.parse_verdict(F.col("raw"), shown).alias("p"), parsing.citations_hold(F.col("raw"), shown).alias("citations_hold"))
+    return rows.groupBy("p.label", F.array_join("p.errors", ",").alias("errors"), "citations_hold").agg(F.count("*").alias("n"))
 
 
-@_query()
+@_query(f"""SELECT {_case([v[1] for v in _DECISIONS])} AS decision, {_case([v[2] for v in _DECISIONS])} AS errors, {', '.join(f"{_case([v[3 + k] for v in _DECISIONS])} AS {c}" for k, c in enumerate(("json_ok", "schema_ok", "decision_ok", "rationale_ok")))}, count(*) AS n
+FROM documents WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6""")
 def strict_decision_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_chars")
-    raw = F.when(F.col("predicted") == "INVALID", F.lit("{}")).otherwise(F.to_json(F.struct(F.col("predicted").alias("decision"), F.array(n % 6).alias("rationale_sentences"))))
-    rows = _verdicts(spark, sf_dir).select(parsing.parse_decision(raw, n % 7 + 1).alias("p"))
-    return rows.groupBy("p.json_ok", "p.schema_ok", "p.decision_ok", "p.rationale_ok").agg(F.count("*").alias("n"))
+    rows = _outputs(spark, sf_dir, [v[0] for v in _DECISIONS]).select(parsing.parse_decision(F.col("raw"), F.lit(3)).alias("p"))
+    return rows.groupBy("p.decision", F.array_join("p.errors", ",").alias("errors"), "p.json_ok", "p.schema_ok", "p.decision_ok", "p.rationale_ok").agg(F.count("*").alias("n"))
 
 
-@_query()
+_PIECES = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+@_query(rf"""WITH d AS (SELECT doc_id, '[EVIDENCE_ID: ' || doc_id || '] Title: ' || coalesce(source, '') AS header, string_split(coalesce(text, ''), chr(10)) AS s FROM documents WHERE doc_id IS NOT NULL),
+l AS (SELECT *, list_transform(s, lambda x, i: '[EVIDENCE_ID: ' || doc_id || '; SENTENCE: ' || (i - 1) || '] ' || x) AS lines, len({_PIECES.format('header')}) AS hn FROM d),
+n AS (SELECT *, list_transform(lines, lambda x: len({_PIECES.format('x')})) AS ln FROM l),
+c AS (SELECT *, hn + list_sum(ln) AS before, list_transform(generate_series(1, len(ln)), lambda i: hn + list_sum(ln[1:i])) AS upto FROM n),
+k AS (SELECT *, len(list_filter(upto, lambda x: x <= 256)) AS k FROM c),
+p AS (SELECT *, 256 - CASE WHEN k = 0 THEN hn ELSE upto[k] END - 5 AS room FROM k),
+t AS (SELECT *, header || CASE WHEN k > 0 THEN chr(10) || array_to_string(lines[1:k], chr(10)) ELSE '' END || CASE WHEN k < len(s) AND room > 0 THEN chr(10) || '[EVIDENCE_ID: ' || doc_id || '; SENTENCE: ' || k || '] ' || array_to_string({_PIECES.format('s[k + 1]')}[1:room], ' ') || ' [TRUNCATED]' ELSE '' END AS text FROM p)
+SELECT doc_id, before::INT AS before, len({_PIECES.format('text')})::INT AS "after", before > 256 AS truncated, md5(text) AS text_key FROM t""")
 def token_budget_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", parsing.budget_evidence(F.col("source"), F.split(F.coalesce("text", F.lit("")), "\n"), 256).alias("evidence"))
+    docs = _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    shown = F.array(F.struct(F.col("doc_id").cast("string").alias("id"), F.coalesce("source", F.lit("")).alias("title"), F.split(F.coalesce("text", F.lit("")), "\n").alias("sentences")))
+    made = docs.select("doc_id", parsing.budget_evidence(shown, 256).alias("e"))
+    return made.select("doc_id", "e.before", "e.after", "e.truncated", F.md5("e.text").alias("text_key"))
+
+
+#: The system message of a verification request.
+_ASK = "Judge the claim by the evidence alone."
+
+
+@_query(rf"""SELECT item_id, 2 AS n_messages, md5('{_ASK}') AS system_key, md5('CLAIM:' || chr(10) || text || chr(10) || chr(10) || 'EVIDENCE:' || chr(10) || array_to_string(list_transform(string_split(text, ' '), lambda x, i: '[' || (i - 1) || '] ' || x), chr(10))) AS user_key FROM benchmark WHERE text IS NOT NULL""")
+def claim_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark").where("text IS NOT NULL")
+    made = items.select("item_id", parsing.messages(_ASK, F.col("text"), T.numbered_lines(F.split("text", " "))).alias("m"))
+    return made.select("item_id", F.size("m").alias("n_messages"), F.md5(F.get("m", F.lit(0))["content"]).alias("system_key"), F.md5(F.get("m", F.lit(1))["content"]).alias("user_key"))
 
 
 # Request log
@@ -626,6 +726,4 @@ def label_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_V + """SELECT doc_id_group, CASE WHEN count(DISTINCT gold) FILTER (gold <> 'INSUFFICIENT') = 0 THEN 'INSUFFICIENT' WHEN count(DISTINCT gold) FILTER (gold <> 'INSUFFICIENT') = 1 THEN max(gold) FILTER (gold <> 'INSUFFICIENT') ELSE 'MIXED' END AS label
 FROM (SELECT n_chars % 500 AS doc_id_group, gold FROM v) GROUP BY 1""")
 def claim_label_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = F.array_sort(F.collect_set(F.when(F.col("gold") != "INSUFFICIENT", F.col("gold"))))
-    groups = _verdicts(spark, sf_dir).groupBy((F.col("n_chars") % 500).alias("doc_id_group")).agg(decided.alias("s"))
-    return groups.select("doc_id_group", F.when(F.size("s") == 0, "INSUFFICIENT").when(F.size("s") == 1, F.get("s", 0)).otherwise("MIXED").alias("label"))
+    return validation.resolved_labels(_verdicts(spark, sf_dir).withColumn("doc_id_group", F.col("n_chars") % 500), "doc_id_group", "gold")

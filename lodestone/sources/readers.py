@@ -25,7 +25,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, key: str | None = No
     if key is None:
         return rows
     if repeated == "last":
-        placed = rows.withColumn("__at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+        # A task reads one split of a file from front to back, so its own numbering follows the rows within the split.
+        placed = rows.withColumn("__at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
         last = Window.partitionBy(key).orderBy(F.col("__at").desc())
         return placed.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__at", "__n")
     twice = rows.groupBy(key).count().where("count > 1").limit(5).collect()
@@ -46,10 +47,11 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     return rows.toDF("query_id", "doc_id", "score").where("score > 0")
 
 
-def read_audit(spark: SparkSession, path: str, labels: tuple[str, ...]) -> DataFrame:
-    """An audit CSV with a header; a human_label outside the labels (null is not judged yet) raises."""
+def read_audit(spark: SparkSession, path: str, labels: tuple[str, ...], require_labels: bool = False) -> DataFrame:
+    """An audit CSV with a header; a human_label outside the labels raises, and so does a missing one (not judged yet) where labels are required."""
     rows = spark.read.option("header", True).csv(path)
-    wrong = rows.where(F.col("human_label").isNotNull() & ~F.col("human_label").isin(*labels)).limit(1).collect()
+    unknown = F.col("human_label").isNotNull() & ~F.col("human_label").isin(*labels)
+    wrong = rows.where(unknown | F.col("human_label").isNull() if require_labels else unknown).limit(1).collect()
     if wrong:
         raise ValueError(f"unknown label {wrong[0]['human_label']!r}")
     return rows

@@ -40,11 +40,26 @@ def freeze(rows: DataFrame, path: str) -> bool:
 
 
 def cached(spark: SparkSession, folder: str, settings: dict, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table built under these settings, from a folder named by their hash; built and written there the first time."""
-    path = f"{folder}/{hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:16]}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The table built under these settings, from a folder named by their hash; built and written there the first time.
+
+    The settings stand beside the table and are compared when it is read again: a folder that holds others raises.
+    """
+    said = json.dumps(settings, sort_keys=True)
+    path = f"{folder}/{hashlib.sha256(said.encode()).hexdigest()[:16]}"
+    if not _exists(spark, f"{path}/rows/_SUCCESS"):
+        build().write.mode("overwrite").parquet(f"{path}/rows")
+        spark.createDataFrame([(said,)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    if [r[0] for r in spark.read.parquet(f"{path}/settings").collect()] != [said]:
+        raise ValueError(f"{path} was built under other settings")
+    return spark.read.parquet(f"{path}/rows")
+
+
+def write_summary(row: DataFrame, path: str) -> None:
+    """A one-row summary as one JSON file; more rows or an existing path raise."""
+    first = row.limit(2).collect()
+    if len(first) != 1:
+        raise ValueError("a summary is one row")
+    row.coalesce(1).write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

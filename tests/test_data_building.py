@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import parsing
 from lodestone.functions import text as T
-from lodestone.operators import sampling, validation
+from lodestone.operators import sampling, training, validation
 from lodestone.operators.graph import connected_components
 from lodestone.sources import readers, writers
 from lodestone.streaming import requests
@@ -91,18 +91,125 @@ def test_mixture_takes_the_first_in_md5_order(spark):
     assert got == {r["id"] for r in all_a}
 
 
-def test_folds_keep_groups_whole_and_labels_even(spark, monkeypatch):
+def by_md5(groups, seed):
+    import hashlib
+
+    return sorted(groups, key=lambda g: (hashlib.md5(f"{seed}|{g}".encode()).hexdigest(), g))
+
+
+def test_label_folds_as_the_sequential_rule(spark):
+    rng = random.Random(1)
+    for case, most in enumerate((1, 3, 40)):
+        groups = {g: (rng.choice("xyz"), rng.randint(1, most)) for g in range(200)}
+        got = {r["group_id"]: r["fold"] for r in sampling.label_folds(spark.createDataFrame([(g, *v) for g, v in groups.items()], "group_id long, label string, n long"), 5, case).collect()}
+        totals, wanted = [0] * 5, {}
+        for label in "xyz":
+            rows = [0] * 5
+            for g in sorted(by_md5([g for g, v in groups.items() if v[0] == label], case), key=lambda g: -groups[g][1]):
+                fold = min(range(5), key=lambda i: (rows[i], totals[i], i))
+                wanted[g] = fold
+                rows[fold] += groups[g][1]
+                totals[fold] += groups[g][1]
+        assert got == wanted
+    with pytest.raises(ValueError, match="several labels"):
+        sampling.label_folds(spark.createDataFrame([(1, "x", 1), (1, "y", 1)], "group_id long, label string, n long"), 2)
+    assert sampling.label_folds(spark.createDataFrame([], "group_id long, label string, n long"), 2).count() == 0
+
+
+def test_shared_folds_keep_groups_whole_and_features_even(spark):
     rng = random.Random(1)
-    groups = [(g, label, rng.randint(1, 6)) for g in range(60) for label in ("x", "y", "z") if rng.random() < 0.7]
-    frame = spark.createDataFrame(groups, "group_id long, label string, n long")
-    for bundles in (10_000, 20):
-        monkeypatch.setattr(sampling, "BUNDLES", bundles)
-        folds = {r["group_id"]: r["fold"] for r in sampling.grouped_folds(frame, 4, 0.05).collect()}
-        assert set(folds) == {g for g, *_ in groups} and set(folds.values()) == {0, 1, 2, 3}
-    loads = Counter()
-    for g, label, n in groups:
-        loads[label, folds[g]] += n
-    assert all(max(loads[x, f] for f in range(4)) < 2 * min(loads[x, f] for f in range(4)) for x in "xyz")
+    groups = [(g, f, rng.randint(1, 3)) for g in range(300) for f in ("a:x", "a:y", "b:x") if rng.random() < 0.7]
+    frame = spark.createDataFrame(groups, "group_id long, feature string, n long")
+    folds = {r["group_id"]: r["fold"] for r in sampling.shared_folds(frame, 4).collect()}
+    assert set(folds) == {g for g, *_ in groups} and folds == {r["group_id"]: r["fold"] for r in sampling.shared_folds(frame.repartition(5), 4).collect()}
+    loads, sizes = Counter(), Counter(folds.values())
+    for g, f, n in groups:
+        loads[f, folds[g]] += n
+    assert all(max(loads[x, f] for f in range(4)) < 1.15 * min(loads[x, f] for f in range(4)) for x in ("a:x", "a:y", "b:x"))
+    assert max(sizes.values()) - min(sizes.values()) <= 8
+    # few groups of every kind: the cost decides them one by one, by hand
+    few = [(1, "p", 4), (2, "p", 3), (3, "q", 3), (4, "q", 1)]
+    got = {r["group_id"]: r["fold"] for r in sampling.shared_folds(spark.createDataFrame(few, "group_id long, feature string, n long"), 2).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
+def test_fold_parts_and_restricted_groups(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "id long, group_id long")
+    folds = spark.createDataFrame([(10, 0), (11, 1)], "group_id long, fold int")
+    parts = {(r["id"], r["fold"]): r["part"] for r in training.fold_rows(rows, folds, 2).collect()}
+    assert parts == {(1, 0): "valid", (2, 0): "valid", (3, 0): "train", (1, 1): "train", (2, 1): "train", (3, 1): "valid"}
+    with pytest.raises(Exception, match="without a fold"):
+        training.fold_rows(rows, folds.where("fold = 0"), 2).collect()
+    assert {tuple(r) for r in sampling.restricted_groups(rows, spark.createDataFrame([(3,)], "id long")).collect()} == {(3, 11)}
+
+
+def test_samples_that_come_out_short_raise(spark):
+    rows = spark.createDataFrame([(1,), (2,)], "id long")
+    assert sampling.seeded_sample(rows, 5, "x", "id").count() == 2
+    with pytest.raises(ValueError, match="fewer"):
+        sampling.seeded_sample(rows, 5, "x", "id", strict=True)
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "id long, pool string")
+    quotas = spark.createDataFrame([("a", 1), ("b", 1)], "pool string, quota long")
+    with pytest.raises(ValueError, match="twice"):
+        sampling.mixture(twice, quotas, 1, unique=True)
+
+
+def test_pool_rules(spark):
+    fields = "claim_id long, doc_id long, condition string, source_split string, claim_gold_label string, pair_annotation string, context_label string, rationale_sentences array<int>, retrieval_score double, filter_version string, filter_status string"
+    good = {
+        "A": (1, 1, "A", "TRAIN", "SUPPORT", "SUPPORT", "SUPPORT", [0], None, None, None), "B": (1, 2, "B", "TRAIN", "SUPPORT", None, "INSUFFICIENT", [], 0.3, "v1", "approved"),
+        "D": (1, 3, "D", "TRAIN", "SUPPORT", None, "INSUFFICIENT", None, None, None, None),
+    }
+    names = [f.split()[0] for f in fields.split(", ")]
+    change = lambda c, **k: tuple((dict(zip(names, good[c], strict=True)) | k).values())
+    wrong = [(change("A", rationale_sentences=[]), "gold"), (change("A", context_label="CONTRADICT"), "gold"), (change("B", pair_annotation="SUPPORT"), "negative"), (change("B", filter_status=None), "filter")]
+    wrong += [(change("B", retrieval_score=0.9), "score"), (change("D", claim_gold_label="MIXED"), "mixed"), (change("D", source_split="DEV"), "split"), (change("D", condition="E"), "condition")]
+    check = lambda rows: [(r["problem"]) for r in validation.pool_problems(spark.createDataFrame(rows, fields), {"B": "v1"}, {"B": 0.5}).collect()]
+    assert check(list(good.values())) == []
+    for row, problem in wrong:
+        assert check([row]) == [problem]
+    with pytest.raises(ValueError, match="missing columns"):
+        validation.pool_problems(spark.range(1), {}, {})
+    with pytest.raises(ValueError, match="unknown filter"):
+        validation.filter_rule(F.col("s"), "other")
+    scores = spark.createDataFrame([(0.5,), (0.6,), (None,)], "s double")
+    assert [scores.where(validation.filter_rule(F.col("s"), *r)).count() for r in (("absolute_score_max", 0.5), ("drop_all",), ("no_filter",))] == [1, 0, 3]
+
+
+def test_integrity_of_clusters_sentences_products_and_pins(spark):
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    clusters = spark.createDataFrame([([1, 2],), ([2, 9],)], "members array<long>")
+    assert {tuple(r) for r in validation.cluster_problems(ids, clusters, "id").collect()} == {(3, "missing"), (9, "extra"), (2, "repeated")}
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, ["d"])], "doc_id long, sentences array<string>")
+    passages = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "x"), (3, 0, "d"), (3, 0, "d")], "doc_id long, sentence_index int, text string")
+    assert sorted(r["doc_id"] for r in validation.sentence_problems(docs, passages).collect()) == [2, 3]
+    times = spark.createDataFrame([(1, 6.0, 2.0, 3.0), (2, 7.0, 2.0, 3.0), (3, None, 2.0, 3.0)], "k long, p double, a double, b double")
+    assert {tuple(r) for r in validation.derived_problems(times, "k", "p", ("a", "b")).collect()} == {(2, "differs"), (3, "missing")}
+    made, pins = (spark.createDataFrame(r, "path string, sha256 string") for r in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "9"), ("d", "4")]))
+    assert {tuple(r) for r in validation.pin_differences(made, pins).collect()} == {("b", "changed"), ("c", "not pinned"), ("d", "missing")}
+    labels = spark.createDataFrame([(1, "SUPPORT"), (1, "CONTRADICT"), (2, "SUPPORT"), (2, "INSUFFICIENT"), (3, "INSUFFICIENT")], "k long, l string")
+    assert {tuple(r) for r in validation.resolved_labels(labels, "k", "l").collect()} == {(1, "MIXED"), (2, "SUPPORT"), (3, "INSUFFICIENT")}
+    with pytest.raises(Exception, match="conflicting labels of 1"):
+        validation.resolved_labels(labels, "k", "l", strict=True).collect()
+    assert [tuple(r) for r in validation.pair_conflicts(labels, "k", label="l").collect()] == [(1, ["CONTRADICT", "SUPPORT"])]
+
+
+def test_training_rows_and_requests(spark):
+    claim = spark.createDataFrame([(" ok ", 1), (" \n", 1), ("x" * 20_001, 1), (None, 1), ("a", 0), ("a", 11), ("a", None)], "c string, k int")
+    assert [r[0] for r in claim.select(training.claim_problem(F.col("c"), F.col("k"))).collect()] == [None, "empty", "length", "length", "k", "k", "k"]
+    shots = spark.createDataFrame([(1, "SUPPORT"), (2, "CONTRADICT"), (3, "INSUFFICIENT")], "claim_id long, decision string")
+    assert training.few_shot_problems(shots, shots, shots.limit(0)).count() == 0
+    assert {r[0] for r in training.few_shot_problems(shots.where("claim_id < 3"), shots, shots.where("claim_id = 1")).collect()} == {"count", "not of the training split", "labels"}
+    left, right = (spark.createDataFrame(r, "q long, p long") for r in ([(1, 2), (1, 3)], [(1, 2), (1, 2)]))
+    assert {tuple(r) for r in training.unpaired(left, right, "q", "p").collect()} == {(1, 2), (1, 3)}
+    listed = spark.sql("SELECT map('a', 0.5, 'b', 0.9, 'c', 0.5) AS m").select(training.listed_ranking(F.col("m")).alias("l")).first()["l"]
+    assert listed == ["b", "a", "c"]
+    classes = spark.createDataFrame([([1.0, 2.0], 0.5), ([0.1], 0.5), ([0.5, 0.5], 0.5), ([0.4, 0.6], 0.5)], "v array<double>, r double").select(training.seed_class(F.col("v"), F.col("r")).alias("c"))
+    assert [r["c"] for r in classes.collect()] == ["all_improve", "all_degrade", "all_tie", "mixed"]
+    systems = spark.createDataFrame([("a", 0.700), ("b", 0.704), ("c", 0.708)], "name string, f1 double")
+    assert {r["name"]: r["place"] for r in training.margin_ranking(systems, "f1", "name").collect()} == {"b": 1, "a": 3, "c": 2}
+    steps = spark.range(1).select(training.schedule(F.lit(17), 8, 3, 0.1).alias("s")).first()["s"]
+    assert tuple(steps) == (3, 9, 1)
 
 
 def test_quota_picks_do_not_repeat(spark):
@@ -228,6 +335,27 @@ def test_sources_and_sinks(spark, tmp_path):
     for _ in range(2):
         writers.cached(spark, str(tmp_path / "cache"), {"model": "m"}, lambda: built.append(1) or rows).collect()
     assert len(built) == 1
+    kept = next((tmp_path / "cache").iterdir())
+    spark.createDataFrame([("{}",)], "settings string").write.mode("overwrite").parquet(str(kept / "settings"))
+    with pytest.raises(ValueError, match="other settings"):
+        writers.cached(spark, str(tmp_path / "cache"), {"model": "m"}, lambda: rows)
+    writers.write_summary(rows, str(tmp_path / "summary"))
+    with pytest.raises(ValueError, match="one row"):
+        writers.write_summary(rows.union(rows), str(tmp_path / "summaries"))
+    (tmp_path / "audit.csv").write_text("claim_id,human_label\n1,SUPPORT\n2,\n")
+    assert readers.read_audit(spark, str(tmp_path / "audit.csv"), ("SUPPORT",)).count() == 2
+    with pytest.raises(ValueError, match="unknown label"):
+        readers.read_audit(spark, str(tmp_path / "audit.csv"), ("SUPPORT",), require_labels=True)
+    many = "".join(json.dumps({"id": i % 3, "claim": str(i)}) + "\n" for i in range(3000))
+    (tmp_path / "many.jsonl").write_text(many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        split = readers.read_jsonl(spark, str(tmp_path / "many.jsonl"), readers.CLAIMS, "id", "last")
+        assert {r["id"]: r["claim"] for r in split.collect()} == {0: "2997", 1: "2998", 2: "2999"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_latency_windows_as_a_stream(spark, tmp_path):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors
-from lodestone.operators import latency, metrics, retrieval, statistics
+from lodestone.operators import latency, metrics, retrieval, statistics, training
 
 
 def one(df):
@@ -77,8 +78,11 @@ def test_resampling_does_not_depend_on_partitions(spark):
     a, b = one(statistics.bootstrap(units, 500)), one(statistics.bootstrap(units.repartition(7), 500))
     assert tuple(a) == pytest.approx(tuple(b), abs=1e-12) and a["low"] < a["mean"] < a["high"]
     values = np.sort([r["total"] for r in units.collect()])
-    draws = [values[np.random.default_rng([0, r]).integers(0, 60, 60)].mean() for r in range(500)]
+    word = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    draws = [values[[word(0, r, d) % 60 for d in range(60)]].mean() for r in range(500)]
     assert a["low"] == pytest.approx(np.percentile(draws, 2.5)) and a["high"] == pytest.approx(np.percentile(draws, 97.5))
+    flips = [abs(sum(v * (1 - 2 * (word(0, r, u) % 2)) for u, v in enumerate(values)) / 60) for r in range(99)]
+    assert one(statistics.sign_flip(units, 99))["p"] == pytest.approx((sum(f >= abs(values.mean()) - 1e-12 for f in flips) + 1) / 100)
     p = one(statistics.sign_flip(units, 999))["p"]
     assert 0 < p < 0.2
     none = one(statistics.sign_flip(spark.createDataFrame([(0.0, 2.0), (0.0, 1.0)], "total double, size double"), 99))
@@ -91,6 +95,46 @@ def test_macro_f1_interval_holds_its_value(spark):
     assert out["low"] <= out["value"] <= out["high"] and out["value"] == pytest.approx(2 / 3 - (2 / 3) / 3)
 
 
+def test_cluster_gain_in_macro_f1(spark):
+    rows = [(k % 12, "SUPPORT", "SUPPORT", "CONTRADICT") for k in range(40)] + [(k % 12, "CONTRADICT", "INVALID", "CONTRADICT") for k in range(20)]
+    out = one(statistics.cluster_macro_f1(spark.createDataFrame(rows, "c int, gold string, predicted string, other string"), "c", 200))
+    assert out["low"] <= out["value"] <= out["high"] and out["value"] == pytest.approx((1 - 2 * 20 / 80) / 3)
+
+
+def test_rankings_and_queries_that_are_refused(spark):
+    qrels = spark.createDataFrame([(1, 10)], "query_id long, doc_id long")
+    twice = spark.createDataFrame([(1, 10, 1), (1, 10, 2)], "query_id long, doc_id long, rank int")
+    with pytest.raises(Exception, match="stands twice"):
+        metrics.ir_metrics(twice, qrels).collect()
+    with pytest.raises(ValueError, match="query 2 has no positive"):
+        metrics.ir_metrics(twice, qrels, spark.createDataFrame([(1,), (2,)], "query_id long"))
+    second = spark.createDataFrame([(1, 10, float("inf"))], "query_id long, doc_id long, second double")
+    with pytest.raises(Exception, match="not finite"):
+        retrieval.reranked_prefix(twice.limit(1), second, 3).collect()
+
+
+def test_containment_as_brute_force(spark):
+    docs = [(1, "Say: the Harbour opens at noon, on Sundays."), (2, "the harbour opens at noon"), (3, "xthe Harbour opens at noony"), (4, None), (5, "one two")]
+    items = [(1, "the Harbour opens at noon"), (2, "two"), (3, ""), (4, None), (5, "opens never at noon"), (6, "Harbour opens")]
+    found = retrieval.containment(spark.createDataFrame(items, "query_id long, item string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == {(i, d) for i, item in items for d, text in docs if item is not None and text is not None and item in text}
+
+
+def test_coverage_changes_and_hits(spark):
+    before, after = (spark.createDataFrame(r, "query_id long, doc_id long, rank int") for r in ([(1, 10, 1), (1, 11, 2), (2, 20, 1)], [(1, 11, 1), (1, 10, 2), (2, 20, 1)]))
+    marked = spark.createDataFrame([(1, 11), (2, 99)], "query_id long, doc_id long")
+    assert tuple(one(training.coverage(before, marked, (1, 3)))) == (2, 0.0, 0.5)
+    assert tuple(one(training.top_changes(before, after, marked))) == (1, 1, 0) and tuple(one(training.top_changes(after, before, marked))) == (1, 0, 1)
+    spots = spark.createDataFrame([(1, 11, 4), (2, 20, 1)], "query_id long, doc_id long, sentence_index long")
+    passages = spark.createDataFrame([(1, 11, 3, 1), (1, 11, 4, 2), (2, 21, 1, 1)], "query_id long, doc_id long, sentence_index long, rank int")
+    assert tuple(one(training.sentence_hits(passages, spots))) == (2, 0, 1, 1)
+    arms = spark.createDataFrame([(1, "x", 20, 1), (1, "y", 20, 1), (2, "x", 11, 1), (2, "y", 12, 1)], "query_id long, arm string, doc_id long, negative int")
+    positives = spark.createDataFrame([(1, 11), (2, 20)], "query_id long, doc_id long")
+    prints = spark.createDataFrame([(11, "p"), (12, "p"), (20, "q")], "doc_id long, fingerprint string")
+    assert one(training.negative_audit(positives, arms, prints)).asDict() == {"queries": 2, "overlap_slots": 1, "cross_x": 2, "cross_y": 1, "duplicate_contents": 1}
+    assert {(r["query_id"], r["arm"]): r["negative_ids"] for r in training.paired_rows(positives, arms).collect()} == {(1, "x"): [20], (1, "y"): [20], (2, "x"): [11], (2, "y"): [12]}
+
+
 def test_softmax_and_dot(spark):
     out = one(spark.range(1).select(vectors.softmax(F.array(F.lit(1000.0), F.lit(1000.0), F.lit(-1000.0))).alias("p"), vectors.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("d"), vectors.unit(F.array(F.lit(0.0))).alias("u")))
     assert out["p"] == [0.5, 0.5, 0.0] and out["d"] == 11.0 and out["u"] is None
