@@ -5,8 +5,9 @@ written as a first segment and continuation records that name its id.  Reading
 groups the segments by that id, orders them by segment number, verifies the total
 length and decodes the chunked framing.  A payload seen before is a revisit.
 
-Files are whole-file gzip; each task writes its own through Spark's text writer, whose
-line separator is the last line end of a record.
+Every record is a gzip member of its own, and files are members one after the other; each task
+writes its own through Spark's text writer.  A member ends in the size of its record, whose highest byte
+is 0 for records under 16 MB: that byte is the writer's line separator.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from lodestone.runtime import bounded_batches, scratch_dir, small, store
 
 #: Bytes of a segment's block, of a transfer chunk, and records of a file.
-SEGMENT, CHUNK, FILE_RECORDS = 32_768, 8_192, 4_096
+SEGMENT, CHUNK, FILE_RECORDS = 32_768, 8_192, 1_024
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -57,6 +58,35 @@ def dechunked(body: bytes) -> bytes:
         at = line + 4 + n
 
 
+def member(record: bytes) -> list[bytes]:
+    """`record` as gzip members without their last byte, which is 0; one member but for records of 8 MB and more."""
+    out = []
+    for at in range(0, max(len(record), 1), 8_000_000):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append((packer.compress(record[at : at + 8_000_000]) + packer.flush())[:-1])
+    return out
+
+
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The contents of gzip members that stand one after the other, piece by piece; a broken end or anything else between them raises."""
+    view, opened = memoryview(data), None
+    for at in range(0, len(view), 1 << 16):
+        left = bytes(view[at : at + (1 << 16)])
+        while left:
+            opened = opened or zlib.decompressobj(31)
+            try:
+                piece = opened.decompress(left)
+            except zlib.error as wrong:
+                raise ValueError("not a gzip member") from wrong
+            left = opened.unused_data
+            if opened.eof:
+                opened = None
+            if piece:
+                yield piece
+    if opened is not None:
+        raise ValueError("a gzip member without an end")
+
+
 def _head(kind: str, record_id: str, length: int, more: list[tuple[str, str | None]]) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id}>", "WARC-Date: 2024-01-01T00:00:00Z"]
     lines += [f"{k}: {v}" for k, v in more if v is not None]
@@ -64,7 +94,7 @@ def _head(kind: str, record_id: str, length: int, more: list[tuple[str, str | No
 
 
 def records(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None, revisit: bool, serial: int) -> Iterator[bytes]:
-    """The records of a page, each without its last line end."""
+    """The records of a page."""
     record_id = str(uuid.UUID(bytes=hashlib.md5(f"{serial}".encode()).digest()))
     target = None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     page = None if page_id is None else str(page_id)
@@ -72,22 +102,22 @@ def records(page_id: int | None, url: str | None, payload: bytes, payload_digest
     if revisit:
         block = _HTTP
         about += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Refers-To-Page-Id", None if refers_to is None else str(refers_to))]
-        yield _head("revisit", record_id, len(block), [*about, ("Content-Type", "application/http; msgtype=response")]) + block + b"\r\n"
+        yield _head("revisit", record_id, len(block), [*about, ("Content-Type", "application/http; msgtype=response")]) + block + b"\r\n\r\n"
         return
     block = _HTTP + chunked(payload)
     about.append(("Content-Type", "application/http; msgtype=response"))
     if len(block) <= SEGMENT:
-        yield _head("response", record_id, len(block), about) + block + b"\r\n"
+        yield _head("response", record_id, len(block), about) + block + b"\r\n\r\n"
         return
     for k, at in enumerate(range(0, len(block), SEGMENT), 1):
         part = block[at : at + SEGMENT]
         last = at + SEGMENT >= len(block)
         if k == 1:
-            yield _head("response", record_id, len(part), [*about, ("WARC-Segment-Number", "1")]) + part + b"\r\n"
+            yield _head("response", record_id, len(part), [*about, ("WARC-Segment-Number", "1")]) + part + b"\r\n\r\n"
         else:
             own = str(uuid.UUID(bytes=hashlib.md5(f"{serial}/{k}".encode()).digest()))
             total = str(len(block)) if last else None
-            yield _head("continuation", own, len(part), [("WARC-Segment-Origin-ID", f"<urn:uuid:{record_id}>"), ("WARC-Segment-Number", str(k)), ("WARC-Segment-Total-Length", total)]) + part + b"\r\n"
+            yield _head("continuation", own, len(part), [("WARC-Segment-Origin-ID", f"<urn:uuid:{record_id}>"), ("WARC-Segment-Number", str(k)), ("WARC-Segment-Total-Length", total)]) + part + b"\r\n\r\n"
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> None:
@@ -110,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> None:
             for page_id, url, body, first, revisit, serial in zip(*(c for c in batch.columns), strict=True):
                 body = body.as_py()
                 for record in records(page_id.as_py(), url.as_py(), body, digest(body), first.as_py(), revisit.as_py(), serial.as_py()):
-                    out.append(record)
+                    out += member(record)
                     held += len(record)
                 if held > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
@@ -118,23 +148,38 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     made = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    made.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
-
-
-def _parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+    made.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+
+
+def _parsed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of the records of a stream; only the record that is being read is held."""
+    held = bytearray()
+    ended = False
+
+    def fill(wanted: int) -> bool:
+        nonlocal ended
+        while len(held) < wanted and not ended:
+            piece = next(pieces, None)
+            ended = piece is None
+            held.extend(piece or b"")
+        return len(held) >= wanted
+
+    while fill(1):
+        looked, end = 0, -1
+        while end < 0:
+            end = held.find(b"\r\n\r\n", max(looked - 3, 0))
+            looked = len(held)
+            if end < 0 and not fill(looked + 1):
+                raise ValueError("a record without an end of its head")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/1."):
             raise ValueError("not a WARC record")
         head = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
         n = int(head["content-length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+        if not fill(end + 8 + n) or held[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
             raise ValueError("a record of another length than it says")
-        yield head, block
-        at = end + 8 + n
+        yield head, bytes(held[end + 4 : end + 4 + n])
+        del held[: end + 8 + n]
 
 
 _FIELDS = "record_id string, kind string, page_id long, refers_to long, declared string, segment int, total_length long, block binary"
@@ -143,7 +188,7 @@ _FIELDS = "record_id string, kind string, page_id long, refers_to long, declared
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, record_type, refers_to, payload_digest, payload) per record of the archives in `folder`.
 
-    Segments are reassembled; a wrong number, length, framing or digest raises.
+    Files hold gzip members, any number of records in each.  Segments are reassembled; a wrong number, length, framing or digest raises.
     A revisit has no payload and keeps the digest that it declares.
     """
 
@@ -153,7 +198,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 out, held = [], 0
-                for head, block in _parsed(zlib.decompress(content.as_py(), 47)):
+                for head, block in _parsed(unpacked(content.as_py())):
                     out.append((head.get("warc-segment-origin-id", head["warc-record-id"]), head["warc-type"], number(head, "page-id"), number(head, "refers-to-page-id"), head.get("warc-payload-digest", "")[5:], number(head, "warc-segment-number"), number(head, "warc-segment-total-length"), block))
                     held += len(block)
                     if held > 8_000_000:
@@ -187,7 +232,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     raise ValueError("a payload of another digest than its record says")
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), batch.column(3), batch.column(4), pa.array(payloads, pa.binary())], ["page_id", "record_type", "refers_to", "payload_digest", "payload"])
 
-    parsed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content").mapInArrow(parse, _FIELDS)
+    parsed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content").mapInArrow(parse, _FIELDS)
     segmented = parsed.where("segment IS NOT NULL").groupBy("record_id").applyInPandas(joined, _FIELDS)
     whole = parsed.where("segment IS NULL").unionByName(segmented)
     return whole.mapInArrow(decode, "page_id long, record_type string, refers_to long, payload_digest string, payload binary")

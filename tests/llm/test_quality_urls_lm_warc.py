@@ -312,8 +312,10 @@ def test_round_trip_through_archives(spark):
 def test_payloads_come_back_and_files_hold_segments(spark, tmp_path):
     rows = pages()
     warc.write_archives(spark.createDataFrame(rows, PAGES), f"file://{tmp_path}/w", least=10)
-    raw = b"".join(gzip.open(f).read() for f in glob.glob(f"{tmp_path}/w/*.gz"))
-    heads = list(warc._parsed(raw))
+    packed = b"".join(open(f, "rb").read() for f in glob.glob(f"{tmp_path}/w/part-*"))
+    raw = gzip.decompress(packed)  # other readers take the members as well
+    heads = list(warc._parsed(iter([raw])))
+    assert packed.count(b"\x1f\x8b\x08\x00") >= len(heads) > len(rows)
     assert any(h["warc-type"] == "continuation" and int(h["warc-segment-number"]) > 1 for h, _ in heads)
     assert any("warc-segment-total-length" in h for h, _ in heads)
     out = warc.read_archives(spark, f"file://{tmp_path}/w").where("record_type = 'response'").collect()
@@ -326,3 +328,23 @@ def test_broken_framing_is_noticed():
     for wrong in (b"5\r\nabc\r\n0\r\n\r\n", b"3\r\nabc\r\n", b"zz\r\n"):
         with pytest.raises(ValueError):
             warc.dechunked(wrong)
+
+
+def test_files_of_other_writers_and_broken_files(spark, tmp_path):
+    rows = [(k, f"http://a/{k}", f"text {k} " * 50, "x") for k in range(20)]
+    kinds = [b"".join(warc.records(k, url, html.encode(), warc.digest(html.encode()), None, False, k)) for k, url, html, _ in rows]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "part-0.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in kinds[:7]) + gzip.compress(b"".join(kinds[7:12])))
+    (tmp_path / "w" / "part-1.warc.gz").write_bytes(gzip.compress(b"".join(kinds[12:])[:900]) + gzip.compress(b"".join(kinds[12:])[900:]))
+    read = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert read == {k: html for k, _, html, _ in rows}
+    whole = gzip.compress(kinds[0])
+    for broken in (whole + b"garbage", whole[:-3], b"plain", whole + whole[:5]):
+        with pytest.raises(ValueError):
+            b"".join(warc.unpacked(broken))
+    assert list(warc.unpacked(b"")) == [] and b"".join(warc.unpacked(whole * 3)) == kinds[0] * 3
+    for broken in (kinds[0][:-2], kinds[0] + b"x", b"WARC/1.1\r\nContent-Length: 3\r\n\r\nab"):
+        with pytest.raises(ValueError):
+            list(warc._parsed(iter([broken[:10], broken[10:]])))
+    large = b"x" * 20_000_000
+    assert gzip.decompress(b"".join(m + b"\0" for m in warc.member(large))) == large
