@@ -5,16 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.runtime import small, store
+
+
+#: Accuracy of the sketch that leads to the values around a percentile: those of a few of so many parts of a group are ordered.
+SKETCH = 10_000
+
 
 def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, n, mean, p50, p95, p95_low): linear percentiles, and the value at position max(1, floor(0.95 n)) of the sorted values."""
-    # Equal values are one row with a count, so a large group is ordered by its distinct values.
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    low = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
-    low = low.where(F.col("upto") >= F.greatest(F.lit(1), F.floor(0.95 * F.col("n")))).groupBy(by).agg(F.min("v").alias("p95_low"))
-    plain = rows.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"))
-    return plain.join(low, by, "left")
+    """(by, n, mean, p50, p95, p95_low): linear percentiles, and the value at position max(1, floor(0.95 n)) of the sorted values.
+
+    Exact: a sketch bounds each percentile from both sides, the rows below the bounds are counted and only those between them
+    are ordered, equal values as one.  Groups of up to SKETCH rows are ordered whole.  Nulls are left out; a group of nothing else has n = 0.
+    """
+    v, shares, margin = F.col(value), (0.5, 0.95), 3 / SKETCH
+    marks = F.percentile_approx(v, [q for p in shares for q in (p - margin, p + margin)], SKETCH)
+    state = store(rows.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), marks.alias("marks")))
+    few = F.col("n") <= SKETCH
+    bounds = F.array(*[F.struct(F.lit(i).alias("i"), F.when(few, F.col("least")).otherwise(F.get("marks", F.lit(2 * i))).alias("low"), F.when(few, F.col("most")).otherwise(F.get("marks", F.lit(2 * i + 1))).alias("high")) for i in range(len(shares))])
+    spans = state.select(F.col(by).alias("__by"), F.explode(bounds).alias("s")).select("__by", "s.*")
+    placed = rows.where(v.isNotNull()).select(F.col(by).alias("__by"), v.alias("v")).join(small(spans), "__by").where("v <= high")
+    # Values below the bounds count together, under a null.
+    counts = placed.groupBy("__by", "i", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("__by", "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).where("v IS NOT NULL").join(small(state.select(F.col(by).alias("__by"), "n")), "__by")
+    spot = {i: 1 + (F.col("n") - 1) * p for i, p in enumerate(shares)}
+    value_at = lambda i, k: F.min(F.when((F.col("i") == i) & (F.col("upto") >= k), F.col("v")))
+    wanted = [value_at(i, g(spot[i])).alias(f"{name}{i}") for i in spot for name, g in (("floor", F.floor), ("ceil", F.ceil))]
+    found = ranked.groupBy("__by").agg(*wanted, value_at(1, F.greatest(F.lit(1), F.floor(0.95 * F.col("n")))).alias("p95_low"))
+    both = state.join(found, state[by].eqNullSafe(found["__by"]), "left")
+    linear = {i: F.col(f"floor{i}") + (F.col(f"ceil{i}") - F.col(f"floor{i}")) * (spot[i] - F.floor(spot[i])) for i in spot}
+    return both.select(state[by], "n", "mean", linear[0].alias("p50"), linear[1].alias("p95"), "p95_low")
 
 
 def components(rows: DataFrame, timing: str = "timing_ms") -> DataFrame:
