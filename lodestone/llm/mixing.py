@@ -101,8 +101,8 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return listed.select("number", F.expr(running).alias("bounds"))
 
 
-def mixed(docs: DataFrame, shards: int = 16, seed: int = 4, cells: int = CELLS) -> DataFrame:
-    """`docs` with size, source_size, target, taken, and blocks: array of (pass, words, shard, order).
+def mixed(docs: DataFrame, shards: int = 16, seed: int = 4, cells: int = CELLS, carry: list[str] | None = None) -> DataFrame:
+    """`docs` (or its columns `carry`) with size, source_size, target, taken, and blocks: array of (pass, words, shard, order).
 
     taken is the sum of the words of the row's blocks: its size for every full
     pass, up to two, and less for the one cut block of its source.  The blocks of
@@ -112,12 +112,17 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 4, cells: int = CELLS)
     Null texts have size 0 and give no words; a null source is a source of its own, the
     last.  The order depends on doc_id, the text's checksum and the seed, so reruns agree;
     rows equal in all of these may trade places.  With no words at all every target is 0.
-    Columns of `docs` with the names of new columns are replaced.
+    Columns of `docs` with the names of new columns are replaced.  A text of any length is one row; an empty table gives an empty one.
+
+    Words are counted once: the carried columns are written with each row's size and place, and all later steps read that table.
     """
+    carry = docs.columns if carry is None else carry
     made = ("size", "source_size", "target", "taken", "blocks")
     rows = docs.withColumn("size", word_count(F.col("text")))
     rows = rows.withColumn("__order", F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit(seed)))
     rows = rows.withColumn("__cell", F.shiftrightunsigned("__order", 64 - (cells - 1).bit_length()).cast("int"))
+    kept = [c for c in carry if c not in made]
+    rows = store(rows.select(*dict.fromkeys([*kept, "doc_id", "source", "size", "__order", "__cell"])))
     sums = store(rows.groupBy("source", "__cell").agg(F.sum("size").alias("cell_size"), F.count_if(F.col("size") > 0).alias("cell_rows")))
     plan = targets(sums.groupBy("source").agg(F.sum("cell_size").alias("source_size")))
     plan = plan.withColumn("want", F.round("target").cast("long"))
@@ -125,7 +130,7 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 4, cells: int = CELLS)
     plan = store(plan.withColumn("full", full).withColumn("rest", F.col("want") - F.col("full") * F.col("source_size")))
     so_far = Window.partitionBy("number").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     of_source = F.col("a.source").eqNullSafe(F.col("b.source"))
-    placed = sums.alias("a").join(F.broadcast(plan.alias("b")), of_source).select("a.source", "__cell", "cell_size", "cell_rows", "number", "source_size", "target", "full", "rest")
+    placed = sums.alias("a").join(small(plan).alias("b"), of_source).select("a.source", "__cell", "cell_size", "cell_rows", "number", "source_size", "target", "full", "rest")
     placed = placed.withColumns({"__words_before": F.coalesce(F.sum("cell_size").over(so_far), F.lit(0)), "__rows_before": F.coalesce(F.sum("cell_rows").over(so_far), F.lit(0)), "__rows": F.sum("cell_rows").over(Window.partitionBy("number"))})
     placed = store(placed.drop("cell_size", "cell_rows"))
     rows = rows.alias("a").join(small(placed).alias("b"), of_source & (F.col("a.__cell") == F.col("b.__cell")))
@@ -139,14 +144,14 @@ def mixed(docs: DataFrame, shards: int = 16, seed: int = 4, cells: int = CELLS)
     of_cell = store(rows.groupBy("number").agg(F.max("full").alias("full"), F.max("__rows").alias("n"), F.max(F.when(F.col("__part") > 0, F.col("__at") + 1)).alias("more")))
     quotas = of_cell.select("number", (F.col("full") * F.col("n") + F.coalesce("more", F.lit(0))).cast("long").alias("blocks"))
     bounds = shard_quotas(quotas, shards, seed)
-    rows = rows.join(F.broadcast(bounds), "number")
+    rows = rows.join(small(store(bounds)), "number")
     passes = f"""
       transform(filter(sequence(0L, 2L), p -> size > 0 AND (p < full OR p = full AND __part > 0)), p -> named_struct(
         'pass', int(p), 'words', if(p < full, size, __part),
         'shard', size(filter(bounds, b -> b <= p * __rows + __at)), 'order', xxhash64(__order, p, {seed + 1})))"""
     taken = (F.col("full") * F.col("size") + F.col("__part")).cast("long")
     rows = rows.withColumns({"taken": taken, "blocks": F.expr(passes)})
-    return rows.select(*[c for c in docs.columns if c not in made], *made)
+    return rows.select(*kept, *made)
 
 
 def drawn_documents(docs: DataFrame, shards: int = 16, seed: int = 4) -> DataFrame:

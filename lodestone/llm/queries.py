@@ -65,7 +65,7 @@ def op3_url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    made = mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "blocks.shard")
+    made = mixing.mixed(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "blocks.shard")
     return made.withColumnRenamed("shard", "shards")
 
 
