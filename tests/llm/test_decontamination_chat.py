@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 from lodestone.llm import chat, spaced
 
@@ -201,3 +202,105 @@ def test_native_plans(spark):
     docs, items = case()
     for made in (spaced.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)), chat.linked(spark.createDataFrame(talk(), MESSAGES))):
         assert not re.search("Python|Pandas|Arrow|Cartesian", made._jdf.queryExecution().executedPlan().toString())
+
+
+def normal(text):
+    return " ".join(re.findall(r"[^\W_]+", text.lower()))
+
+
+def parsed_by_hand(text):
+    """(body, passages as (level, text)) of a message."""
+    if text is None:
+        return None, []
+    lines = text.split("\n")
+    split = []
+    for line in lines:
+        mark = re.match(r"(?:[ \t]*>)+[ \t]?", line)
+        split.append((mark.group(0).count(">") if mark else 0, line[mark.end() :] if mark else line, line))
+    passages, own = [], []
+    for k, (level, line, raw) in enumerate(split):
+        if level:
+            if k and split[k - 1][0] == level:
+                passages[-1] = (level, passages[-1][1] + "\n" + line)
+            else:
+                passages.append((level, line))
+        elif not (line.strip(" ").endswith("wrote:") and k + 1 < len(split) and split[k + 1][0]):
+            own.append(raw)
+    return ("\n".join(own).strip(" \t\n") if passages else text), passages
+
+
+def holds(body, passage):
+    """Whether a body, a paragraph, a line or some lines in a row of it are the passage."""
+    wanted = normal(passage)
+    if wanted in {normal(u) for u in [body, *re.split(r"\n[ \t]*\n", body), *body.split("\n")]}:
+        return True
+    lines, sought = ([n for n in map(normal, x.split("\n")) if n] for x in (body, passage))
+    return len(sought) > 1 and any(lines[k : k + len(sought)] == sought for k in range(len(lines)))
+
+
+def linked_by_hand(rows):
+    read = [(conv, turn, role, *parsed_by_hand(text)) for conv, turn, role, text, *_ in rows]
+    parents, linked = {}, Counter()
+    for conv, turn, _, _, passages in read:
+        best = None
+        for at, (level, text) in enumerate(passages):
+            if not normal(text) or conv is None or turn is None:
+                continue
+            near = [t for c, t, _, body, _ in read if c == conv and t is not None and t < turn and body and holds(body, text)]
+            far = [(c, t) for c, t, _, body, _ in read if c is not None and c != conv and t is not None and body and len(normal(text)) >= chat.LEAST_LETTERS and holds(body, text)]
+            place = (conv, max(near)) if near else min(far) if far else None
+            if place:
+                linked[conv, turn] += 1
+                best = min(best or (level, at, place), (level, at, place))
+        if best:
+            parents[conv, turn] = best[2]
+    out = []
+    for conv, turn, role, body, passages in read:
+        root, depth = turn, 0
+        while (conv, root) in parents and parents[conv, root][0] == conv:
+            root, depth = parents[conv, root][1], depth + 1
+        out.append((conv, turn, role, body, len(passages), linked[conv, turn], *parents.get((conv, turn), (None, None)), root, depth))
+    return out
+
+
+def threads(seed):
+    rng = random.Random(seed)
+    words = [f"wort{k}" for k in range(40)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 6, 9]))) + rng.choice([".", "!", ""])
+    rows = []
+    for conv in range(12):
+        for turn in range(rng.randint(2, 9)):
+            text = []
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                source = rng.choice(rows)[3] if rows and rng.random() < 0.2 else None
+                earlier = [r for r in rows if r[0] == conv]
+                if source is None and earlier:
+                    source = rng.choice(earlier)[3]
+                source = (source or line()).split("\n")
+                lo = rng.randrange(len(source))
+                cut = source[lo : lo + rng.choice([1, 2, len(source)])]
+                mark = rng.choice(["> ", ">", "> > ", ">>"])
+                if rng.random() < 0.3:
+                    text.append("On Monday they wrote:")
+                text += [mark + (x.upper() if rng.random() < 0.3 else x) for x in cut]
+                if rng.random() < 0.5:
+                    text.append(line())
+            for _ in range(rng.randint(1, 4)):
+                text.append(line())
+                if rng.random() < 0.3:
+                    text.append("")
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), "\n".join(text), "x", 0))
+    return rows
+
+
+def test_generated_threads_as_by_hand(spark):
+    for seed in (1, 2):
+        rows = threads(seed)
+        made = chat.linked(spark.createDataFrame(rows, MESSAGES)).drop("position").collect()
+        wanted = linked_by_hand(rows)
+        assert sorted(map(tuple, made), key=str) == sorted(wanted, key=str)
+        assert sum(r[5] for r in wanted) > 20 and max(r[9] for r in wanted) > 1 and any(r[6] not in (None, r[0]) for r in wanted)
+        order = {}
+        for r in chat.linked(spark.createDataFrame(rows, MESSAGES)).collect():
+            order.setdefault(r["conv_id"], []).append((r["position"], r["root_turn"], r["depth"], r["turn"]))
+        assert all([x[0] for x in sorted(v)] == list(range(1, len(v) + 1)) and sorted(v) == sorted(v, key=lambda x: x[1:]) for v in order.values())
