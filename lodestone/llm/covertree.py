@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import connected_components
-from lodestone.runtime import store
+from lodestone.runtime import small, store
 
 #: Vectors of a block, about.
 BLOCK = 1500
@@ -233,7 +233,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, block: int
     # The cell is a code of signs of fixed projections, as many bits as the label's size asks for.
     classes = store(classes.withColumns({"code": F.pandas_udf(_codes, "int")("v"), "dim": F.size("v")}))
     sizes = classes.groupBy("label", "dim").count().withColumn("bits", F.least(F.lit(12), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("count") / block)))).cast("int"))
-    placed = classes.join(F.broadcast(sizes.drop("count")), ["label", "dim"]).withColumn("cell", F.expr("pmod(code, shiftleft(1, bits))"))
+    placed = classes.join(small(store(sizes.drop("count"))), ["label", "dim"]).withColumn("cell", F.expr("pmod(code, shiftleft(1, bits))"))
     cells = placed.groupBy("label", "dim", "cell").count().withColumn("of", F.ceil(F.col("count") / block).cast("long"))
     placed = placed.join(cells.drop("count"), ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), "of"))
 
