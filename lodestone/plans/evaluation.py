@@ -368,3 +368,26 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 1,600 characters of an example, and its kinds in the order in which they come first."""
     rows = _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang <> source")
     return rows.select("doc_id", F.md5(T.excerpt(F.col("text"))).alias("excerpt"), F.array_join(T.first_seen(F.array("lang", "source", "lang")), ",").alias("kinds"))
+
+
+# Leakage groups of claims
+
+_CLAIM_GROUPS = r"""WITH RECURSIVE i AS (SELECT item_id AS id, text, array_to_string(regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\p{L}\p{N}_]+'), ' ') AS norm FROM benchmark WHERE item_id IS NOT NULL),
+t AS (SELECT id, list_distinct(string_split(norm, ' ')) AS t FROM i WHERE norm <> ''),
+held AS (SELECT i.id, d.doc_id FROM i JOIN documents d ON contains(d.text, i.text)),
+l AS (SELECT a.id AS a, b.id AS b FROM held a JOIN held b USING (doc_id) UNION SELECT a.id, b.id FROM i a JOIN i b ON a.norm = b.norm
+ UNION SELECT a.id, b.id FROM t a JOIN t b ON 100 * len(list_intersect(a.t, b.t)) >= 80 * len(list_distinct(a.t || b.t))),
+reach AS (SELECT a AS id, b AS other FROM l UNION SELECT r.id, l.b FROM reach r JOIN l ON r.other = l.a)
+SELECT i.id, least(i.id, coalesce(min(other), i.id)) AS group_id FROM i LEFT JOIN reach ON reach.id = i.id GROUP BY i.id"""
+
+
+@_query(_CLAIM_GROUPS)
+def claim_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that share a document, a normalised text or most of their words are one group."""
+    items = _table(spark, sf_dir, "benchmark").where("item_id IS NOT NULL").select(F.col("item_id").alias("id"), "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = retrieval.containment(items.select(F.col("id").alias("query_id"), F.col("text").alias("item")), docs)
+    keys = held.select(F.col("query_id").alias("id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("key"))
+    keys = keys.unionByName(items.select("id", F.concat(F.lit("text "), T.normalized(F.coalesce("text", F.lit("")))).alias("key")))
+    similar = sampling.similar_sets(items.select("id", T.tokens(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))).alias("items")), 80)
+    return sampling.leakage_groups(items.select("id"), store(sampling.key_links(store(keys)).unionByName(similar)))
