@@ -101,8 +101,8 @@ def linked(messages: DataFrame) -> DataFrame:
 
     Null texts have a null body.  Rows with a null conv_id form a conversation of
     their own and a null turn comes first; neither is quoted or quotes.  Repeated rows are messages of
-    their own; of messages with equal ids one reply serves all.  Extra columns are
-    ignored, an empty table gives an empty one.
+    their own; of messages with equal ids one reply serves all.  A message of any length is
+    read whole.  Extra columns are ignored, an empty table gives an empty one.
     """
     rows = parsed(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")).drop("text")
     rows = store(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -156,7 +156,8 @@ def rendered(messages: DataFrame, most: int = 10_000) -> DataFrame:
     """(conv_id, part, n_messages, n_linked, chat): each conversation as texts of role and body blocks in reply order.
 
     A text holds `most` messages at most: a longer conversation goes on in
-    parts, numbered from 0, whose n_messages and n_linked are their own.
+    parts, numbered from 0, whose n_messages and n_linked are their own.  Null roles and bodies are empty there, ties are in
+    the order of `linked`, and an empty table gives an empty one.
     """
     block = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("body", F.lit("")))
     rows = linked(messages).withColumn("part", F.expr(f"(position - 1) div {most}"))

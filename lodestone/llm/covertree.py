@@ -223,7 +223,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, block: int
 
     A vector that is null, empty or zero or holds null or non-finite
     components, or whose label or vec_id is null, links with nothing and is
-    kept.  Repeated rows are vectors of their own that share a node.  Extra
+    kept.  Labels may be of any type that can be text.  Repeated rows are vectors of their own that share a node.  Extra
     columns are ignored; an empty table gives an empty one.
     """
     sound = F.expr("size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)")

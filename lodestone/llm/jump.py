@@ -50,7 +50,8 @@ def sharded(docs: DataFrame, shards: int = 16, cells: int = CELLS) -> DataFrame:
     then of doc_id, checksum and size; rows equal in all of these take
     consecutive slots in any order.
 
-    A null doc_id counts as -1.  Repeated ids share a shard.  Columns of `docs`
+    A null doc_id counts as -1.  Repeated ids share a shard.  A text of any length is one row, and an empty table gives an
+    empty one.  Columns of `docs`
     with the names of new columns are replaced; all others are carried along.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")

@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Null or wordless texts have size 0, link with nothing and are kept.  A row
     with a null doc_id is kept, with a null component.  Rows that repeat a
     doc_id share one node of the graph and so one component, and each gets its
-    row.  Other columns of `docs` are ignored.  An empty table gives an empty one.
+    row.  A text of any length is compared whole.  Other columns of `docs` are ignored.  An empty table gives an empty one.
     """
     bounded_batches(docs.sparkSession, "4m")
     signed = store(signatures(docs, width))

@@ -133,7 +133,11 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
 
 
 def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, rows: int = FIT_ROWS) -> Model:
-    """Fit on rated documents: `ratings` is (doc_id, grade 0..n_grades-1); beyond `rows` of them a sample by hash of the id."""
+    """Fit on rated documents: `ratings` is (doc_id, grade 0..n_grades-1); beyond `rows` of them a sample by hash of the id.
+
+    Null ids and grades are left out; of several grades of an id the lowest counts, and rows that repeat an id are fitted each.  Null and empty
+    texts have no features.  Without rated documents the model grades by fixed thresholds alone.
+    """
     bounded_batches(docs.sparkSession, "4m")
     ratings = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     n = max(ratings.count(), 1)
@@ -155,8 +159,8 @@ def graded(docs: DataFrame, model: Model, least: float = 0.6) -> DataFrame:
 
     kept is true where the tail probability is at least `least`.  A null or
     empty text has no features: it is graded by the thresholds alone, like a
-    text of unknown words.  Rows with null or repeated ids are graded like any
-    other; other columns are ignored.
+    text of unknown words.  A text of any length is graded whole.  Rows with null or repeated ids are graded like any
+    other; other columns are ignored; an empty table gives an empty one.
     """
     bounded_batches(docs.sparkSession, "4m")
     weights, thresholds = model.weights.astype(np.float32), model.thresholds

@@ -242,7 +242,7 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): the pages after a round trip through archives.
 
     One row per row of `pages`.  A revisit takes its length from the response
-    it refers to.  An empty table gives an empty one; columns other than
+    it refers to.  A payload of any length comes back whole, in segments; null html and null ids are written as they are.  An empty table gives an empty one; columns other than
     page_id, url and html are ignored.
     """
     spark = pages.sparkSession

@@ -204,6 +204,13 @@ def test_native_plans(spark):
         assert not re.search("Python|Pandas|Arrow|Cartesian", made._jdf.queryExecution().executedPlan().toString())
 
 
+def test_long_messages(spark):
+    body = "\n".join(f"sentence number {k} of a very long message" for k in range(6000))
+    rows = [(1, 0, "user", body, "x", 0), (1, 1, "user", "> sentence number 5999 of a very long message\nthat one", "x", 0), (1, 2, "user", "\n".join("> " + x for x in body.split("\n")) + "\nall", "x", 0)]
+    made = {r["turn"]: r for r in chat.linked(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert [made[k]["parent_turn"] for k in range(3)] == [None, 0, 0] and made[0]["body"] == body and made[2]["body"] == "all"
+
+
 def normal(text):
     return " ".join(re.findall(r"[^\W_]+", text.lower()))
 

@@ -106,6 +106,13 @@ def test_ratio_tells_rejected_urls(spark):
     assert empty.count() == 0
 
 
+def test_long_urls(spark):
+    rows = [*urls(), (5000, "http://example.com/en/" + "a/" * 100_000, "h", "x"), (5001, "http://" + "b" * 150_000 + ".org/es/x", "h", "x"), (5002, "c" * 120_000, "h", "x")]
+    made = {r["page_id"]: r for r in urlmodel.filtered(spark.createDataFrame(rows, PAGES)).collect()}
+    assert (made[5000]["rule"], len(made[5000]["path"])) == ("com/en/", 200_004) and made[5001]["rule"] == "org/es/" and len(made[5001]["host"]) == 150_004
+    assert made[5002]["host"] == made[5002]["path"] == "" and all(math.isfinite(made[k]["ratio"]) for k in (5000, 5001, 5002))
+
+
 def test_model_is_a_distribution():
     counts = np.zeros((urlmodel.SLOTS, urlmodel.SYMBOLS), np.float32)
     symbols, _, slots = urlmodel._symbols(np.frombuffer(b"abcabcabd", np.uint8), np.array([0, 9]))
