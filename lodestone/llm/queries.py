@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import attention, chat, covertree, jump, minhash, mixing, ordinal, spaced, urlmodel, warc
+from lodestone.llm import attention, chat, covertree, jump, merkle, minhash, mixing, multiset, ordinal, phrases, spaced, urlmodel, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,6 +163,134 @@ FROM best WHERE matched * 100 >= w * {spaced.PERCENT} GROUP BY doc_id, item_id
 ORACLES["op10_spaced_seed_decontamination"] = _decontamination_sql()
 
 
+@_query
+def op11_octopus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proved(_table(spark, sf_dir, "documents"))
+
+
+def _manifest_sql() -> str:
+    """The tree level by level: nodes of all levels, siblings by coordinates, and a fold a level at a time."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {field(text)})"
+
+    def levels(leaves: str, key: str) -> str:
+        return f"""
+  SELECT {key}, 0 AS lvl, pos, h, count(*) OVER (PARTITION BY {key}) AS n FROM {leaves}
+  UNION ALL
+  SELECT {key}, lvl + 1, pos, h, n FROM (
+    SELECT {key}, lvl, pos // 3 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, (any_value(n) + 2) // 3 AS n
+    FROM {{nodes}} WHERE n > 1 GROUP BY {key}, lvl, pos // 3)"""
+
+    return f"""
+WITH RECURSIVE
+bits AS (SELECT list_transform(range(256), lambda b: list_reduce(range(9), lambda c, i: CASE WHEN i = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL),
+crc AS (SELECT doc_id, xor(list_reduce(list_transform(range(1, strlen(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM ids, bits),
+leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '-') AS tree, {leaf('text')} AS h, {leaf("replace(text, chr(10), '')")} AS bare FROM documents
+), placed AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS BIGINT) AS pos FROM leaves
+), nodes AS ({levels('placed', 'tree').format(nodes='nodes')}
+), subroots AS (SELECT tree, h, CAST(row_number() OVER (ORDER BY tree) - 1 AS BIGINT) AS pos FROM nodes WHERE n = 1 AND pos = 0
+), based AS (SELECT 'top' AS tree, h, pos FROM subroots
+), tops AS ({levels('based', 'tree').format(nodes='tops')}
+), root AS (SELECT h AS root FROM tops WHERE n = 1
+), every AS (SELECT * FROM nodes UNION ALL SELECT * FROM tops
+), runs AS (
+  SELECT a.tree, a.lvl, a.pos, string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos) AS before, string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos) AS behind
+  FROM every a JOIN every b ON a.tree = b.tree AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.tree, a.lvl, a.pos
+), fold AS (
+  SELECT r, p.tree AS on_tree, 0 AS lvl, p.pos, CASE WHEN crc % 2 = 0 THEN bare ELSE p.h END AS h, '' AS seen FROM placed p LEFT JOIN crc USING (doc_id)
+  UNION ALL
+  SELECT r, on_tree, lvl, pos, h, seen FROM (
+    SELECT f.r, CASE WHEN u.tree IS NULL THEN 'top' ELSE f.on_tree END AS on_tree, CASE WHEN u.tree IS NULL THEN 0 ELSE f.lvl + 1 END AS lvl,
+      CASE WHEN u.tree IS NULL THEN s.pos ELSE f.pos // 3 END AS pos,
+      CASE WHEN u.tree IS NULL THEN f.h ELSE sha256(coalesce(u.before, '') || f.h || coalesce(u.behind, '')) END AS h,
+      CASE WHEN u.tree IS NULL THEN f.seen ELSE f.seen || coalesce(u.before, '') || coalesce(u.behind, '') END AS seen
+    FROM fold f LEFT JOIN runs u ON u.tree = f.on_tree AND u.lvl = f.lvl AND u.pos = f.pos LEFT JOIN subroots s ON s.tree = f.on_tree
+    WHERE u.tree IS NOT NULL OR f.on_tree <> 'top')
+), ended AS (
+  SELECT f.* FROM fold f LEFT JOIN runs u ON u.tree = f.on_tree AND u.lvl = f.lvl AND u.pos = f.pos WHERE f.on_tree = 'top' AND u.tree IS NULL
+)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, root, sha256(e.seen) AS proof_sha256, e.h AS folded_root, e.h = root AS verified
+FROM placed p JOIN ended e USING (r) JOIN subroots s ON s.tree = p.tree, root
+"""
+
+
+ORACLES["op11_octopus_manifest"] = _manifest_sql()
+
+
+@_query
+def op12_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.edited(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_multiset_fingerprints"] = rf"""
+WITH d AS (
+  SELECT doc_id, t, length(t) AS n, row_number() OVER w AS r, lead(t) OVER w AS follows, first_value(t) OVER w AS first
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, sha256(t))
+), e AS (SELECT *, substring(t, 1, n - n // 2) || substring(coalesce(follows, first), 1, n // 2) AS edit FROM d),
+x AS (SELECT r, 'own' AS kind, t FROM e UNION ALL SELECT r, 'edit', edit FROM e),
+paragraphs AS (SELECT r, kind, sha256(q) || sha256(sha256(q)) AS h FROM (SELECT r, kind, unnest(string_split(t, chr(10))) AS q FROM x)),
+digests AS (SELECT r, kind, j, CAST(sum(CAST('0x' || substr(h, 8 * j + 1, 8) AS BIGINT)) % 4294967296 AS BIGINT) AS v FROM paragraphs, (SELECT unnest(range(16)) AS j) GROUP BY ALL),
+clauses AS (SELECT r, kind, md5(trim(c)) AS m FROM (SELECT r, kind, unnest(regexp_split_to_array(t, '[.,;:!?
+]+')) AS c FROM x) WHERE trim(c) <> ''),
+counted AS (SELECT r, kind, j, count(*) FILTER ((CAST('0x' || substr(m, 1 + 8 * (j // 32), 8) AS BIGINT) >> (j % 32)) & 1 = 1) AS v, count(*) AS c FROM clauses, (SELECT unnest(range(64)) AS j) GROUP BY ALL),
+bits AS (SELECT r, kind, j, coalesce(v, 0) AS v, coalesce(c, 0) AS c FROM (SELECT r, kind FROM x) CROSS JOIN (SELECT unnest(range(64)) AS j) LEFT JOIN counted USING (r, kind, j)),
+hexed AS (
+  SELECT r, kind, string_agg(printf('%08x', v), '' ORDER BY lane) AS f FROM (
+    SELECT r, kind, j AS lane, v FROM digests UNION ALL SELECT r, kind, 16, max(c) FROM bits GROUP BY r, kind UNION ALL SELECT r, kind, 17 + j, v FROM bits)
+  GROUP BY r, kind
+), pairs AS (SELECT r AS a, 'own' AS ka, r AS b, 'edit' AS kb FROM e UNION ALL SELECT r, 'own', CASE WHEN follows IS NULL THEN 1 ELSE r + 1 END, 'own' FROM e),
+dots AS (
+  SELECT p.a, p.kb, any_value(fa.f = fb.f) AS equal, sum((2 * x.v - x.c) * (2 * y.v - y.c)) AS ab, sum((2 * x.v - x.c) * (2 * x.v - x.c)) AS aa, sum((2 * y.v - y.c) * (2 * y.v - y.c)) AS bb
+  FROM pairs p JOIN bits x ON x.r = p.a AND x.kind = p.ka JOIN bits y ON y.r = p.b AND y.kind = p.kb AND y.j = x.j
+  JOIN hexed fa ON fa.r = p.a AND fa.kind = p.ka JOIN hexed fb ON fb.r = p.b AND fb.kind = p.kb GROUP BY p.a, p.kb
+), near AS (SELECT a, kb, CASE WHEN equal THEN 1.0::DOUBLE WHEN aa = 0 OR bb = 0 THEN 0 ELSE least(1, greatest(0, CAST(ab AS DOUBLE) / sqrt(CAST(aa AS DOUBLE) * CAST(bb AS DOUBLE)))) END AS s FROM dots)
+SELECT doc_id, n AS n_chars, sha256(edit) AS edited_sha256, o.f AS fingerprint, i.f AS edited_fingerprint, ne.s AS near_edited, nn.s AS near_next
+FROM e JOIN hexed o ON o.r = e.r AND o.kind = 'own' JOIN hexed i ON i.r = e.r AND i.kind = 'edit'
+JOIN near ne ON ne.a = e.r AND ne.kb = 'edit' JOIN near nn ON nn.a = e.r AND nn.kb = 'own'
+"""
+
+
+@_query
+def op13_automaton_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_automaton_collocations"] = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents
+), pieces AS (SELECT lang, unnest(regexp_extract_all(s, '[^.,;:!?
+-
+]+')) AS p FROM t),
+w AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM pieces),
+size AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, {phrases.MOST_WORDS + 1})) AS k) WHERE len(w) >= k)
+), f AS (SELECT lang, k, g, count(*) AS f, string_split(g, ' ') AS ws FROM grams GROUP BY lang, k, g HAVING count(*) >= {phrases.LEAST}),
+cuts AS (
+  SELECT c.lang, c.g, c.k, c.f AS a, x.k AS cut, x.f AS l, y.f AS r
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1) c
+  JOIN f x ON x.lang = c.lang AND x.g = array_to_string(c.ws[1:c.cut], ' ') JOIN f y ON y.lang = c.lang AND y.g = array_to_string(c.ws[c.cut + 1:], ' ')
+), inside AS (
+  SELECT DISTINCT lang, part AS g FROM (
+    SELECT lang, f, array_to_string(ws[i:i + m - 1], ' ') AS part
+    FROM (SELECT lang, f, ws, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)))
+  JOIN (SELECT lang, g AS part, f AS a FROM f) USING (lang, part) WHERE f >= a
+), scored AS (
+  SELECT lang, g, a, cut, l, r, n, CAST((1000::HUGEINT * a * n) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts JOIN size USING (lang) WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = cuts.lang AND i.g = cuts.g)
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM best QUALIFY rank <= {phrases.TOP}
+"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
