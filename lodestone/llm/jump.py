@@ -64,4 +64,4 @@ def sharded(docs: DataFrame, shards: int = 16, cells: int = CELLS) -> DataFrame:
     order = Window.partitionBy("shard", "__cell").orderBy("doc_id", "text_crc32", "size")
     slot = (F.col("__before") + F.row_number().over(order) - 1).cast("long")
     names = [c for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
-    return rows.join(F.broadcast(offsets), ["shard", "__cell"]).withColumn("slot", slot).select(*names, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return rows.join(F.broadcast(offsets), ["shard", "__cell"]).withColumn("slot", slot).select(*[F.col(f"`{c}`") for c in names], "size", "text_crc32", "law", "shard", "slot", "grown_shard")

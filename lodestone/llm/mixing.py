@@ -101,64 +101,73 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return listed.select("number", F.expr(running).alias("bounds"))
 
 
-def mixed(docs: DataFrame, shards: int = 16, seed: int = 4, cells: int = CELLS, carry: list[str] | None = None) -> DataFrame:
-    """`docs` (or its columns `carry`) with size, source_size, target, taken, and blocks: array of (pass, words, shard, order).
+MADE = ("size", "source_size", "target", "taken", "blocks")
 
-    taken is the sum of the words of the row's blocks: its size for every full
-    pass, up to two, and less for the one cut block of its source.  The blocks of
-    a source add up to its target, rounded.  Blocks of a shard sorted by their order
-    are the shard's local shuffle.
 
-    Null texts have size 0 and give no words; a null source is a source of its own, the
-    last.  The order depends on doc_id, the text's checksum and the seed, so reruns agree;
-    rows equal in all of these may trade places.  With no words at all every target is 0.
-    Columns of `docs` with the names of new columns are replaced.  A text of any length is one row; an empty table gives an empty one.
-
-    Words are counted once: the carried columns are written with each row's size and place, and all later steps read that table.
-    """
-    carry = docs.columns if carry is None else carry
-    made = ("size", "source_size", "target", "taken", "blocks")
-    rows = docs.withColumn("size", word_count(F.col("text")))
-    rows = rows.withColumn("__order", F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit(seed)))
-    rows = rows.withColumn("__cell", F.shiftrightunsigned("__order", 64 - (cells - 1).bit_length()).cast("int"))
-    kept = [c for c in carry if c not in made]
-    rows = store(rows.select(*dict.fromkeys([*kept, "doc_id", "source", "size", "__order", "__cell"])))
-    sums = store(rows.groupBy("source", "__cell").agg(F.sum("size").alias("cell_size"), F.count_if(F.col("size") > 0).alias("cell_rows")))
+def _drawn(docs: DataFrame, carry: list[str], shards: int, seed: int, cells: int) -> DataFrame:
+    """(row, size, source_size, target, taken, blocks): the columns `carry` of each row as a struct, so none of them meets a working column."""
+    given = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(given.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"))
+    rows = rows.withColumn("order", F.xxhash64("doc_id", "crc", F.lit(seed))).drop("crc")
+    rows = store(rows.withColumn("cell", F.shiftrightunsigned("order", 64 - (cells - 1).bit_length()).cast("int")))
+    sums = store(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.count_if(F.col("size") > 0).alias("cell_rows")))
     plan = targets(sums.groupBy("source").agg(F.sum("cell_size").alias("source_size")))
     plan = plan.withColumn("want", F.round("target").cast("long"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("want") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     plan = store(plan.withColumn("full", full).withColumn("rest", F.col("want") - F.col("full") * F.col("source_size")))
-    so_far = Window.partitionBy("number").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("number").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     of_source = F.col("a.source").eqNullSafe(F.col("b.source"))
-    placed = sums.alias("a").join(small(plan).alias("b"), of_source).select("a.source", "__cell", "cell_size", "cell_rows", "number", "source_size", "target", "full", "rest")
-    placed = placed.withColumns({"__words_before": F.coalesce(F.sum("cell_size").over(so_far), F.lit(0)), "__rows_before": F.coalesce(F.sum("cell_rows").over(so_far), F.lit(0)), "__rows": F.sum("cell_rows").over(Window.partitionBy("number"))})
+    placed = sums.alias("a").join(small(plan).alias("b"), of_source).select("a.source", "cell", "cell_size", "cell_rows", "number", "source_size", "target", "full", "rest")
+    placed = placed.withColumns({"words_before": F.coalesce(F.sum("cell_size").over(so_far), F.lit(0)), "rows_before": F.coalesce(F.sum("cell_rows").over(so_far), F.lit(0)), "rows": F.sum("cell_rows").over(Window.partitionBy("number"))})
     placed = store(placed.drop("cell_size", "cell_rows"))
-    rows = rows.alias("a").join(small(placed).alias("b"), of_source & (F.col("a.__cell") == F.col("b.__cell")))
-    rows = rows.select("a.*", *[F.col(f"b.{c}") for c in ("number", "source_size", "target", "full", "rest", "__words_before", "__rows_before", "__rows")])
-    inside = Window.partitionBy("number", "__cell").orderBy("__order", "doc_id", "size")
-    rows = rows.withColumns({"__before": F.col("__words_before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__at": F.col("__rows_before") + F.coalesce(F.count_if(F.col("size") > 0).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    partial = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - F.col("__before")))
-    rows = rows.withColumn("__part", partial)
+    rows = rows.alias("a").join(small(placed).alias("b"), of_source & (F.col("a.cell") == F.col("b.cell")))
+    rows = rows.select("a.*", *[F.col(f"b.{c}") for c in ("number", "source_size", "target", "full", "rest", "words_before", "rows_before", "rows")])
+    inside = Window.partitionBy("number", "cell").orderBy("order", "doc_id", "size")
+    rows = rows.withColumns({"before": F.col("words_before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "at": F.col("rows_before") + F.coalesce(F.count_if(F.col("size") > 0).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    rows = rows.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - F.col("before"))))
 
     # Blocks of a source: every row once per full pass, then the rows before the one that is cut, and that one.
-    of_cell = store(rows.groupBy("number").agg(F.max("full").alias("full"), F.max("__rows").alias("n"), F.max(F.when(F.col("__part") > 0, F.col("__at") + 1)).alias("more")))
+    of_cell = store(rows.groupBy("number").agg(F.max("full").alias("full"), F.max("rows").alias("n"), F.max(F.when(F.col("part") > 0, F.col("at") + 1)).alias("more")))
     quotas = of_cell.select("number", (F.col("full") * F.col("n") + F.coalesce("more", F.lit(0))).cast("long").alias("blocks"))
     bounds = shard_quotas(quotas, shards, seed)
     rows = rows.join(small(store(bounds)), "number")
     passes = f"""
-      transform(filter(sequence(0L, 2L), p -> size > 0 AND (p < full OR p = full AND __part > 0)), p -> named_struct(
-        'pass', int(p), 'words', if(p < full, size, __part),
-        'shard', size(filter(bounds, b -> b <= p * __rows + __at)), 'order', xxhash64(__order, p, {seed + 1})))"""
-    taken = (F.col("full") * F.col("size") + F.col("__part")).cast("long")
-    rows = rows.withColumns({"taken": taken, "blocks": F.expr(passes)})
-    return rows.select(*kept, *made)
+      transform(filter(sequence(0L, 2L), p -> size > 0 AND (p < full OR p = full AND part > 0)), p -> named_struct(
+        'pass', int(p), 'words', if(p < full, size, part),
+        'shard', size(filter(bounds, b -> b <= p * rows + at)), 'order', xxhash64(order, p, {seed + 1})))"""
+    taken = (F.col("full") * F.col("size") + F.col("part")).cast("long")
+    return rows.select("row", "size", "source_size", "target", taken.alias("taken"), F.expr(passes).alias("blocks"))
+
+
+def mixed(docs: DataFrame, shards: int = 16, seed: int = 4, cells: int = CELLS, carry: list[str] | None = None) -> DataFrame:
+    """`docs` (or its columns `carry`) with size, source_size, target, taken, and blocks: array of (pass, words, shard, order).
+
+    taken is the sum of the words of the row's blocks: its size for every full
+    pass, up to two, and less for the one cut block of its source.  The blocks of
+    a source add up to its target, rounded.  Blocks of a shard sorted by their order
+    are the shard's local shuffle.
+
+    Null texts have size 0 and give no words; a null source is a source of its own, the
+    last.  The order depends on doc_id, the text's checksum and the seed, so reruns agree;
+    rows equal in all of these may trade places.  With no words at all every target is 0.
+    Columns of `docs` with the names of new columns are replaced, all others of any name come back as they were.
+    A text of any length is one row; an empty table gives an empty one.
+
+    Words are counted once: the carried columns are written with each row's size and place, and all later steps read that table.
+    """
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in MADE]
+    return _drawn(docs, kept, shards, seed, cells).select(*[F.col("row")[c].alias(c) for c in kept], *MADE)
 
 
 def drawn_documents(docs: DataFrame, shards: int = 16, seed: int = 4) -> DataFrame:
-    """The mixture itself, with the columns of `docs`: a row per block, the cut block with its first words joined by spaces."""
-    rows = mixed(docs, shards, seed).select(*docs.columns, F.col("size").alias("__size"), F.explode("blocks").alias("__block"))
-    cut = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("__block.words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("__block.words") < F.col("__size"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__block.words") < F.col("__size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    """The mixture itself, with the columns of `docs`: a row per block, the cut block with its first words joined by spaces.
+
+    Columns other than text and n_chars come back as they were, whatever their names; a column n_chars holds the code points
+    of a cut text, and stays as it was elsewhere.  Null and empty texts give no words and so no rows, null
+    sources are one source, rows that repeat are drawn each for itself, and an empty table gives an empty one.
+    """
+    rows = _drawn(docs, docs.columns, shards, seed, CELLS).select("row", "size", F.explode("blocks").alias("block"))
+    cut = F.array_join(F.slice(words(F.col("row")["text"]), F.lit(1), F.col("block.words").cast("int")), " ")
+    rows = rows.withColumn("is_cut", F.col("block.words") < F.col("size")).withColumn("drawn", F.when(F.col("is_cut"), cut).otherwise(F.col("row")["text"]))
+    instead = {"text": F.col("drawn"), "n_chars": F.when(F.col("is_cut"), F.length("drawn").cast("long")).otherwise(F.col("row")["n_chars"])}
+    return rows.select(*[(instead[c] if c in instead else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -136,7 +136,7 @@ def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, rows: int = F
     """Fit on rated documents: `ratings` is (doc_id, grade 0..n_grades-1); beyond `rows` of them a sample by hash of the id.
 
     Null ids and grades are left out; of several grades of an id the lowest counts, and rows that repeat an id are fitted each.  Null and empty
-    texts have no features.  Without rated documents the model grades by fixed thresholds alone.
+    texts have no features; a text has at most DIMENSIONS of them, four bytes each, however long it is.  Without rated documents the model grades by fixed thresholds alone.
     """
     bounded_batches(docs.sparkSession, "4m")
     ratings = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
@@ -179,7 +179,10 @@ def graded(docs: DataFrame, model: Model, least: float = 0.6) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, model: Model, least: float = 0.6) -> DataFrame:
-    """The rows of `docs` that `graded` keeps, all columns as they are."""
+    """The rows of `docs` that `graded` keeps, all columns as they are, whatever their names.
+
+    Null and empty texts are graded by the thresholds alone, rows that repeat are each graded, and an empty table gives an empty one.
+    """
     bounded_batches(docs.sparkSession, "4m")
     weights, thresholds = model.weights.astype(np.float32), model.thresholds
     at = docs.columns.index("text")
@@ -192,4 +195,5 @@ def kept_documents(docs: DataFrame, model: Model, least: float = 0.6) -> DataFra
             tails = scorer.tails(np.concatenate(sets) if sets else np.zeros(0, np.int32), bounds)
             yield batch.filter(pa.array(tails[:, -1] >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

@@ -96,4 +96,4 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """`docs` without those that hold test items, all columns kept; rows with a null id stay, and of rows that repeat an id those whose own text holds none."""
     found, _ = _diagonals(docs, items, MASKS, WINDOW, PERCENT)
     gone = store(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    return docs.join(small(gone), (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti").select(*docs.columns)
+    return docs.join(small(gone), (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")

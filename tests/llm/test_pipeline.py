@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import jump, mixing, queries
@@ -120,3 +121,19 @@ def test_run_is_the_query_and_repeats(spark, corpus):
     folder, _ = corpus
     key = lambda df: sorted((str(r["doc_id"]), r["text"], r["shard"], r["slot"]) for r in df.collect())
     assert key(corpus_pipeline.run(spark, folder)) == key(queries.QUERIES["pipeline"](spark, folder))
+
+
+def test_columns_of_any_name_come_back_from_every_stage(spark, corpus, tmp_path):
+    folder, _ = corpus
+    names = ("size", "target", "taken", "blocks", "number", "full", "rest", "row", "order", "cell", "part", "rows", "bounds", "n", "item_id", "component_id", "grade", "a.b", "x y")
+    held = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("no")), F.lit(" "))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("*", *[F.concat(held, F.lit(name)).alias(name) for name in names])
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, docs, folder)
+        made.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        rows = docs.collect()
+        assert rows, name
+        for row in rows:
+            start = "no" if row["doc_id"] is None else row["doc_id"]
+            assert all(row[c] == f"{start} {c}" for c in names if name != "shard" or c != "size"), name
