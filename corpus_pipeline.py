@@ -42,10 +42,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = keyed.join(small(gone), "__node", "left_anti")
     twice = store(found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__node")).count().where("count > 1").select("__node"))
     if twice.isEmpty():
-        return kept.select(*docs.columns)
+        return kept.drop("__node")
     rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     once = kept.join(small(twice), "__node", "left_semi").groupBy("__node").agg(F.min_by(rows, F.xxhash64(rows)).alias("__row")).select("__row.*")
-    return kept.join(small(twice), "__node", "left_anti").select(*docs.columns).unionByName(once)
+    return kept.join(small(twice), "__node", "left_anti").drop("__node").unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
