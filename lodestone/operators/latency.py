@@ -16,7 +16,7 @@ def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, n, mean, p50, p95, p95_low): linear percentiles, and the value at position max(1, floor(0.95 n)) of the sorted values.
 
     Exact: a sketch bounds each percentile from both sides, the rows below the bounds are counted and only those between them
-    are ordered, equal values as one.  Groups of up to SKETCH rows are ordered whole.  Nulls are left out; a group of nothing else has n = 0.
+    are ordered, equal values as one.  Groups of up to SKETCH rows are ordered whole.  Null values are left out, a group of nothing else has n = 0, and null is a group of its own.
     """
     v, shares, margin = F.col(value), (0.5, 0.95), 3 / SKETCH
     marks = F.percentile_approx(v, [q for p in shares for q in (p - margin, p + margin)], SKETCH)
@@ -24,11 +24,13 @@ def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     few = F.col("n") <= SKETCH
     bounds = F.array(*[F.struct(F.lit(i).alias("i"), F.when(few, F.col("least")).otherwise(F.get("marks", F.lit(2 * i))).alias("low"), F.when(few, F.col("most")).otherwise(F.get("marks", F.lit(2 * i + 1))).alias("high")) for i in range(len(shares))])
     spans = state.select(F.col(by).alias("__by"), F.explode(bounds).alias("s")).select("__by", "s.*")
-    placed = rows.where(v.isNotNull()).select(F.col(by).alias("__by"), v.alias("v")).join(small(spans), "__by").where("v <= high")
+    # Groups meet null-safely: null is a group like any other.
+    spans = spans.withColumnRenamed("__by", "__of")
+    placed = rows.where(v.isNotNull()).select(F.col(by).alias("__by"), v.alias("v")).join(small(spans), F.col("__by").eqNullSafe(F.col("__of"))).where("v <= high").drop("__of")
     # Values below the bounds count together, under a null.
     counts = placed.groupBy("__by", "i", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("__by", "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).where("v IS NOT NULL").join(small(state.select(F.col(by).alias("__by"), "n")), "__by")
+    ranked = counts.withColumn("upto", upto).where("v IS NOT NULL").join(small(state.select(F.col(by).alias("__of"), "n")), F.col("__by").eqNullSafe(F.col("__of"))).drop("__of")
     spot = {i: 1 + (F.col("n") - 1) * p for i, p in enumerate(shares)}
     value_at = lambda i, k: F.min(F.when((F.col("i") == i) & (F.col("upto") >= k), F.col("v")))
     wanted = [value_at(i, g(spot[i])).alias(f"{name}{i}") for i in spot for name, g in (("floor", F.floor), ("ceil", F.ceil))]

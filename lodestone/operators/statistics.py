@@ -23,8 +23,10 @@ Z = 1.959963984540054
 MOST_UNITS = 2_000_000
 
 
-def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
-    """Lower and upper end of the Wilson interval of k of n; null for n = 0."""
+def wilson(k: Column, n: Column, z: float = Z, strict: bool = False) -> tuple[Column, Column]:
+    """Lower and upper end of the Wilson interval of k of n; for n = 0 null, or an error where `strict`."""
+    if strict:
+        n = F.when(n == 0, F.raise_error(F.lit("an interval of no rows")).cast("bigint")).otherwise(n)
     p, zz = F.try_divide(k, n), z * z
     middle, spread = (p + zz / (2 * n)) / (1 + zz / n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return F.when(n > 0, middle - spread), F.when(n > 0, middle + spread)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -59,9 +59,49 @@ def reordered(before: DataFrame, after: DataFrame, by: str, doc: str) -> DataFra
     return sets[0].join(sets[1], by, "full").where("NOT (a <=> b)").select(by)
 
 
+def multiset_digest(rows: DataFrame) -> DataFrame:
+    """One row (n, digest): the number of rows, and 256 bits that do not depend on their order but on how often each stands.
+
+    Eight lanes of 32 bits of each row's SHA-256 are summed; tables add up lane by lane.  Columns count by place, not by name; -0.0 is 0.0.
+    """
+    floats = {"double", "float"}
+    values = [(F.col(f"`{c}`") + F.lit(0.0) if kind in floats else F.col(f"`{c}`")).alias(f"c{i}") for i, (c, kind) in enumerate(rows.dtypes)]
+    each = rows.select(F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256).alias("h"))
+    lanes = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    sums = each.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(lane), F.lit(0)).alias(f"s{i}") for i, lane in enumerate(lanes)])
+    digits = [F.lpad(F.lower(F.hex((F.col(f"s{i}") % F.lit(1 << 32)).cast("bigint"))), 8, "0") for i in range(8)]
+    return sums.select("n", F.concat(*digits).alias("digest"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables hold the same rows, repetitions counted."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    """Whether two tables hold the same rows, repetitions counted: their digests are compared, each made in one scan."""
+    return len(a.columns) == len(b.columns) and multiset_digest(a).first() == multiset_digest(b).first()
+
+
+def checks_in_one_scan(rows: DataFrame, path: str, checks: dict[str, Column], allowed: dict[str, int] | None = None) -> dict[str, int]:
+    """Write `rows` to `path` while counting the rows that break each check (a condition that is true of a violation); returns the counts.
+
+    The counts are observed by the tasks that write, so a table is scanned once whatever the number of checks.
+    It is written beside `path` and moved there only where no check is broken by more rows than `allowed` (none);
+    otherwise what was written is deleted and the counts are raised.  An existing path raises.  "rows" counts all.
+    """
+    spark = rows.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    target, aside = where(path), where(f"{path.rstrip('/')}__unchecked")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target):
+        raise ValueError(f"{path} exists")
+    observed = Observation()
+    counts = [F.count_if(F.coalesce(broken, F.lit(False))).alias(name) for name, broken in checks.items()]
+    rows.observe(observed, F.count(F.lit(1)).alias("rows"), *counts).write.mode("overwrite").parquet(aside.toString())
+    found = {name: int(n) for name, n in observed.get.items()}
+    broken = {name: found[name] for name in checks if found[name] > (allowed or {}).get(name, 0)}
+    if broken:
+        system.delete(aside, True)
+        raise ValueError(f"{path}: rows break {broken}")
+    if not system.rename(aside, target):
+        raise ValueError(f"{path} could not be published")
+    return found
 
 
 def label_gate(rows: DataFrame, label: str) -> DataFrame:

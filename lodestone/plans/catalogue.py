@@ -131,6 +131,17 @@ def random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("query_id").agg(F.min(F.struct(T.seeded_order(7, F.col("query_id"), F.col("doc_id")), "doc_id"))["doc_id"].alias("doc_id"))
 
 
+@_query(_DENSE + """, o AS (SELECT doc_id, label, md5('7|' || doc_id) AS key, row_number() OVER (ORDER BY md5('7|' || doc_id), doc_id) - 1 AS place, count(*) OVER () AS n FROM c JOIN (SELECT vec_id AS doc_id, label FROM embeddings) USING (doc_id, label)),
+e AS (SELECT query_id, q.label, (SELECT count(*) FROM o WHERE o.key < md5('7|q|' || query_id)) AS enters FROM q)
+SELECT query_id, arg_min(doc_id, (place - enters + n) % n) AS doc_id FROM e JOIN o ON e.label <> o.label
+WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rank <= 10 AND r.query_id = e.query_id AND r.doc_id = o.doc_id) GROUP BY 1""")
+def walked_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random document of another label and outside the first ten for each query, by rejection along one order of the documents: no query meets every document."""
+    ranking, _, corpus = _dense(spark, sf_dir, 10)
+    queries = _table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return sampling.walked_negatives(queries, corpus.select("doc_id", "label"), store(ranking.select("query_id", "doc_id")), 7)
+
+
 @_query(_DENSE + """, b AS (SELECT r.*, CASE WHEN rank = 1 THEN 'B' ELSE 'C' END AS pool, EXISTS (SELECT 1 FROM rel WHERE rel.query_id = r.query_id AND rel.doc_id = r.doc_id) AS annotated FROM r WHERE rank <= 10)
 SELECT pool, count(*) AS n, count(*) FILTER (score <= 0.66) AS accepted, round(min(score), 6) AS low, round(max(score), 6) AS high FROM b WHERE NOT annotated GROUP BY 1""")
 def rank_band_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -503,11 +514,28 @@ def grouped_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.label_folds(groups, 5)
 
 
-@_query()
+_SHARED = _TEXT_GROUPS.replace("WITH v", "WITH RECURSIVE v") + """, c AS (SELECT group_id, feature, count(*) AS n FROM (SELECT group_id, unnest(['a:' || gold, 'b:' || predicted]) AS feature FROM w) GROUP BY 1, 2),
+z AS (SELECT feature, sum(n)::DOUBLE AS total FROM c GROUP BY 1), zz AS (SELECT list(feature ORDER BY feature) AS names, list(total ORDER BY feature) AS totals FROM z),
+every AS (SELECT DISTINCT group_id FROM g), size AS (SELECT count(*)::DOUBLE AS m FROM every),
+o AS (SELECT every.group_id, row_number() OVER (ORDER BY coalesce(sum(n), 0) DESC, md5('0|' || every.group_id), every.group_id) AS i,
+  list_transform(any_value(names), lambda f: coalesce(list_sum(list_transform(list_filter(list({'f': feature, 'n': n::DOUBLE}) FILTER (feature IS NOT NULL), lambda x: x.f = f), lambda x: x.n)), 0)) AS v
+  FROM every LEFT JOIN c USING (group_id) CROSS JOIN zz GROUP BY every.group_id),
+f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS group_id, 0 AS fold, list_transform([1, 2, 3, 4, 5], lambda k: list_transform(totals, lambda t: 0::DOUBLE)) AS load, [0, 0, 0, 0, 0]::DOUBLE[] AS held FROM zz
+  UNION ALL SELECT i, group_id, fold - 1, list_transform(load, lambda l, k: CASE WHEN k = fold THEN list_transform(l, lambda x, j: x + v[j]) ELSE l END), list_transform(held, lambda h, k: CASE WHEN k = fold THEN h + 1 ELSE h END)
+  FROM (SELECT o.i, o.group_id, o.v, load, held, list_sort(list_transform([1, 2, 3, 4, 5], lambda k: {
+      'cost': round(list_sum(list_transform(totals, lambda t, j: ((load[k][j] + o.v[j]) / (t / 5)) ** 2)) + 0.05 * ((held[k] + 1) / (m / 5)) ** 2, 9), 'held': held[k], 'k': k}))[1].k AS fold
+    FROM f JOIN o ON o.i = f.i + 1, zz, size))
+SELECT group_id, fold FROM f WHERE i > 0"""
+
+
+@_query(_SHARED)
 def shared_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the labelled rows dealt by gold and predicted labels; groups of texts without any label are dealt as well."""
     rows = _text_groups(spark, sf_dir)
     features = rows.select("group_id", F.explode(F.array(F.concat(F.lit("a:"), "gold"), F.concat(F.lit("b:"), "predicted"))).alias("feature"))
-    return sampling.shared_folds(features.groupBy("group_id", "feature").agg(F.count("*").alias("n")), 5)
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    every = docs.groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("group_id")).select("group_id")
+    return sampling.shared_folds(features.groupBy("group_id", "feature").agg(F.count("*").alias("n")), 5, ids=every)
 
 
 @_query(_FOLDS + """ SELECT x.fold, label, count(*) FILTER (f.fold = x.fold) AS valid, count(*) FILTER (f.fold <> x.fold) AS train
@@ -535,7 +563,7 @@ def stratified_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""WITH p AS (SELECT conv_id, turn, role, text, turn // 1024 AS part FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)
 SELECT conv_id, part, count(*) AS n_messages, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn, role, text) AS prompt FROM p GROUP BY 1, 2""")
 def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as prompts; one of more than 1,024 turns goes on in numbered parts, so no row holds a conversation of any length."""
+    """Conversations as prompts; one of more than 1,024 turns goes on in numbered parts, so no row holds a conversation of any length.  Messages without a role or text are left out."""
     rows = _table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL").withColumn("part", F.expr("turn div 1024"))
     blocks = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     lines = F.transform("m", lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["text"]))

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources import files
+
 CLAIMS = "id long, claim string, cited_doc_ids array<long>, evidence map<string, array<struct<sentences: array<int>, label: string>>>"
 CORPUS = "doc_id long, title string, abstract array<string>, structured boolean"
 QRELS = "`query-id` long, `corpus-id` long, score int"
@@ -58,36 +54,10 @@ def read_audit(spark: SparkSession, path: str, labels: tuple[str, ...], require_
 
 
 def read_archive_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """(archive, line): the non-blank lines of the one member of each zip or tar archive whose name ends in `member`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = io.BytesIO(content.as_py())
-                if zipfile.is_zipfile(data):
-                    archive = zipfile.ZipFile(data)
-                    names, opened = archive.namelist(), archive.open
-                else:
-                    data.seek(0)
-                    archive = tarfile.open(fileobj=data)
-                    names, opened = archive.getnames(), archive.extractfile
-                found = [n for n in names if n.endswith(member)]
-                if len(found) != 1:
-                    raise ValueError(f"{name}: {len(found)} members end in {member}")
-                with opened(found[0]) as stream:
-                    lines = []
-                    for line in io.TextIOWrapper(stream, "utf-8"):
-                        if line.strip():
-                            lines.append(line.rstrip("\r\n"))
-                        if len(lines) == 10_000:
-                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(lines)], ["archive", "line"])
-                            lines = []
-                    if lines:
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(lines)], ["archive", "line"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, line string")
+    """(archive, line): the non-blank lines of the one member of each zip or tar archive whose name ends in `member`, archives of any size."""
+    return files.archive_lines(spark, path, member)
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of whole files, to compare with pinned values."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of whole files of any size, to compare with pinned values."""
+    return files.file_digests(spark, path).select("path", "sha256")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.validation import same_rows
+from lodestone.operators.validation import multiset_digest
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -29,12 +29,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def freeze(rows: DataFrame, path: str) -> bool:
-    """Write Parquet where nothing stands; else require the same rows. True where it wrote."""
+    """Write Parquet, and beside it the digest of its rows, where nothing stands; else require rows of the same digest. True where it wrote.
+
+    The digest counts repeated rows and no order; of a table without one it is computed.
+    """
     spark = rows.sparkSession
+    said = tuple(multiset_digest(rows).first())
     if not _exists(spark, path):
         rows.write.parquet(path)
+        spark.createDataFrame([said], "n long, digest string").coalesce(1).write.json(f"{path}/_digest")
         return True
-    if not same_rows(spark.read.parquet(path), rows):
+    if _exists(spark, f"{path}/_digest/_SUCCESS"):
+        held = tuple(spark.read.schema("n long, digest string").json(f"{path}/_digest").first())
+    else:
+        held = tuple(multiset_digest(spark.read.parquet(path)).first())
+    if held != said:
         raise ValueError(f"{path} holds other rows")
     return False
 
