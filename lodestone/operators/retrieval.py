@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.runtime import small, store
+from lodestone.functions import vectors
+from lodestone.runtime import small, spread, store
 
-#: Queries that every task holds as one matrix; more are searched group by group.
+#: Queries that meet a block in one task.
 QUERY_ROWS = 4096
-#: Documents that are scored together.
-SCORED_ROWS = 512
+#: Vectors of a block, and vectors at most that blocks are gathered around.
+BLOCK_ROWS, PIVOTS = 512, 256
+#: Documents of a block of postings.
+BLOCK_DOCS = 4096
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -25,76 +28,126 @@ def ranked(scores: DataFrame, k: int | None = None, by: str = "query_id", doc: s
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-class _Best:
-    """The best `k` (score, id) of every query seen so far, ties to the smaller id; a task's memory follows queries times `k`."""
+def _best(scores: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
+    """Places of the `k` highest scores, ties to the smaller id: all that reach the k-th score are sorted, no others."""
+    at = np.arange(len(scores)) if len(scores) <= k else np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return at[np.lexsort((docs[at], -scores[at]))[:k]]
 
-    def __init__(self, queries: np.ndarray, k: int) -> None:
-        self.queries, self.k = queries, k
-        self.scores, self.docs = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int64)
 
-    def add(self, scores: np.ndarray, docs: np.ndarray) -> None:
-        """scores (queries, documents) of further documents."""
-        scores = np.concatenate([self.scores, scores], axis=1)
-        docs = np.concatenate([self.docs, np.broadcast_to(docs, (len(scores), len(docs)))], axis=1)
-        order = np.lexsort((docs, -scores), axis=1)[:, : self.k]
-        self.scores, self.docs = np.take_along_axis(scores, order, 1), np.take_along_axis(docs, order, 1)
+def _hits(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    """(query_id, doc_id, score) from a query's documents and scores each."""
+    sizes = [len(docs) for _, docs, _ in found]
+    queries = np.repeat(np.array([q for q, _, _ in found], np.int64), sizes)
+    docs, scores = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in (1, 2))
+    return pa.table([pa.array(queries), pa.array(docs.astype(np.int64)), pa.array(scores.astype(np.float64))], names=["query_id", "doc_id", "score"])
 
-    def rows(self) -> pa.RecordBatch:
-        n = self.scores.shape[1]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.queries, n)), pa.array(self.docs.ravel()), pa.array(self.scores.ravel())], ["query_id", "doc_id", "score"])
 
+_HITS = "query_id long, doc_id long, score double"
 
-def _in_groups(queries: DataFrame) -> Iterator[DataFrame]:
-    """`queries` in groups of about QUERY_ROWS query_ids."""
-    groups = max(1, -(-queries.select("query_id").distinct().count() // QUERY_ROWS))
-    for g in range(groups):
-        yield queries if groups == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
 
+def _chunks(queries: DataFrame) -> tuple[Column, int]:
+    """(the part of a query_id, how many parts): parts of about QUERY_ROWS queries meet a block in tasks of their own."""
+    parts = max(1, -(-queries.select("query_id").distinct().count() // QUERY_ROWS))
+    return F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"), parts
 
-def _together(found: list[DataFrame], corpus: DataFrame) -> DataFrame:
-    """All groups' rows; with several groups each is written first, so the plan does not grow with the queries."""
-    if not found:
-        return corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+
+def best_first(bounds: DataFrame, scored: Callable[[DataFrame], DataFrame], k: int) -> tuple[DataFrame, DataFrame]:
+    """(hits, pairs): the best hits of blocks of documents, and the (query_id, block) that were searched, from upper bounds (query_id, block, bound) of what a block can score.
+
+    A query searches its most promising block first; of the others it searches those whose bound reaches the k-th score found there.
+    `scored` gives (query_id, doc_id, score), the best `k` of every pair; no plan grows with the queries.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
+    turns = store(bounds.withColumn("turn", F.row_number().over(order)))
+    first = store(scored(turns.where("turn = 1").select("query_id", "block")))
+    reached = ranked(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    rest = turns.where("turn > 1").join(reached, "query_id", "left").where("reached IS NULL OR bound >= reached - 1e-6 * (1 + abs(reached))").select("query_id", "block")
+    rest = store(rest)
+    return store(first.unionByName(scored(rest))), turns.where("turn = 1").select("query_id", "block").unionByName(rest)
+
+
+def vector_blocks(corpus: DataFrame, rows: int = BLOCK_ROWS, pivots: int = PIVOTS, seed: int = 5) -> DataFrame:
+    """(block, dim, centre, radius, ids, vectors) of (doc_id, vector), written once: an exact index for any queries.
+
+    Every vector goes to the nearest of at most `pivots` vectors drawn from the corpus, and the vectors of a pivot are dealt to blocks of about
+    `rows` rows.  A block has the mean of its vectors, their largest distance from it, and the vectors as one matrix of doubles.
+    Vectors of several dimensions stand in blocks of their own; null and empty ones, and those with null or non-finite components, are left out.
+    """
+    finite = lambda v: ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    kept = corpus.select("doc_id", F.col("vector").cast("array<double>").alias("vector")).where("doc_id IS NOT NULL AND size(vector) > 0").where(finite(F.col("vector"))).withColumn("dim", F.size("vector"))
+    n = kept.count()
+    some = kept.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(min(pivots, -(-n // rows))).toArrow()  # `pivots` rows at most
+    points = {d: np.array([v for v in some.column(1).to_pylist() if len(v) == d]) for d in set(some.column(2).to_pylist())} if n > rows else {}
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, place = batch.column(2).to_numpy(), np.zeros(len(batch), np.int32)
+            for d in np.unique(dims):
+                if d in points:
+                    mine = np.flatnonzero(dims == d)
+                    matrix = batch.column(1).take(pa.array(mine)).flatten().to_numpy().reshape(len(mine), d)
+                    place[mine] = ((points[d] ** 2).sum(1) - 2 * matrix @ points[d].T).argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], ["doc_id", "vector", "dim", "pivot"])
+
+    placed = store(kept.mapInArrow(near, "doc_id long, vector array<double>, dim int, pivot int")) if points else kept.withColumn("pivot", F.lit(0))
+    parts = placed.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))  # `pivots` rows a dimension at most
+    dealt = placed.join(F.broadcast(parts), ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+
+    def packed(key: tuple, group: pa.Table) -> pa.Table:
+        dim, pivot, part = (x.as_py() for x in key)
+        group = group.sort_by("doc_id")
+        matrix = group["vector"].combine_chunks().flatten().to_numpy().reshape(len(group), dim)
+        centre = matrix.mean(0)
+        radius = float(np.sqrt(((matrix - centre) ** 2).sum(1).max()))
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.int64()), pa.binary()]
+        row = [f"{dim}-{pivot}-{part}", dim, centre.tolist(), radius, group["doc_id"].to_pylist(), matrix.tobytes()]
+        return pa.table([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=["block", "dim", "centre", "radius", "ids", "vectors"])
+
+    return store(dealt.select("dim", "pivot", "part", "doc_id", "vector").groupBy("dim", "pivot", "part").applyInArrow(packed, "block string, dim int, centre array<double>, radius double, ids array<long>, vectors binary"))
+
+
+def indexed_topk(queries: DataFrame, blocks: DataFrame, k: int, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """(hits, pairs) of (query_id, vector) over `vector_blocks`: (query_id, doc_id, score) with the best `k` by inner product among them, and the (query_id, block) that were searched.
+
+    A vector of a ball of radius r around c has at most q.c + |q| r with q, so blocks below the k-th product found need no search.
+    Queries meet the blocks of their dimension alone.  Scores are rounded to `digits`, so that ties go by id whatever the order of summation.
+    """
+    asked = store(queries.where("query_id IS NOT NULL AND size(vector) > 0").select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim")))
+    part, parts = _chunks(asked)
+    norm = F.sqrt(vectors.dot(F.col("vector"), F.col("vector")))
+    bounds = asked.join(small(blocks.select("block", "dim", "centre", "radius")), "dim").select("query_id", "block", (vectors.dot(F.col("vector"), F.col("centre")) + norm * F.col("radius")).alias("bound"))
+
+    def search(key: tuple, queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        found = []
+        if len(queries) and len(blocks):
+            ids = np.array(blocks["ids"][0].as_py(), np.int64)
+            matrix = np.frombuffer(blocks["vectors"][0].as_py()).reshape(len(ids), -1)
+            asked = queries["vector"].combine_chunks().flatten().to_numpy().reshape(len(queries), -1)
+            for q, scores in zip(queries["query_id"].to_pylist(), np.round(asked @ matrix.T, digits), strict=True):
+                best = _best(scores, ids, k)
+                found.append((q, ids[best], scores[best]))
+        return _hits(found)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        held = pairs.join(asked, "query_id").select("block", part.alias("part"), "query_id", "vector")
+        sent = blocks.select("block", "ids", "vectors").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        needed = sent.join(held.select("block", "part").distinct(), ["block", "part"], "left_semi")
+        return held.groupBy("block", "part").cogroup(needed.groupBy("block", "part")).applyInArrow(search, _HITS)
+
+    return best_first(bounds, scored, k)
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 9) -> DataFrame:
-    """(query_id, doc_id, score, rank): the `k` best documents of each query by inner product.
+    """(query_id, doc_id, score, rank): the `k` best documents of each query by inner product, exactly, over blocks of the corpus.
 
-    `queries` is (query_id, vector) and `corpus` (doc_id, vector).  Groups of
-    queries go to the tasks as a matrix; a task scores its documents
-    by products and passes on its own best `k`.  Scores are rounded to `digits`,
-    so that ties go by id whatever the order of summation.  Null vectors are left out.
+    `queries` is (query_id, vector) and `corpus` (doc_id, vector).  Null vectors are left out, as are documents of another dimension than the query's.
     """
-    queries, corpus = queries.where("vector IS NOT NULL"), corpus.where("vector IS NOT NULL").select("doc_id", F.col("vector").cast("array<double>"))
-    groups, found = list(_in_groups(queries)), []
-    for part in groups:
-        table = part.select("query_id", F.col("vector").cast("array<double>")).toArrow().combine_chunks()  # about QUERY_ROWS rows
-        ids = table.column(0).to_numpy()
-        if not len(ids):
-            continue
-        matrix = np.array(table.column(1).to_pylist(), np.float64)
-
-        def search(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            best = _Best(ids, k)
-            for batch in batches:
-                for at in range(0, len(batch), SCORED_ROWS):
-                    rows = batch.slice(at, SCORED_ROWS)
-                    docs = rows.column(0).to_numpy()
-                    best.add(np.round(matrix @ rows.column(1).flatten().to_numpy().reshape(len(docs), -1).T, digits), docs)
-            yield best.rows()
-
-        hits = ranked(corpus.mapInArrow(search, "query_id long, doc_id long, score double"), k).drop("rank")
-        found.append(hits if len(groups) == 1 else store(hits))
-    return ranked(_together(found, corpus), k)
+    return ranked(indexed_topk(queries, vector_blocks(corpus), k, digits)[0], k)
 
 
 def postings(corpus: DataFrame) -> DataFrame:
     """(doc_id, term, tf, length) of (doc_id, text), written once: how often a document holds a term, and its number of tokens."""
-    docs = corpus.select("doc_id", T.tokens(F.col("text")).alias("t"))
+    docs = spread(corpus).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return store(docs.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf")))
 
 
@@ -105,51 +158,61 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b:
     inverse document frequency of the vocabulary.  A term counts as often as the
     query repeats it.  Documents without a query's terms score 0 and fill up its ranks by id.
 
-    `terms_of` are the corpus' `postings` where they stand already.  Only those of the queries' terms are gathered by document;
-    a task then scores blocks of documents against a group of queries and passes on its own best `k`.
+    `terms_of` are the corpus' `postings` where they stand already.  Only those of the queries' terms are gathered: documents are dealt to blocks of
+    about BLOCK_DOCS, and a block holds for each term the documents, their weights and the largest of these.  Those maxima bound what a
+    block can score, so a query searches its best block, then the blocks that can still reach its k-th score.
     """
     terms_of = postings(corpus) if terms_of is None else terms_of
-    n, words = corpus.count(), terms_of.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-    idf = terms_of.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    idf = store(idf)
-    mean = idf.agg(F.avg("idf")).first()[0]
+    state = terms_of.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()
+    n, words = corpus.count(), state[0]
     asked = store(queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
-    groups, found = list(_in_groups(asked)), []
-    for part in groups:
-        terms = part.select("term").distinct().join(idf, "term").select("term", F.when(F.col("idf") < 0, epsilon * (mean or 0.0)).otherwise(F.col("idf")).alias("idf"), F.xxhash64("term").alias("key"))
-        terms = store(terms)
-        lists = part.join(terms.select("term", "key"), "term").select("query_id", "key", "times").toArrow().combine_chunks()  # the terms of about QUERY_ROWS queries
-        ids, row = np.unique(lists.column(0).to_numpy(), return_inverse=True)
-        keys, place = np.unique(lists.column(1).to_numpy(), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        table = (ids, keys, np.searchsorted(place[order], np.arange(len(keys) + 1)), row[order], lists.column(2).to_numpy()[order].astype(np.float64))
-        if not len(ids):
-            continue
-        weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(words / max(n, 1))))
-        docs = terms_of.join(small(terms), "term").groupBy("doc_id").agg(F.collect_list("key").alias("keys"), F.collect_list(weight).alias("weights"))
-
-        def search(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            ids, keys, starts, row, times = table
-            best = _Best(ids, k)
-            for batch in batches:
-                for at in range(0, len(batch), SCORED_ROWS):
-                    rows = batch.slice(at, SCORED_ROWS)
-                    owner = np.repeat(np.arange(len(rows)), rows.column(1).value_lengths().to_numpy())
-                    term, w = np.searchsorted(keys, rows.column(1).flatten().to_numpy()), rows.column(2).flatten().to_numpy()
-                    scores = np.zeros((len(rows), len(ids)))
-                    order = np.argsort(term, kind="stable")
-                    for mine in np.split(order, np.flatnonzero(np.diff(term[order])) + 1):  # a document holds a term once
-                        span = slice(starts[term[mine[0]]], starts[term[mine[0]] + 1])
-                        scores[owner[mine][:, None], row[span][None, :]] += w[mine][:, None] * times[span][None, :]
-                    scores = np.where((scores != 0).any(0), np.round(scores, digits), 0.0)
-                    best.add(scores.T, rows.column(0).to_numpy())
-            yield best.rows()
-
-        hits = ranked(docs.mapInArrow(search, "query_id long, doc_id long, score double"), k).drop("rank")
-        found.append(hits if len(groups) == 1 else store(hits))
+    idf = store(terms_of.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")))
+    mean = idf.agg(F.avg("idf")).first()[0]
+    terms = asked.select("term").distinct().join(idf, "term").select("term", F.when(F.col("idf") < 0, epsilon * (mean or 0.0)).otherwise(F.col("idf")).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(words / max(n, 1))))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // BLOCK_DOCS)))).cast("string")
+    held = terms_of.join(small(store(terms)), "term").select(block.alias("block"), "term", "doc_id", weight.alias("weight"))
+    held = store(held.groupBy("block", "term").agg(F.collect_list("doc_id").alias("docs"), F.collect_list("weight").alias("weights"), F.max("weight").alias("most")))
+    bounds = held.select("block", "term", "most").join(asked, "term").groupBy("query_id", "block").agg(F.sum(F.col("times") * F.greatest("most", F.lit(0.0))).alias("bound"))
+    part, parts = _chunks(asked)
+
+    def search(key: tuple, queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not (len(queries) and len(blocks)):
+            return _hits([])
+        lists, weights = blocks["docs"].combine_chunks(), blocks["weights"].combine_chunks()
+        ids, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        spans = {term: slice(end - size, end) for term, end, size in zip(blocks["term"].to_pylist(), ends.tolist(), lists.value_lengths().to_pylist(), strict=True)}
+        weight = weights.flatten().to_numpy()
+        asked = queries.sort_by("query_id")
+        names, terms, times = (asked[c].to_pylist() for c in ("query_id", "term", "times"))
+        found, at = [], 0
+        while at < len(names):
+            stop = at
+            scores, seen = np.zeros(len(ids)), np.zeros(len(ids), bool)
+            while stop < len(names) and names[stop] == names[at]:
+                span = spans.get(terms[stop])
+                if span is not None:  # a document holds a term once
+                    scores[place[span]] += weight[span] * times[stop]
+                    seen[place[span]] = True
+                stop += 1
+            docs = np.flatnonzero(seen)
+            rounded = np.round(scores[docs], digits)
+            best = _best(rounded, ids[docs], k)
+            found.append((names[at], ids[docs[best]], rounded[best]))
+            at = stop
+        return _hits(found)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        mine = pairs.join(asked, "query_id").select("block", part.alias("part"), "query_id", "term", "times")
+        sent = held.select("block", "term", "docs", "weights").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        needed = sent.join(mine.select("block", "part", "term").distinct(), ["block", "part", "term"], "left_semi")
+        return mine.groupBy("block", "part").cogroup(needed.groupBy("block", "part")).applyInArrow(search, _HITS)
+
+    hits, _ = best_first(bounds, scored, k)
     first = corpus.select("doc_id").orderBy("doc_id").limit(k)
     zero = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows a query
-    return ranked(_together(found, corpus).unionByName(zero).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+    return ranked(hits.unionByName(zero).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
 
 
 def containment(items: DataFrame, corpus: DataFrame, terms_of: DataFrame | None = None) -> DataFrame:

@@ -48,6 +48,12 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where it comes in fewer partitions than there are cores, as from one small file; a table of many partitions is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared scratch folder; for narrow tables inside loops."""
     scratch_dir(df.sparkSession)
