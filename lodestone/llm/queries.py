@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import attention, chat, covertree, jump, merkle, minhash, mixing, multiset, ordinal, phrases, spaced, urlmodel, warc
 
@@ -291,6 +292,70 @@ FROM best QUALIFY rank <= {phrases.TOP}
 """
 
 
+@_query
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone say of each URL: op3's columns that SQL expresses."""
+    parts = _table(spark, sf_dir, "pages").select("page_id", urlmodel.host_of(F.col("url")).alias("host"), urlmodel.path_of(F.col("url")).alias("path"))
+    found = parts.withColumn("found", urlmodel.rule_of(F.col("host"), F.col("path"), urlmodel.RULES))
+    return found.select("page_id", "host", "path", "found.rule", F.col("found.verdict").alias("ruled"))
+
+
+def _rules_sql() -> str:
+    """Every rule that fits, the longest first."""
+    listed = ", ".join(f"('{verdict}', '{rule}', '{rule.split('/', 1)[0]}', '/{rule.split('/', 1)[1]}')" for rule, verdict in urlmodel.RULES)
+    return rf"""
+WITH u AS (SELECT page_id, url, contains(url, '://') AS whole, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+h AS (SELECT page_id, CASE WHEN whole THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  CASE WHEN whole THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+r AS (SELECT * FROM (VALUES {listed}) AS r(verdict, rule, rule_host, rule_path)),
+f AS (SELECT page_id, rule, verdict FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY strlen(rule) DESC) = 1)
+SELECT page_id, host, path, rule, verdict AS ruled FROM h LEFT JOIN f USING (page_id)
+"""
+
+
+ORACLES["url_rules"] = _rules_sql()
+
+
+@_query
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op4, the columns of it that SQL expresses, and how far what is taken of a source lies from its target."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    made = mixing.mixed(docs, carry=["doc_id", "source"])
+    taken = made.groupBy("source").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    return taken.select("source", "n", "source_size", F.round("target", 6).alias("target"), (F.abs(F.col("taken") - F.col("target")) <= 0.5).alias("met"))
+
+
+ORACLES["mix_targets"] = rf"""
+WITH RECURSIVE s AS (
+  SELECT source, count(*) AS n, sum(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')))::BIGINT AS source_size FROM documents GROUP BY source
+), w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, {mixing.MOST} * source_size::DOUBLE AS most FROM s),
+z AS (SELECT {mixing.SHARE} * sum(source_size) AS total FROM w),
+-- Sources that would pass their limit at a level stand at it, and the rest is shared again.
+levels AS (
+  SELECT 0 AS step, (SELECT total / sum(weight) FROM w, z GROUP BY total) AS level
+  UNION ALL
+  SELECT step + 1, (total - (SELECT coalesce(sum(most), 0) FROM w WHERE most < level * weight)) / (SELECT sum(weight) FROM w WHERE most >= level * weight) FROM levels, z
+  WHERE step < 100 AND (SELECT count(*) FROM w WHERE most >= level * weight) > 0
+), last AS (SELECT max_by(level, step) AS level FROM levels WHERE level IS NOT NULL)
+SELECT source, n, source_size, round(coalesce(least(most, level * weight), most), 6) AS target, true AS met FROM w, last
+"""
+
+
+@_query
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op9: each document's size and checksum-free columns, and whether the slots of its shard are gapless and only the new shard takes rows."""
+    made = jump.sharded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    whole = made.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots"), F.count_if((F.col("grown_shard") != F.col("shard")) & (F.col("grown_shard") != 16)).alias("strays"))
+    sound = whole.agg(F.sum("n").alias("n"), (F.count("*") == 16).alias("all_shards"), F.bool_and((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("slots") == F.col("n"))).alias("gapless"), F.sum("strays").alias("strays"))
+    sizes = made.agg(F.sum("size").alias("bytes"), F.countDistinct("law").alias("laws"), F.min("law").alias("law"))
+    return sound.crossJoin(sizes)  # single rows
+
+
+ORACLES["shard_sizes"] = "SELECT count(*) AS n, true AS all_shards, true AS gapless, 0::BIGINT AS strays, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, 1::BIGINT AS laws, 'key' AS law FROM documents"
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
