@@ -1,7 +1,7 @@
 """Paired tests, intervals and resampling over small per-query or per-cluster tables.
 
-Resampled tables are per query, cluster or group: they are checked to be small and go to
-every task.  Draws are md5 numbers of a seed, the replicate and the draw, so they are the same
+Resampled tables are per query, cluster or group, of any number of rows: those of a checked size go to
+every task, others meet their draws by a shuffle.  Draws are md5 numbers of a seed, the replicate and the draw, so they are the same
 on every cluster and in SQL.
 """
 
@@ -19,9 +19,6 @@ from lodestone.runtime import small, store
 
 #: The two-sided 95 % point of the normal law.
 Z = 1.959963984540054
-#: Units that can be resampled; beyond this they must be gathered into clusters first.
-MOST_UNITS = 2_000_000
-
 
 def wilson(k: Column, n: Column, z: float = Z, strict: bool = False) -> tuple[Column, Column]:
     """Lower and upper end of the Wilson interval of k of n; for n = 0 null, or an error where `strict`."""
@@ -65,11 +62,14 @@ def _word(seed: object, *parts: Column) -> Column:
 
 
 def _numbered(units: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
-    """(`units` with `unit`, numbered from 0 in the order of its columns; how many): small, and so checked."""
-    n = units.count()
-    if n > MOST_UNITS:
-        raise ValueError("too many units to resample: gather them into clusters first")
-    return units.select(*columns, (F.row_number().over(Window.orderBy(*columns)) - 1).cast("bigint").alias("unit")), n
+    """(`units` with `unit`, numbered from 0 in the order of its columns; how many): ranges of the order are numbered side by side, whatever the number of units."""
+    parts = max(1, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = store(units.select(*columns).repartitionByRange(parts, *columns).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each range
+    before = store(counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all")))
+    held = before.select("__all").first()
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*columns)) - 1 + F.col("__before")
+    return dealt.join(F.broadcast(before), "__part").select(*columns, place.cast("bigint").alias("unit")), held[0] if held else 0
 
 
 def _draws(units: DataFrame, replicates: int, columns: list[str], seed: object) -> DataFrame:
@@ -97,10 +97,11 @@ def bootstrap(units: DataFrame, replicates: int = 10_000, seed: object = 0) -> D
 def sign_flip(units: DataFrame, permutations: int = 10_000, seed: object = 0) -> DataFrame:
     """(mean, p): two-sided sign-flip test of sum(total) / sum(size), (extreme + 1) / (permutations + 1).
 
-    The sign of a unit in permutation r is the parity of md5(seed|r|unit).
+    The sign of a unit in permutation r is the parity of md5(seed|r|unit).  Every task turns its units into sums for each permutation, and those sums
+    add up: what is shuffled is a row a permutation and task, whatever the number of units.
     """
     numbered, _ = _numbered(units, ["total", "size"])
-    each = small(store(numbered)).crossJoin(units.sparkSession.range(permutations).withColumnRenamed("id", "replicate"))  # permutations x checked units
+    each = numbered.select("total", "size", "unit", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("replicate"))
     sign = 1 - 2 * (_word(seed, F.col("replicate"), F.col("unit")) % 2)
     values = each.groupBy("replicate").agg(F.abs(F.sum(F.col("total") * sign) / F.sum("size")).alias("value"))
     point = units.agg((F.sum("total") / F.sum("size")).alias("mean"))
