@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors
-from lodestone.runtime import small, spread, store
+from lodestone.runtime import small, store
 
 #: Queries that meet a block in one task.
 QUERY_ROWS = 4096
@@ -19,6 +19,8 @@ QUERY_ROWS = 4096
 BLOCK_ROWS, PIVOTS = 512, 256
 #: Documents of a block of postings.
 BLOCK_DOCS = 4096
+#: Up to so many blocks, all are searched at once: bounds would save less than a second round costs.
+ONE_ROUND = 16
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -47,7 +49,7 @@ _HITS = "query_id long, doc_id long, score double"
 
 def _chunks(queries: DataFrame) -> tuple[Column, int]:
     """(the part of a query_id, how many parts): parts of about QUERY_ROWS queries meet a block in tasks of their own."""
-    parts = max(1, -(-queries.select("query_id").distinct().count() // QUERY_ROWS))
+    parts = max(1, -(-queries.count() // QUERY_ROWS))
     return F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"), parts
 
 
@@ -75,9 +77,10 @@ def vector_blocks(corpus: DataFrame, rows: int = BLOCK_ROWS, pivots: int = PIVOT
     """
     finite = lambda v: ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kept = corpus.select("doc_id", F.col("vector").cast("array<double>").alias("vector")).where("doc_id IS NOT NULL AND size(vector) > 0").where(finite(F.col("vector"))).withColumn("dim", F.size("vector"))
-    n = kept.count()
-    some = kept.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(min(pivots, -(-n // rows))).toArrow()  # `pivots` rows at most
-    points = {d: np.array([v for v in some.column(1).to_pylist() if len(v) == d]) for d in set(some.column(2).to_pylist())} if n > rows else {}
+    n, points = corpus.count(), {}
+    if n > ONE_ROUND * rows:
+        some = kept.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(min(pivots, -(-n // rows))).toArrow()  # `pivots` rows at most
+        points = {d: np.array([v for v in some.column(1).to_pylist() if len(v) == d]) for d in set(some.column(2).to_pylist())}
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,9 +92,13 @@ def vector_blocks(corpus: DataFrame, rows: int = BLOCK_ROWS, pivots: int = PIVOT
                     place[mine] = ((points[d] ** 2).sum(1) - 2 * matrix @ points[d].T).argmin(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], ["doc_id", "vector", "dim", "pivot"])
 
-    placed = store(kept.mapInArrow(near, "doc_id long, vector array<double>, dim int, pivot int")) if points else kept.withColumn("pivot", F.lit(0))
-    parts = placed.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))  # `pivots` rows a dimension at most
-    dealt = placed.join(F.broadcast(parts), ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    if points:
+        placed = store(kept.mapInArrow(near, "doc_id long, vector array<double>, dim int, pivot int"))
+        parts = placed.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))  # `pivots` rows a dimension at most
+        dealt = placed.join(F.broadcast(parts), ["dim", "pivot"])
+    else:
+        dealt = kept.withColumns({"pivot": F.lit(0), "parts": F.lit(max(1, -(-n // rows)))})
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
 
     def packed(key: tuple, group: pa.Table) -> pa.Table:
         dim, pivot, part = (x.as_py() for x in key)
@@ -114,8 +121,6 @@ def indexed_topk(queries: DataFrame, blocks: DataFrame, k: int, digits: int = 9)
     """
     asked = store(queries.where("query_id IS NOT NULL AND size(vector) > 0").select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim")))
     part, parts = _chunks(asked)
-    norm = F.sqrt(vectors.dot(F.col("vector"), F.col("vector")))
-    bounds = asked.join(small(blocks.select("block", "dim", "centre", "radius")), "dim").select("query_id", "block", (vectors.dot(F.col("vector"), F.col("centre")) + norm * F.col("radius")).alias("bound"))
 
     def search(key: tuple, queries: pa.Table, blocks: pa.Table) -> pa.Table:
         found = []
@@ -131,9 +136,15 @@ def indexed_topk(queries: DataFrame, blocks: DataFrame, k: int, digits: int = 9)
     def scored(pairs: DataFrame) -> DataFrame:
         held = pairs.join(asked, "query_id").select("block", part.alias("part"), "query_id", "vector")
         sent = blocks.select("block", "ids", "vectors").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        needed = sent.join(held.select("block", "part").distinct(), ["block", "part"], "left_semi")
+        needed = sent if few else sent.join(held.select("block", "part").distinct(), ["block", "part"], "left_semi")
         return held.groupBy("block", "part").cogroup(needed.groupBy("block", "part")).applyInArrow(search, _HITS)
 
+    few = blocks.count() <= ONE_ROUND
+    if few:
+        pairs = asked.join(F.broadcast(blocks.select(F.col("block").alias("near"), "dim")), "dim").select("query_id", F.col("near").alias("block"))
+        return scored(pairs), pairs
+    norm = F.sqrt(vectors.dot(F.col("vector"), F.col("vector")))
+    bounds = asked.join(small(blocks.select("block", "dim", "centre", "radius")), "dim").select("query_id", "block", (vectors.dot(F.col("vector"), F.col("centre")) + norm * F.col("radius")).alias("bound"))
     return best_first(bounds, scored, k)
 
 
@@ -146,8 +157,11 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 9) -
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, length) of (doc_id, text), written once: how often a document holds a term, and its number of tokens."""
-    docs = spread(corpus).select("doc_id", T.tokens(F.col("text")).alias("t"))
+    """(doc_id, term, tf, length) of (doc_id, text), written once: how often a document holds a term, and its number of tokens.
+
+    Texts are dealt by doc_id, so a document's tokens are counted where they stand and never shuffled.
+    """
+    docs = corpus.repartition("doc_id").select("doc_id", T.tokens(F.col("text")).alias("t"))
     return store(docs.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf")))
 
 
@@ -163,18 +177,19 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b:
     block can score, so a query searches its best block, then the blocks that can still reach its k-th score.
     """
     terms_of = postings(corpus) if terms_of is None else terms_of
-    state = terms_of.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()
-    n, words = corpus.count(), state[0]
+    n = corpus.count()
     asked = store(queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
-    idf = store(terms_of.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")))
-    mean = idf.agg(F.avg("idf")).first()[0]
+    idf = store(terms_of.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).select("term", "all", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")))
+    mean, words = idf.agg(F.avg("idf"), F.coalesce(F.sum("all"), F.lit(0))).first()
     terms = asked.select("term").distinct().join(idf, "term").select("term", F.when(F.col("idf") < 0, epsilon * (mean or 0.0)).otherwise(F.col("idf")).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(words / max(n, 1))))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // BLOCK_DOCS)))).cast("string")
+    cells = max(1, -(-n // BLOCK_DOCS))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("string")
     held = terms_of.join(small(store(terms)), "term").select(block.alias("block"), "term", "doc_id", weight.alias("weight"))
+    few = cells <= ONE_ROUND
     held = store(held.groupBy("block", "term").agg(F.collect_list("doc_id").alias("docs"), F.collect_list("weight").alias("weights"), F.max("weight").alias("most")))
     bounds = held.select("block", "term", "most").join(asked, "term").groupBy("query_id", "block").agg(F.sum(F.col("times") * F.greatest("most", F.lit(0.0))).alias("bound"))
-    part, parts = _chunks(asked)
+    part, parts = _chunks(queries)
 
     def search(key: tuple, queries: pa.Table, blocks: pa.Table) -> pa.Table:
         if not (len(queries) and len(blocks)):
@@ -206,10 +221,10 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b:
     def scored(pairs: DataFrame) -> DataFrame:
         mine = pairs.join(asked, "query_id").select("block", part.alias("part"), "query_id", "term", "times")
         sent = held.select("block", "term", "docs", "weights").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        needed = sent.join(mine.select("block", "part", "term").distinct(), ["block", "part", "term"], "left_semi")
+        needed = sent if few else sent.join(mine.select("block", "part", "term").distinct(), ["block", "part", "term"], "left_semi")
         return mine.groupBy("block", "part").cogroup(needed.groupBy("block", "part")).applyInArrow(search, _HITS)
 
-    hits, _ = best_first(bounds, scored, k)
+    hits = scored(asked.select("query_id").distinct().crossJoin(F.broadcast(held.select(F.col("block").alias("near")).distinct())).select("query_id", F.col("near").alias("block"))) if few else best_first(bounds, scored, k)[0]  # ONE_ROUND blocks at most
     first = corpus.select("doc_id").orderBy("doc_id").limit(k)
     zero = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))  # k rows a query
     return ranked(hits.unionByName(zero).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)

@@ -149,20 +149,17 @@ def seed_class(values: Column, reference: Column, tolerance: float = 1e-12) -> C
 def margin_ranking(candidates: DataFrame, score: str, simplicity: str, margin: float = 0.005, most: int = 10_000) -> DataFrame:
     """`candidates` with place: again and again the simplest of those within `margin` of the best that is left.
 
-    A few candidates are compared, so they are ranked on the driver; more than `most` raise.
+    A few candidates are compared: they are folded as one array, in order of simplicity, by an expression; more than `most` raise.
     """
-    rows = candidates.select(simplicity, score).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many candidates")
-    left, ranked = sorted(rows), []
-    while left:
-        best = max(r[score] for r in left)
-        chosen = next(r for r in left if best - r[score] <= margin)
-        left.remove(chosen)
-        ranked.append((chosen[simplicity], len(ranked) + 1))
-    kind = dict(candidates.dtypes)[simplicity]
-    places = candidates.sparkSession.createDataFrame(ranked, f"`{simplicity}` {kind}, place int")
-    return candidates.join(F.broadcast(places), simplicity)
+    listed = F.array_sort(F.collect_list(F.struct(F.col(simplicity).alias("s"), F.col(score).cast("double").alias("v"))))
+    few = candidates.agg(F.count("*").alias("n"), listed.alias("all")).select(F.when(F.col("n") <= most, F.col("all")).otherwise(F.raise_error(F.lit("too many candidates")).cast(candidates.select(F.array(F.struct(F.col(simplicity).alias("s"), F.col(score).cast("double").alias("v")))).schema[0].dataType)).alias("all"))
+    fold = f"""
+      aggregate(all, named_struct('left', transform(all, (x, i) -> named_struct('s', x.s, 'v', x.v, 'i', i)), 'done', slice(transform(all, x -> x.s), 1, 0)),
+        (state, x) -> transform(array(array_max(transform(state.left, y -> y.v))), top -> transform(array(filter(state.left, y -> top - y.v <= {margin!r}D)[0]), chosen ->
+          named_struct('left', filter(state.left, y -> y.i <> chosen.i), 'done', array_append(state.done, chosen.s)))[0])[0],
+        state -> state.done)"""
+    places = few.select(F.posexplode(F.expr(fold)).alias("place", simplicity)).withColumn("place", F.col("place") + 1)
+    return candidates.join(F.broadcast(places), simplicity)  # `most` rows
 
 
 def schedule(rows: Column, batch: int, epochs: int, warmup: float) -> Column:
