@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import parsing, vectors
 from lodestone.functions import text as T
 from lodestone.operators import latency, metrics, retrieval, sampling, statistics, training, validation
-from lodestone.runtime import small, store
+from lodestone.runtime import small, spread, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -211,7 +211,8 @@ g AS (SELECT d.doc_id AS id, least(d.doc_id, coalesce(min(other), d.doc_id)) AS
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))).alias("items"))
+    texts = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = texts.select(F.col("doc_id").alias("id"), T.tokens(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))).alias("items"))
     return store(sampling.similar_sets(docs, 80))
 
 
