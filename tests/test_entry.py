@@ -18,6 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 COMPARED = (
     "dense_ir_metrics", "bm25_ir_metrics", "group_split", "classification_metrics", "confusion_matrix", "calibration_ece_brier_nll", "holm_adjust", "mixture_sample", "audit_sample_disjoint", "latency_percentiles", "violations_id_sets", "random_negatives",
     "strict_output_parse", "strict_decision_parse", "token_budget_evidence", "grouped_kfold", "comparison_family", "violations_pools", "training_audit", "claim_groups", "best_rationale_choice",
+    "shared_kfold", "walked_negatives", "rationale_pairs", "gold_rationales", "target_json", "table_digest", "checks_in_one_scan", "file_pins", "annotated_coverage",
 )
 
 
