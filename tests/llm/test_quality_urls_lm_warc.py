@@ -114,14 +114,52 @@ def test_long_urls(spark):
 
 
 def test_model_is_a_distribution():
-    counts = np.zeros((urlmodel.SLOTS, urlmodel.SYMBOLS), np.float32)
-    symbols, _, slots = urlmodel._symbols(np.frombuffer(b"abcabcabd", np.uint8), np.array([0, 9]))
-    for s in slots:
-        np.add.at(counts, (s, symbols), 1)
-    model = urlmodel.Model(counts)
-    for at in range(len(symbols)):
-        each = [math.exp(model.log_likelihood(np.array([c]), np.array([0]), [s[at : at + 1] for s in slots], 1)[0]) for c in range(urlmodel.SYMBOLS)]
-        assert abs(sum(each) - 1) < 1e-6
+    symbols = urlmodel.PLAIN + urlmodel.OTHER + urlmodel.END
+    text = "^" * urlmodel.ORDER + "abcabcabd$"
+    runs = [text[i : i + urlmodel.ORDER + 1] for i in range(len(text) - urlmodel.ORDER)]
+    for at in runs:
+        every = pa.array(runs + [at[:-1] + c for c in symbols])
+        counts = np.zeros((len(every), urlmodel.EQUAL[1].shape[1]))
+        counts[: len(runs)] = 1
+        codes = urlmodel._codes(every, urlmodel.ORDER + 1)
+        known, p = urlmodel.chances(codes, counts, range(1, urlmodel.ORDER + 2), urlmodel.EQUAL)
+        each = p[np.searchsorted(known, codes[len(runs) :])]
+        assert np.abs(each.sum(0) - 1).max() < 1e-6
+
+
+def plain_ratio(decided, url):
+    """The ratio by dictionaries of counts, context by context."""
+    table = {"allow": {}, "block": {}}
+    spell = lambda u: "^" * urlmodel.ORDER + "".join(c.lower() if "A" <= c <= "Z" else c if c in urlmodel.PLAIN else "*" for c in u or "") + "$"
+    for verdict, text in decided:
+        text = spell(text)
+        for i in range(urlmodel.ORDER, len(text)):
+            for k in range(urlmodel.ORDER + 1):
+                after = table[verdict].setdefault(text[i - k : i], {})
+                after[text[i]] = after.get(text[i], 0) + 1
+    text, sums = spell(url), {"allow": 0.0, "block": 0.0}
+    for verdict, known in table.items():
+        for i in range(urlmodel.ORDER, len(text)):
+            p = 1 / urlmodel.SYMBOLS
+            for k in range(urlmodel.ORDER + 1):
+                after = known.get(text[i - k : i])
+                if after:
+                    p = (after.get(text[i], 0) + len(after) * p) / (sum(after.values()) + len(after))
+            sums[verdict] += math.log(p)
+    return (sums["allow"] - sums["block"]) / (len(text) - urlmodel.ORDER)
+
+
+def test_ratio_equals_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(urlmodel, "_ROWS", 50)  # many parts of a task's rows
+    rows = urls()
+    made = [r for r in urlmodel.filtered(spark.createDataFrame(rows, PAGES)).collect() if r["page_id"] is not None]
+    verdict_of = {r["page_id"]: r["verdict"] for r in made if r["rule"]}
+    decided = [(verdict_of[r[0]], r[1]) for r in rows if r[0] in verdict_of]
+    decided += [("allow", r[1]) for r in rows if r[0] is None]  # https://example.com/en/7#x, which the rules allow
+    url_of = {r[0]: r[1] for r in rows}
+    assert len(made) == len(rows) - 1
+    for r in made[::3] + [r for r in made if r["page_id"] >= 1000]:
+        assert abs(r["ratio"] - plain_ratio(decided, url_of[r["page_id"]])) < 1e-9
 
 
 def texts():
