@@ -6,8 +6,8 @@ runs of training texts, and around every hit the two texts are compared
 token by token on the hit's diagonal, so overlaps with substituted tokens are found.
 
 Everything is DataFrame expressions.  A document's token hashes stay in its row
-while its runs are enumerated and probed: only the diagonals that a run names leave it, each
-of them once, and only documents with such a diagonal are read again to be compared.
+while its runs are enumerated and probed: only the diagonals that a run names leave it, gathered for each
+item, and only documents with such a diagonal are read again to be compared.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 2, 3, 4, 7), (0, 1, 4, 6, 8))
 #: Tokens in a row that are hashed for items of fewer than 8 tokens, by their number: up to 4 tokens must all agree, and of
 #: 5, 6 or 7 one may differ, which leaves as many in a row unharmed.
 SHORT = {1: 1, 2: 2, 3: 3, 4: 4, 5: 2, 6: 3, 7: 3}
+#: Items of up to this many tokens are their own seed.
+WHOLE = 4
 #: An item leaks where a stretch of this many of its tokens (all, if it has fewer) agrees in this percentage.
 WINDOW, PERCENT = 20, 80
 
@@ -60,16 +62,19 @@ def _diagonals(docs: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...],
 
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), _hashes(F.col("text")).alias("h"))
     hits = _seeds(texts, used).select("doc_id", "text_hash", "seed", "at").join(small(store(seeds)), "seed")
-    hits = store(hits.select("doc_id", "text_hash", "number", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
+    # A row per text and item, with its diagonals: a text's tokens stand beside each of its items once, however often a common word of it occurs.
+    hits = store(hits.groupBy("doc_id", "text_hash", "number").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts")))
     again = docs.where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text")).join(small(hits.select("doc_id", "text_hash").distinct()), ["doc_id", "text_hash"], "left_semi")
     again = again.select("doc_id", "text_hash", _hashes(F.col("text")).alias("h"))
     beside = again.join(small(hits), ["doc_id", "text_hash"]).join(small(tests.withColumnRenamed("h", "item")), "number")
-    # One expression, bound once: the flags of agreeing tokens, and their largest sum over a stretch.
-    best = """transform(array(transform(item, (t, j) -> if(get(h, j + shift) = t, 1, 0))), agree ->
+    # An item whose seed is the whole of it agrees on every diagonal, and one will do.
+    beside = beside.withColumn("shifts", F.when(F.size("item") <= F.lit(WHOLE), F.slice("shifts", 1, 1)).otherwise(F.col("shifts")))
+    # Of every diagonal the flags of agreeing tokens, and their largest sum over a stretch; the best of all.
+    best = """array_max(transform(shifts, shift -> transform(array(transform(item, (t, j) -> if(get(h, j + shift) = t, 1, 0))), agree ->
         aggregate(sequence(0, size(agree) - 1), named_struct('sum', 0, 'best', 0), (s, j) -> transform(
-            array(s.sum + agree[j] - if(j < window, 0, agree[greatest(j - window, 0)])), n -> named_struct('sum', n, 'best', greatest(s.best, n)))[0], s -> s.best))[0]"""
+            array(s.sum + agree[j] - if(j < window, 0, agree[greatest(j - window, 0)])), n -> named_struct('sum', n, 'best', greatest(s.best, n)))[0], s -> s.best))[0]))"""
     flagged = beside.withColumn("window", F.least(F.lit(window), F.size("item"))).select("doc_id", "text_hash", "number", "window", F.expr(best).alias("matched"))
-    found = flagged.groupBy("doc_id", "text_hash", "number", "window").agg(F.max("matched").alias("matched")).where(F.col("matched") * 100 >= F.col("window") * percent)
+    found = flagged.where(F.col("matched") * 100 >= F.col("window") * percent).distinct()  # rows that repeat an id with its text
     return found, named.select("number", "item_id").distinct()
 
 

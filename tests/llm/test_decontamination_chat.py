@@ -90,6 +90,16 @@ def test_clean_keeps_other_texts_of_a_leaking_id(spark):
     assert sorted((r["text"] for r in made.collect()), key=str) == [None, "nothing of the kind"]
 
 
+def test_common_words_name_many_diagonals(spark):
+    rng = random.Random(11)
+    common = " ".join(rng.choice(["the", "the", "of", "oak", "and"]) for _ in range(3000))
+    close = common + " one the two the three the four " + common
+    items = [(1, "the", "x"), (2, "the oak", "x"), (3, "the of the of the oak", "x"), (4, "one the two the three the four five", "x"), (5, "elm", "x"), (6, "the the the the the the the", "x")]
+    docs = [(1, common, "a"), (2, close, "a"), (2, close, "b"), (3, "oak of", "a")]
+    made = {(r["doc_id"], r["item_id"]): (r["matched"], r["window"]) for r in spaced.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert made == brute(docs, items) and made[1, 1] == (1, 1) and (2, 4) in made and (3, 2) not in made
+
+
 def test_leaks_of_nothing(spark):
     docs, items = case()
     none_d, none_i = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
