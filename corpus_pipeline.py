@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import jump, minhash, mixing, ordinal, spaced
 from lodestone.llm.queries import ratings
-from lodestone.runtime import small, store
+from lodestone.runtime import small, spread, store
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,24 +28,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, that of the smallest doc_id (null last): five-word shingles, similarity 0.8 and more.
 
-    A document is a doc_id with a text: different texts under one id are documents of their own, and of rows that
-    repeat both one stays.  Rows without words are no copies of each other and all stay.
+    Every row is a document of its own, numbered when the rows are written: different texts under one id are compared as any two texts are,
+    and of rows that repeat id and text one stays. Rows without words are no copies of each other and all stay.
     """
-    keyed = docs.withColumn("__node", F.xxhash64("doc_id", "text"))
-    found = store(minhash.near_duplicates(keyed.select(F.col("__node").alias("doc_id"), "text"), width=5, percent=80))
+    numbered = store(spread(docs).withColumn("__node", F.monotonically_increasing_id()))
+    found = store(minhash.near_duplicates(numbered.select(F.col("__node").alias("doc_id"), "text"), width=5, percent=80))
     members = found.where("n_shingles > 0").select(F.col("doc_id").alias("__node"), F.col("component_id").alias("__group"))
     several = members.where("__node <> __group").select("__group").distinct()
-    members = members.join(small(store(several)), "__group").distinct()
-    owned = keyed.select("__node", "doc_id").join(small(store(members)), "__node")
-    first = owned.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__node"))["__node"].alias("__first"))
-    gone = store(members.join(first, "__group").where("__node <> __first").select("__node").distinct())
-    kept = keyed.join(small(gone), "__node", "left_anti")
-    twice = store(found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__node")).count().where("count > 1").select("__node"))
-    if twice.isEmpty():
-        return kept.drop("__node")
-    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = kept.join(small(twice), "__node", "left_semi").groupBy("__node").agg(F.min_by(rows, F.xxhash64(rows)).alias("__row")).select("__row.*")
-    return kept.join(small(twice), "__node", "left_anti").drop("__node").unionByName(once)
+    members = store(members.join(small(store(several)), "__group"))
+    owned = numbered.select("__node", "doc_id", F.xxhash64("text").alias("__text")).join(small(members), "__node")
+    first = owned.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__text", "__node"))["__node"].alias("__first"))
+    gone = store(members.join(first, "__group").where("__node <> __first").select("__node"))
+    return numbered.join(small(gone), "__node", "left_anti").drop("__node")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
