@@ -42,6 +42,16 @@ def test_query_as_sql(spark, name):
     assert plain(made) == plain(wanted)
 
 
+@pytest.mark.parametrize("name", ["hard_negatives", "paired_training_rows", "training_audit"])
+def test_queries_with_few_negatives_as_sql(spark, tmp_path, name):
+    """Thirty copies of every vector: the first fifty of a query are copies and positives, and few negatives are left."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT vec_id + 100000 * k AS vec_id, embedding, label FROM read_parquet('{SF}/embeddings.parquet'), (SELECT unnest(range(30)) AS k) WHERE vec_id < 120) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    wanted = con.sql(__spark_entry__.oracle_sql()[name]).df()
+    assert plain(__spark_entry__.queries()[name](spark, str(tmp_path)).toPandas()) == plain(wanted)
+
+
 def test_flagship(spark):
     assert __spark_entry__.entry(spark).count() == 1
 

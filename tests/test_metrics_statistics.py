@@ -190,3 +190,12 @@ def test_hard_negatives_skip_positives_and_copies(spark):
     positives = spark.createDataFrame([(1, 10)], "query_id long, doc_id long")
     prints = spark.createDataFrame([(10, "p"), (11, "p"), (12, "x"), (13, "x"), (14, "y"), (15, "z")], "doc_id long, fingerprint string")
     assert [r["doc_id"] for r in retrieval.hard_negatives(ranking, positives, prints, 2).orderBy("negative").collect()] == [12, 14]
+
+
+def test_hard_negatives_of_short_rankings(spark):
+    ranking = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1), (2, 13, 2)], "query_id long, doc_id long, rank int")
+    positives = spark.createDataFrame([(1, 10), (2, 12), (2, 13)], "query_id long, doc_id long")
+    prints = spark.createDataFrame([(10, "p"), (11, "x"), (12, "y"), (13, "z")], "doc_id long, fingerprint string")
+    with pytest.raises(Exception, match="too few negatives"):
+        retrieval.hard_negatives(ranking, positives, prints, 2).collect()
+    assert [tuple(r) for r in retrieval.hard_negatives(ranking, positives, prints, 2, strict=False).collect()] == [(1, 11, 2, 1)]
