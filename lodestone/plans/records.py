@@ -73,7 +73,7 @@ def target_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_DENSE + """, top AS (SELECT query_id, list(doc_id ORDER BY rank) AS ids FROM r WHERE rank <= 3 GROUP BY 1), ann AS (SELECT query_id, list(doc_id) AS ids FROM rel WHERE doc_id % 2 = 0 GROUP BY 1)
 SELECT query_id, coalesce(list_has_any(top.ids, ann.ids), false) AS covered FROM top LEFT JOIN ann USING (query_id)""")
-def annotated_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def covered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the first three documents of each query hold an annotated one."""
     ranking, relevance, _ = _dense(spark, sf_dir, 3)
     top = ranking.groupBy("query_id").agg(F.collect_list("doc_id").alias("found"))

@@ -31,6 +31,18 @@ def test_every_oracle_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_coverage_is_that_of_both_rankings():
+    made = {**__spark_entry__.oracle_sql()}
+    assert "eligible" in made["annotated_coverage"] and "covered" in made["covered_queries"]
+    with pytest.raises(ValueError, match="two queries"):
+        __spark_entry__.catalogue._query("SELECT 1")(__spark_entry__.queries()["annotated_coverage"])
+
+
+@pytest.mark.parametrize("name", ["covered_queries"])
+def test_more_queries_as_sql(spark, name):
+    test_query_as_sql(spark, name)
+
+
 @pytest.mark.parametrize("name", COMPARED)
 def test_query_as_sql(spark, name):
     con = duckdb.connect()
