@@ -369,3 +369,12 @@ def test_latency_windows_as_a_stream(spark, tmp_path):
     streamed = {(r["window_start"], r["n"], r["mean"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     table = {(r["window_start"], r["n"], r["mean"]) for r in requests.windowed_latency(frame).collect()}
     assert streamed < table and len(table) - len(streamed) == 1  # the last window is still open
+
+
+def test_sketches_bound_the_difference(spark):
+    draw = random.Random(2)
+    sets = {i: {draw.randrange(-(1 << 63), 1 << 63) for _ in range(draw.choice([1, 30, 400]))} for i in range(12)} | {50: set(range(300)), 51: set(range(20, 310))}
+    made = sampling._sketches(spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "rep long, keys array<long>"))
+    bits = {r["rep"]: [x & (1 << 64) - 1 for x in list(r)[1:]] for r in made.collect()}
+    apart = {(i, j): sum((a ^ b).bit_count() for a, b in zip(bits[i], bits[j], strict=True)) for i in sets for j in sets}
+    assert all(n <= len(sets[i] ^ sets[j]) for (i, j), n in apart.items()) and 0 < apart[50, 51] <= 30
