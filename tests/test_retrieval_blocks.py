@@ -111,3 +111,25 @@ def test_similar_sets_of_all_sizes_and_shares(spark):
         got = {tuple(r) for r in sampling.similar_sets(frame, percent).collect()}
         reps = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
         assert got == {(a, b) for a, b in wanted if reps[b] == b and reps[a] == a or reps[b] == a}
+
+
+def test_postings_are_counted_within_rows(spark, monkeypatch):
+    docs = {1: "b a b, A _x", 2: "", 3: None, 4: "é e é"}
+    made = retrieval.postings(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert {tuple(r) for r in made.select("doc_id", "term", "length", "tf").collect()} == {(1, "a", 5, 2), (1, "b", 5, 2), (1, "_x", 5, 1), (4, "é", 3, 2), (4, "e", 3, 1)}
+    plans = []
+    monkeypatch.setattr(retrieval, "store", lambda df: plans.append(df._jdf.queryExecution().toString()) or df)
+    retrieval.postings(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(8))
+    assert "HashAggregate" not in plans[0] and "SortAggregate" not in plans[0]
+
+
+def test_random_negatives_over_blocks(spark, monkeypatch):
+    from hashlib import md5
+
+    monkeypatch.setattr(sampling, "DRAWN", 7)
+    docs = [(i, i % 3) for i in range(100)] + [(200, None), (None, 1)]
+    excluded = [(q, d) for q in (0, 10) for d in range(0, 60)]
+    made = sampling.random_negatives(spark.createDataFrame([(0, 0), (10, 1), (20, 2)], "query_id long, label int"), spark.createDataFrame(docs, "doc_id long, label int"), spark.createDataFrame(excluded, "query_id long, doc_id long"), 7)
+    key = lambda q, d: md5(f"7|{q}|{d}".encode()).hexdigest()
+    wanted = {(q, min((d for d, x in docs if d is not None and x is not None and x != label and (q, d) not in excluded), key=lambda d: key(q, d))) for q, label in ((0, 0), (10, 1), (20, 2))}
+    assert {tuple(r) for r in made.collect()} == wanted
