@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 LABELS = ("SUPPORT", "CONTRADICT", "INSUFFICIENT")
 
 
-def ir_metrics(ranking: DataFrame, qrels: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+def ir_metrics(ranking: DataFrame, qrels: DataFrame, asked: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, ndcg_10, recall_10, recall_100, mrr_10) per query with a positive.
 
     `ranking` is (query_id, doc_id, rank), `qrels` (query_id, doc_id).  Gains
     are binary, 1 / log2(rank + 1), ideal over the first ten or all positives; a query
     without hits scores 0.  A ranking that holds a document twice raises, and so does a query of `asked` (query_id), where given, without a positive.
+    `counts` (query_id, n_pos) are the positives of each query where they are known; `qrels` then need hold those in the ranking only.
     """
     once = ranking.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"), F.count("*").alias("__n"))
     ranking = once.where(F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("a document stands twice in the ranking of query "), F.col("query_id").cast("string"))).cast("boolean")).otherwise(F.lit(True)))
@@ -22,7 +23,7 @@ def ir_metrics(ranking: DataFrame, qrels: DataFrame, asked: DataFrame | None = N
         lacking = asked.select("query_id").join(qrels, "query_id", "left_anti").limit(1).collect()
         if lacking:
             raise ValueError(f"query {lacking[0][0]} has no positive")
-    positives = qrels.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_pos"))
+    positives = counts if counts is not None else qrels.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_pos"))
     hits = ranking.join(qrels.distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(
         F.sum(F.when(F.col("rank") <= 10, 1 / F.log2(F.col("rank") + 1))).alias("dcg"),
         F.count_if(F.col("rank") <= 10).alias("h10"),

@@ -199,3 +199,10 @@ def test_hard_negatives_of_short_rankings(spark):
     with pytest.raises(Exception, match="too few negatives"):
         retrieval.hard_negatives(ranking, positives, prints, 2).collect()
     assert [tuple(r) for r in retrieval.hard_negatives(ranking, positives, prints, 2, strict=False).collect()] == [(1, 11, 2, 1)]
+
+
+def test_metrics_from_counts_of_positives(spark):
+    ranking = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1)], "query_id long, doc_id long, rank int")
+    qrels = spark.createDataFrame([(1, 11), (1, 13), (2, 14)], "query_id long, doc_id long")
+    counts = spark.createDataFrame([(1, 2), (2, 1)], "query_id long, n_pos long")
+    assert sorted(metrics.ir_metrics(ranking, qrels.where("doc_id = 11"), counts=counts).collect()) == sorted(metrics.ir_metrics(ranking, qrels).collect())
