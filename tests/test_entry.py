@@ -38,7 +38,7 @@ def test_coverage_is_that_of_both_rankings():
         __spark_entry__.catalogue._query("SELECT 1")(__spark_entry__.queries()["annotated_coverage"])
 
 
-@pytest.mark.parametrize("name", ["covered_queries"])
+@pytest.mark.parametrize("name", ["covered_queries", "rerank_changes"])
 def test_more_queries_as_sql(spark, name):
     test_query_as_sql(spark, name)
 
