@@ -51,6 +51,8 @@ ROUNDS = 2
 BLOCK_IDS = 6_000_000
 #: Windows of a training step, steps to a change of the ids' vectors, and ids whose windows are laid out together.
 STEP, LATER, LAID = 64, 4, 1 << 19
+#: Windows that are scored together; scores do not depend on it.
+SIDE_BY_SIDE = 128
 #: Bytes of text that are read together: larger slices tokenize a rare word less often.
 SLICE_BYTES = 1_500_000
 #: Weight of the estimate from the last two ids beside counts of three.
@@ -75,6 +77,21 @@ def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(_LOWER[data[at]])])
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What np.unique gives of hashes (sorted, where each stands first, each one's number): places are sorted along in the low bits, and hashes that agree in all others are noticed."""
+    bits = np.uint64(len(h).bit_length())
+    places = np.sort((h >> bits << bits) | np.arange(len(h), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))
+    order = places.astype(np.int64)
+    ordered = h[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        return np.unique(h, return_index=True, return_inverse=True)
+    new = np.ones(len(h), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(hash, word, n) over all texts: how often in training texts, 0 for words that only others hold."""
 
@@ -84,12 +101,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
             learnt = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in texthash.text_slices(batch.column(0), SLICE_BYTES):
                 starts, ends, upto = texthash.word_spans(data, offsets)
-                h, first, which = np.unique(texthash.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+                h, first, which = _distinct(texthash.span_hashes(data, starts, ends))
                 hashes.append(h)
                 counts.append(np.bincount(which, np.repeat(learnt[lo:hi], np.diff(upto)), len(h)))
                 words.append(_gather(data, starts[first], ends[first]))
             if hashes:
-                h, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+                h, first, which = _distinct(np.concatenate(hashes))
                 n = np.bincount(which, np.concatenate(counts)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.concat_arrays(words).take(pa.array(first)), pa.array(n)], ["hash", "word", "n"])
 
@@ -124,22 +141,20 @@ class Pieces:
         return np.fromiter(chain.from_iterable(runs), np.int32, int(bounds[-1])), bounds
 
 
-#: A number times _UNIT, plus _ZERO, as an integer, is nearly the pattern of its exponential as a float.
-_UNIT, _ZERO = np.float32((1 << 23) / np.log(2)), np.float32((127 << 23) - 366_000)
-
-
-def _exp(scaled: np.ndarray) -> np.ndarray:
-    """A power of two that is linear between whole exponents, within 3 % of exp, of x * _UNIT + _ZERO.
-
-    Chances are shares of such weights, so that they sum to 1 whatever the weights.
-    """
-    return scaled.astype(np.int32).view(np.float32)
-
-
-#: Logits beyond these would leave it.
-_LOW, _HIGH = -80 * _UNIT + _ZERO, 80 * _UNIT + _ZERO
+#: Logits are natural logarithms: the exponential takes them as they are, without a unit or a zero of its own.
+_UNIT, _ZERO = np.float32(1), np.float32(0)
+_exp = np.exp
+#: Exponentials of logits within this, and their sums, are in the range of floats.
+_RANGE = 80.0
 _APART = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
 _CAUSAL = np.tri(WINDOW, dtype=np.float32)
+_UNSEEN = np.where(_CAUSAL > 0, np.float32(0), np.float32(-np.inf))
+
+
+def _within_range(logits: np.ndarray, bound: float) -> None:
+    """Lowers rows by their largest logit, which leaves their softmax as it is, where `bound` on any logit does not rule out that exponentials leave the range of floats."""
+    if not bound < _RANGE and not (logits.max() < _RANGE and logits.min() > -_RANGE):
+        logits -= logits.max(1, keepdims=True)
 
 
 @dataclass
@@ -208,12 +223,12 @@ class Model:
         goal[inside] = self.goal[codes]
         return context, goal, base
 
-    def scaled(self) -> np.ndarray:
-        """`after` in the units of _exp, padding sure of class 0."""
-        table = self.after * _UNIT + _ZERO
-        table[PAD] = -30 * _UNIT + _ZERO
-        table[PAD, 0] = _ZERO
-        return table.astype(np.float32)
+    def logits(self) -> np.ndarray:
+        """`after`, padding sure of class 0."""
+        table = self.after.astype(np.float32)
+        table[PAD] = -30
+        table[PAD, 0] = 0
+        return table
 
     def class_sums(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log P of the classes of each text's ids and of its end."""
@@ -223,10 +238,12 @@ class Model:
         context, goal, base = self.stream(codes, n)
         half, pad = WINDOW // 2, len(context) - 1
         key_value = w["embed"] @ np.hstack([w["k"], w["v"]])
-        query_gate = w["embed"] @ np.hstack([w["q"] * _UNIT, w["gate"]])
+        key_value = np.hstack([key_value, np.ones((len(key_value), 1), np.float32)])  # the last column sums the weights
+        query_gate = w["embed"] @ np.hstack([w["q"], w["gate"]])
         query_gate[:, DIM:] += 1
-        out, after = w["out"] * _UNIT, self.scaled()
-        bias = w["near"][_APART] * _UNIT + _ZERO
+        out, after = np.ascontiguousarray(w["out"]), self.logits()
+        reach, highest = np.abs(out).sum(0).max(), np.abs(after).max()
+        bias = w["near"][_APART] + _UNSEEN
         value = np.zeros(len(context))
         per_text = -(-(n + 1) // half)
         text = np.repeat(np.arange(len(n)), per_text)
@@ -236,25 +253,26 @@ class Model:
             which = np.flatnonzero((nth == 0) == opening)
             place = ((nth[which] - (not opening)) * half)[:, None] + np.arange(length)[None, :]
             flat = np.where(place < (n[text[which]] + 1)[:, None], base[text[which]][:, None] + place, pad)
-            near, mask = bias[length - half : length, :length], _CAUSAL[length - half : length, :length]
-            for at in range(0, len(flat), STEP):
-                part = flat[at : at + STEP]
+            near = bias[length - half : length, :length]
+            for at in range(0, len(flat), SIDE_BY_SIDE):
+                part = flat[at : at + SIDE_BY_SIDE]
                 goals = part[:, length - half :].ravel()
                 seen = context.take(part)
                 symbols = self.last.take(seen)
-                kv = key_value.take(symbols.ravel(), 0).reshape(len(part), length, 2 * DIM)
+                kv = key_value.take(symbols.ravel(), 0).reshape(len(part), length, 2 * DIM + 1)
                 qg = query_gate.take(symbols[:, length - half :].ravel(), 0).reshape(len(part), half, 2 * DIM)
                 weight = np.matmul(qg[..., :DIM], kv[..., :DIM].transpose(0, 2, 1))
                 weight += near
-                weight = _exp(weight)
-                weight *= mask
+                np.exp(weight, out=weight)
                 mixed = np.matmul(weight, kv[..., DIM:])
-                mixed *= (1 / (weight @ np.ones(length, np.float32)))[..., None]
-                mixed *= qg[..., DIM:]
-                logits = mixed.reshape(-1, DIM) @ out
+                gated = mixed[..., :DIM] / mixed[..., DIM:]
+                gated *= qg[..., DIM:]
+                logits = gated.reshape(-1, DIM) @ out
                 logits += after.take(seen[:, length - half :].ravel(), 0)
-                chance = _exp(np.clip(logits, _LOW, _HIGH, out=logits))
-                value[goals] = np.log(chance[np.arange(len(goals)), goal.take(goals)] / (chance @ np.ones(CLASSES, np.float32)))
+                _within_range(logits, np.abs(gated).max() * reach + highest)
+                chosen = logits[np.arange(len(goals)), goal.take(goals)]
+                np.exp(logits, out=logits)
+                value[goals] = chosen - np.log(logits @ np.ones(CLASSES, np.float32))
         value[pad] = 0
         return np.add.reduceat(value[:-1], base)
 
@@ -270,16 +288,17 @@ class Trainer:
     """The layer under training, by steps of falling gradients scaled by their running size; buffers are used again in every step."""
 
     def __init__(self, model: Model, rate: float) -> None:
-        self.model, self.rate, self.after, self.seen = model, np.float32(rate), model.scaled(), 0
+        self.model, self.rate, self.after, self.seen = model, np.float32(rate), model.logits(), 0
+        self.highest = np.abs(self.after).max()
         self.layer = {k: v.copy() for k, v in model.layer.items()}
         self.sizes = {k: np.full_like(v, 1e-10 if k == "embed" else 1e-6) for k, v in self.layer.items()}
         self.buffers: dict[tuple, np.ndarray] = {}
         self.later: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def _buffer(self, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+    def _buffer(self, name: str, *shape: int) -> np.ndarray:
         key = (name, *shape)
         if key not in self.buffers:
-            self.buffers[key] = np.empty(shape, kind)
+            self.buffers[key] = np.empty(shape, np.float32)
         return self.buffers[key]
 
     def learn(self, codes: np.ndarray, n: np.ndarray, seed: int) -> None:
@@ -308,31 +327,30 @@ class Trainer:
         parts = np.matmul(x, inward, out=buffer("parts", total, 4 * DIM)).reshape(many, WINDOW, 4 * DIM)
         q, k, v = parts[..., :DIM], parts[..., DIM : 2 * DIM], parts[..., 2 * DIM : 3 * DIM]
         gate = np.add(parts[..., 3 * DIM :], 1, out=buffer("gate", many, WINDOW, DIM))
-        scores = np.matmul(np.multiply(q, _UNIT, out=buffer("scaled", many, WINDOW, DIM)), k.transpose(0, 2, 1), out=buffer("scores", many, WINDOW, WINDOW))
-        scores += w["near"][_APART] * _UNIT + _ZERO
-        whole = buffer("weight", many, WINDOW, WINDOW, kind=np.int32)
-        np.copyto(whole, scores, casting="unsafe")
-        weight = whole.view(np.float32)
-        weight *= _CAUSAL
-        sums = np.matmul(weight, np.ones(WINDOW, np.float32), out=buffer("sums", many, WINDOW))
-        weight *= np.divide(1, sums, out=sums)[..., None]
-        mixed = np.matmul(weight, v, out=buffer("mixed", many, WINDOW, DIM))
+        valued = buffer("valued", many, WINDOW, DIM + 1)  # the last column sums the weights
+        valued[..., :DIM], valued[..., DIM] = v, 1
+        weight = np.matmul(q, k.transpose(0, 2, 1), out=buffer("weight", many, WINDOW, WINDOW))
+        weight += w["near"][_APART] + _UNSEEN
+        np.exp(weight, out=weight)
+        summed = np.matmul(weight, valued, out=buffer("summed", many, WINDOW, DIM + 1))
+        share = 1 / summed[..., DIM:]
+        mixed = np.multiply(summed[..., :DIM], share, out=buffer("mixed", many, WINDOW, DIM))
         gated = np.multiply(mixed, gate, out=buffer("gated", many, WINDOW, DIM)).reshape(total, DIM)
         logits = self.after.take(context, 0, out=buffer("logits", total, CLASSES), mode="clip")
-        product = np.matmul(gated, w["out"] * _UNIT, out=buffer("product", total, CLASSES))
-        logits += product
-        whole = product.view(np.int32)
-        np.copyto(whole, np.clip(logits, _LOW, _HIGH, out=logits), casting="unsafe")
-        g = whole.view(np.float32)  # chances, then their differences from the goals
+        logits += np.matmul(gated, w["out"], out=buffer("product", total, CLASSES))
+        _within_range(logits, np.abs(gated).max() * np.abs(w["out"]).sum(0).max() + self.highest)
+        g = np.exp(logits, out=logits)  # chances, then their differences from the goals
         g *= (1 / (g @ np.ones(CLASSES, np.float32)))[:, None]
         g[np.arange(total), goal] -= 1
         grad = {"out": gated.T @ g}
         g_gated = np.matmul(g, np.ascontiguousarray(w["out"].T), out=buffer("g_gated", total, DIM)).reshape(many, WINDOW, DIM)
         g_parts = buffer("g_parts", many, WINDOW, 4 * DIM)
         np.multiply(g_gated, mixed, out=g_parts[..., 3 * DIM :])
-        g_mixed = np.multiply(g_gated, gate, out=gate)
-        g_weight = np.matmul(g_mixed, v.transpose(0, 2, 1), out=scores)
-        g_weight -= np.einsum("bwd,bwd->bw", g_mixed, mixed)[..., None]
+        # of the weights before they are divided by their sum
+        g_summed = buffer("g_summed", many, WINDOW, DIM + 1)
+        g_mixed = np.multiply(np.multiply(g_gated, gate, out=gate), share, out=g_summed[..., :DIM])
+        np.negative((g_mixed * mixed) @ np.ones(DIM, np.float32), out=g_summed[..., DIM])
+        g_weight = np.matmul(g_summed, valued.transpose(0, 2, 1), out=buffer("g_weight", many, WINDOW, WINDOW))
         np.matmul(weight.transpose(0, 2, 1), g_mixed, out=g_parts[..., 2 * DIM : 3 * DIM])
         g_weight *= weight
         np.matmul(g_weight, k, out=g_parts[..., :DIM])
@@ -352,9 +370,10 @@ class Trainer:
 
     def move_vectors(self) -> None:
         symbols = np.concatenate([s for s, _ in self.later])
-        columns = np.ascontiguousarray(np.concatenate([g for _, g in self.later]).T)
+        cells = symbols.astype(np.int64)[:, None] * EMBED + np.arange(EMBED)
+        sums = np.bincount(cells.ravel(), np.concatenate([g for _, g in self.later]).ravel(), (KEPT + 3) * EMBED)
         self.later.clear()
-        self._move("embed", np.stack([np.bincount(symbols, c, KEPT + 3) for c in columns], axis=1) / len(symbols))
+        self._move("embed", sums.reshape(KEPT + 3, EMBED) / len(symbols))
         embed = self.layer["embed"]
         embed *= np.minimum(1, _LENGTH / np.maximum(np.sqrt(np.einsum("sd,sd->s", embed, embed)), 1e-9)).astype(np.float32)[:, None]
 
@@ -585,7 +604,7 @@ class Reader:
     def read(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """(distinct words' hashes, their places in the table or -1, each word's distinct number, words up to each text, contexts after the ids, ids up to each text)."""
         starts, ends, upto = texthash.word_spans(data, offsets)
-        h, first, which = np.unique(texthash.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        h, first, which = _distinct(texthash.span_hashes(data, starts, ends))
         at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
         known = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
         rare = np.flatnonzero(~known)

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from lodestone.llm import attention
+from tests.llm.test_quality_urls_lm_warc import counted
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -34,3 +35,49 @@ def test_scores_do_not_follow_the_partitions(spark, monkeypatch):
         made.append(sorted((r["doc_id"], r["n_tokens"], r["base_score"], r["score"]) for r in attention.scored(frame).collect()))
     for a, b in zip(*made, strict=True):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 * a[1] and abs(a[3] - b[3]) < 1e-4 * a[1]
+
+
+def by_softmax(model, codes):
+    """(log P of the classes of a text of at most a window, what multiplies `out`, chances less goals) in double precision, by the softmax as it is written."""
+    context, goal, _ = model.stream(codes, np.array([len(codes)]))
+    context, goal, w = context[:-1], goal[:-1], {k: v.astype(float) for k, v in model.layer.items()}
+    x, here = w["embed"][model.last[context]], np.arange(len(context))
+    scores = (x @ w["q"]) @ (x @ w["k"]).T + w["near"][np.maximum(here[:, None] - here[None, :], 0)]
+    scores[here[:, None] < here[None, :]] = -np.inf
+    weight = np.exp(scores - scores.max(1, keepdims=True))
+    gated = weight @ (x @ w["v"]) / weight.sum(1, keepdims=True) * (1 + x @ w["gate"])
+    logits = gated @ w["out"] + model.after[context]
+    logs = logits - logits.max(1, keepdims=True)
+    logs -= np.log(np.exp(logs).sum(1, keepdims=True))
+    off = np.exp(logs)
+    off[here, goal] -= 1
+    return logs[here, goal].sum(), gated, off
+
+
+def test_classes_are_judged_by_a_true_softmax():
+    # `wide` takes logits out of the range in which a float holds their exponentials
+    for wide in (1.0, 400.0):
+        _, model, ids, _ = counted()
+        rng = np.random.RandomState(4)
+        model.layer = {k: (v + rng.standard_normal(v.shape) * 0.2).astype(np.float32) for k, v in model.layer.items()}
+        model.layer["out"] *= np.float32(wide)
+        codes = np.tile(model.symbol[ids], 4)[: attention.WINDOW - 1].astype(np.uint16)
+        value, gated, off = by_softmax(model, codes)
+        assert wide == 1 or np.abs(gated @ model.layer["out"]).max() > 100
+        # the second half of a window sees all of it, the first half its own: together the text is one window
+        assert abs(model.class_sums(codes, np.array([len(codes)]))[0] - value) < 2e-5 * abs(value)
+        trainer, seen = attention.Trainer(model, 0.0), {}
+        trainer._move = lambda name, d, seen=seen: seen.__setitem__(name, d)
+        context, goal, _ = model.stream(codes, np.array([len(codes)]))
+        trainer.step(context[None, :-1], goal[:-1])
+        want = gated.T @ off / len(off)
+        assert np.abs(seen["out"] - want).max() < 1e-4 * np.abs(want).max()
+
+
+def test_distinct_hashes_are_those_of_unique():
+    rng = np.random.RandomState(2)
+    spread = rng.randint(0, 300, 5000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    # the last ones agree in all but the low bits, where places are kept
+    for h in (spread, spread[:1], spread[:0], rng.randint(0, 40, 1000).astype(np.uint64)):
+        for got, want in zip(attention._distinct(h), np.unique(h, return_index=True, return_inverse=True), strict=True):
+            assert (got == want).all() and len(got) == len(want)
