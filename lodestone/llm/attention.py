@@ -52,7 +52,7 @@ BLOCK_IDS = 6_000_000
 #: Windows of a training step, steps to a change of the ids' vectors, and ids whose windows are laid out together.
 STEP, LATER, LAID = 64, 4, 1 << 19
 #: Windows that are scored together; scores do not depend on it.
-SIDE_BY_SIDE = 128
+SIDE_BY_SIDE = 256
 #: Bytes of text that are read together: larger slices tokenize a rare word less often.
 SLICE_BYTES = 1_500_000
 #: Weight of the estimate from the last two ids beside counts of three.
@@ -148,9 +148,15 @@ _exp = np.exp
 _RANGE = 80.0
 _APART = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
 _CAUSAL = np.tri(WINDOW, dtype=np.float32)
+_ONES = np.ones(max(WINDOW, CLASSES, DIM), np.float32)
 _UNSEEN = np.where(_CAUSAL > 0, np.float32(0), np.float32(-np.inf))
 
 
+def _over(sums: np.ndarray, width: int) -> np.ndarray:
+    """1 / sums in `width` columns: rows are scaled faster by a whole table than by one number each."""
+    return np.dot((1 / sums)[:, None], _ONES[None, :width])
+
+
 def _within_range(logits: np.ndarray, bound: float) -> None:
     """Lowers rows by their largest logit, which leaves their softmax as it is, where `bound` on any logit does not rule out that exponentials leave the range of floats."""
     if not bound < _RANGE and not (logits.max() < _RANGE and logits.min() > -_RANGE):
@@ -237,14 +243,13 @@ class Model:
         w = self.layer
         context, goal, base = self.stream(codes, n)
         half, pad = WINDOW // 2, len(context) - 1
-        key_value = w["embed"] @ np.hstack([w["k"], w["v"]])
-        key_value = np.hstack([key_value, np.ones((len(key_value), 1), np.float32)])  # the last column sums the weights
-        query_gate = w["embed"] @ np.hstack([w["q"], w["gate"]])
-        query_gate[:, DIM:] += 1
+        query, key, valued, gate = (w["embed"] @ w[name] for name in _INWARD)
+        gate += 1
         out, after = np.ascontiguousarray(w["out"]), self.logits()
         reach, highest = np.abs(out).sum(0).max(), np.abs(after).max()
         bias = w["near"][_APART] + _UNSEEN
         value = np.zeros(len(context))
+        sums, product = np.empty((2, SIDE_BY_SIDE * half, CLASSES), np.float32)
         per_text = -(-(n + 1) // half)
         text = np.repeat(np.arange(len(n)), per_text)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
@@ -254,25 +259,26 @@ class Model:
             place = ((nth[which] - (not opening)) * half)[:, None] + np.arange(length)[None, :]
             flat = np.where(place < (n[text[which]] + 1)[:, None], base[text[which]][:, None] + place, pad)
             near = bias[length - half : length, :length]
+            weights = np.empty((SIDE_BY_SIDE, half, length), np.float32)
             for at in range(0, len(flat), SIDE_BY_SIDE):
                 part = flat[at : at + SIDE_BY_SIDE]
                 goals = part[:, length - half :].ravel()
                 seen = context.take(part)
                 symbols = self.last.take(seen)
-                kv = key_value.take(symbols.ravel(), 0).reshape(len(part), length, 2 * DIM + 1)
-                qg = query_gate.take(symbols[:, length - half :].ravel(), 0).reshape(len(part), half, 2 * DIM)
-                weight = np.matmul(qg[..., :DIM], kv[..., :DIM].transpose(0, 2, 1))
+                ends = symbols[:, length - half :].ravel()
+                k, v = (t.take(symbols.ravel(), 0).reshape(len(part), length, DIM) for t in (key, valued))
+                weight = np.matmul(query.take(ends, 0).reshape(len(part), half, DIM), k.transpose(0, 2, 1), out=weights[: len(part)])
                 weight += near
                 np.exp(weight, out=weight)
-                mixed = np.matmul(weight, kv[..., DIM:])
-                gated = mixed[..., :DIM] / mixed[..., DIM:]
-                gated *= qg[..., DIM:]
-                logits = gated.reshape(-1, DIM) @ out
-                logits += after.take(seen[:, length - half :].ravel(), 0)
-                _within_range(logits, np.abs(gated).max() * reach + highest)
-                chosen = logits[np.arange(len(goals)), goal.take(goals)]
+                gated = np.matmul(weight, v).reshape(-1, DIM)
+                gated *= gate.take(ends, 0)
+                gated *= _over(weight.reshape(-1, length) @ _ONES[:length], DIM)
+                logits = after.take(seen[:, length - half :].ravel(), 0, out=sums[: len(goals)], mode="clip")
+                logits += np.matmul(gated, out, out=product[: len(goals)])
+                _within_range(logits, max(gated.max(), -gated.min()) * reach + highest)
+                chosen = logits.ravel().take(np.arange(0, logits.size, CLASSES) + goal.take(goals))
                 np.exp(logits, out=logits)
-                value[goals] = chosen - np.log(logits @ np.ones(CLASSES, np.float32))
+                value[goals] = chosen - np.log(logits @ _ONES[:CLASSES])
         value[pad] = 0
         return np.add.reduceat(value[:-1], base)
 
@@ -281,7 +287,9 @@ def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (a.astype(np.int64) * (KEPT + 3) + b) * (KEPT + 3) + c
 
 
-_LAYER = ("embed", "q", "k", "v", "gate", "out", "near")
+_INWARD = ("q", "k", "v", "gate")
+_MATRICES = (*_INWARD, "out", "near")
+_LAYER = ("embed", *_MATRICES)
 
 
 class Trainer:
@@ -290,11 +298,18 @@ class Trainer:
     def __init__(self, model: Model, rate: float) -> None:
         self.model, self.rate, self.after, self.seen = model, np.float32(rate), model.logits(), 0
         self.highest = np.abs(self.after).max()
-        self.layer = {k: v.copy() for k, v in model.layer.items()}
-        self.sizes = {k: np.full_like(v, 1e-10 if k == "embed" else 1e-6) for k, v in self.layer.items()}
+        # the matrices are parts of one run of numbers, and so are their gradients
+        self.matrices = np.concatenate([model.layer[k].ravel() for k in _MATRICES])
+        self.gradients, self.matrix_sizes = np.zeros_like(self.matrices), np.full_like(self.matrices, 1e-6)
+        self.layer, self.gradient_of = ({k: p.reshape(model.layer[k].shape) for k, p in zip(_MATRICES, self._parts(run), strict=True)} for run in (self.matrices, self.gradients))
+        self.layer["embed"] = model.layer["embed"].copy()
+        self.vector_sizes = np.full_like(self.layer["embed"], 1e-10)
         self.buffers: dict[tuple, np.ndarray] = {}
         self.later: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def _parts(self, run: np.ndarray) -> list[np.ndarray]:
+        return np.split(run, np.cumsum([self.model.layer[k].size for k in _MATRICES])[:-1])
+
     def _buffer(self, name: str, *shape: int) -> np.ndarray:
         key = (name, *shape)
         if key not in self.buffers:
@@ -323,66 +338,74 @@ class Trainer:
         context = context.ravel()
         symbols = self.model.last.take(context)
         x = w["embed"].take(symbols, 0, out=buffer("x", total, EMBED), mode="clip")
-        inward = np.hstack([w[k] for k in ("q", "k", "v", "gate")])
-        parts = np.matmul(x, inward, out=buffer("parts", total, 4 * DIM)).reshape(many, WINDOW, 4 * DIM)
-        q, k, v = parts[..., :DIM], parts[..., DIM : 2 * DIM], parts[..., 2 * DIM : 3 * DIM]
-        gate = np.add(parts[..., 3 * DIM :], 1, out=buffer("gate", many, WINDOW, DIM))
-        valued = buffer("valued", many, WINDOW, DIM + 1)  # the last column sums the weights
-        valued[..., :DIM], valued[..., DIM] = v, 1
+        q, k, v, gate = (np.matmul(x, w[name], out=buffer(name, total, DIM)).reshape(many, WINDOW, DIM) for name in _INWARD)
+        gate += 1
         weight = np.matmul(q, k.transpose(0, 2, 1), out=buffer("weight", many, WINDOW, WINDOW))
         weight += w["near"][_APART] + _UNSEEN
         np.exp(weight, out=weight)
-        summed = np.matmul(weight, valued, out=buffer("summed", many, WINDOW, DIM + 1))
-        share = 1 / summed[..., DIM:]
-        mixed = np.multiply(summed[..., :DIM], share, out=buffer("mixed", many, WINDOW, DIM))
+        rows = weight.reshape(total, WINDOW)
+        rows *= _over(rows @ _ONES[:WINDOW], WINDOW)
+        mixed = np.matmul(weight, v, out=buffer("mixed", many, WINDOW, DIM))
         gated = np.multiply(mixed, gate, out=buffer("gated", many, WINDOW, DIM)).reshape(total, DIM)
         logits = self.after.take(context, 0, out=buffer("logits", total, CLASSES), mode="clip")
         logits += np.matmul(gated, w["out"], out=buffer("product", total, CLASSES))
-        _within_range(logits, np.abs(gated).max() * np.abs(w["out"]).sum(0).max() + self.highest)
+        _within_range(logits, max(gated.max(), -gated.min()) * np.abs(w["out"]).sum(0).max() + self.highest)
         g = np.exp(logits, out=logits)  # chances, then their differences from the goals
-        g *= (1 / (g @ np.ones(CLASSES, np.float32)))[:, None]
-        g[np.arange(total), goal] -= 1
-        grad = {"out": gated.T @ g}
+        g *= _over(g @ _ONES[:CLASSES], CLASSES)
+        g.ravel()[np.arange(0, total * CLASSES, CLASSES) + goal] -= 1
+        self._move("out", (g.T @ gated).T / total)
         g_gated = np.matmul(g, np.ascontiguousarray(w["out"].T), out=buffer("g_gated", total, DIM)).reshape(many, WINDOW, DIM)
         g_parts = buffer("g_parts", many, WINDOW, 4 * DIM)
         np.multiply(g_gated, mixed, out=g_parts[..., 3 * DIM :])
-        # of the weights before they are divided by their sum
-        g_summed = buffer("g_summed", many, WINDOW, DIM + 1)
-        g_mixed = np.multiply(np.multiply(g_gated, gate, out=gate), share, out=g_summed[..., :DIM])
-        np.negative((g_mixed * mixed) @ np.ones(DIM, np.float32), out=g_summed[..., DIM])
-        g_weight = np.matmul(g_summed, valued.transpose(0, 2, 1), out=buffer("g_weight", many, WINDOW, WINDOW))
+        g_mixed = np.multiply(g_gated, gate, out=g_gated)
+        g_weight = np.matmul(g_mixed, v.transpose(0, 2, 1), out=buffer("g_weight", many, WINDOW, WINDOW))
         np.matmul(weight.transpose(0, 2, 1), g_mixed, out=g_parts[..., 2 * DIM : 3 * DIM])
+        g_weight -= (np.multiply(g_mixed, mixed, out=mixed) @ _ONES[:DIM])[..., None]  # weights of a position sum to 1
         g_weight *= weight
         np.matmul(g_weight, k, out=g_parts[..., :DIM])
         np.matmul(g_weight.transpose(0, 2, 1), q, out=g_parts[..., DIM : 2 * DIM])
-        grad["near"] = np.bincount(_APART.ravel(), (g_weight.sum(0) * _CAUSAL).ravel(), WINDOW)
+        self._move("near", np.bincount(_APART.ravel(), (g_weight.sum(0) * _CAUSAL).ravel(), WINDOW) / total)
         flat = g_parts.reshape(total, 4 * DIM)
-        grad["q"], grad["k"], grad["v"], grad["gate"] = np.split(x.T @ flat, 4, axis=1)
-        self.later.append((symbols, flat @ np.ascontiguousarray(inward.T)))
-        for name, d in grad.items():
-            self._move(name, d / total)
-            if name in ("q", "k", "v", "gate"):
-                w[name] *= np.float32(min(1.0, _MOST / max(float(np.linalg.norm(w[name])), 1e-9)))
-            else:
-                np.clip(w[name], -4, 4, out=w[name])
+        inward = x.T @ flat / total
+        for at, name in enumerate(_INWARD):
+            self._move(name, inward[:, at * DIM : (at + 1) * DIM])
+        self.later.append((symbols, np.hstack([w[name] for name in _INWARD]) @ flat.T))
+        self.move_matrices()
         if len(self.later) == LATER:
             self.move_vectors()
 
+    def move_matrices(self) -> None:
+        """The step of all matrices by the gradients that `_move` has kept for them."""
+        self._fall(self.matrices, self.matrix_sizes, self.gradients, 0.99, 1e-6)
+        inward = self.matrices[: len(_INWARD) * EMBED * DIM].reshape(len(_INWARD), -1)
+        inward *= np.minimum(1, _MOST / np.maximum(np.sqrt(np.einsum("md,md->m", inward, inward)), 1e-9)).astype(np.float32)[:, None]
+        others = self.matrices[inward.size :]
+        np.minimum(np.maximum(others, -4, out=others), 4, out=others)
+
     def move_vectors(self) -> None:
-        symbols = np.concatenate([s for s, _ in self.later])
-        cells = symbols.astype(np.int64)[:, None] * EMBED + np.arange(EMBED)
-        sums = np.bincount(cells.ravel(), np.concatenate([g for _, g in self.later]).ravel(), (KEPT + 3) * EMBED)
+        symbols = np.concatenate([s for s, _ in self.later]).astype(np.int64)
+        sums = np.stack([np.bincount(symbols, g, KEPT + 3) for g in np.concatenate([g for _, g in self.later], 1)], 1)
         self.later.clear()
-        self._move("embed", sums.reshape(KEPT + 3, EMBED) / len(symbols))
+        self._move("embed", sums / len(symbols))
         embed = self.layer["embed"]
         embed *= np.minimum(1, _LENGTH / np.maximum(np.sqrt(np.einsum("sd,sd->s", embed, embed)), 1e-9)).astype(np.float32)[:, None]
 
     def _move(self, name: str, gradient: np.ndarray) -> None:
-        d, size = gradient.astype(np.float32), self.sizes[name]
-        keep = np.float32(0.97 if name == "embed" else 0.99)
-        size *= keep
-        size += (1 - keep) * d * d
-        self.layer[name] -= self.rate * d / (np.sqrt(size) + np.float32(1e-7 if name == "embed" else 1e-6))
+        if name == "embed":
+            self._fall(self.layer[name], self.vector_sizes, gradient.astype(np.float32), 0.97, 1e-7)
+        else:
+            self.gradient_of[name][...] = gradient
+
+    def _fall(self, values: np.ndarray, sizes: np.ndarray, gradient: np.ndarray, keep: float, least: float) -> None:
+        change = gradient * gradient
+        change *= np.float32(1) - np.float32(keep)
+        sizes *= np.float32(keep)
+        sizes += change
+        np.sqrt(sizes, out=change)
+        change += np.float32(least)
+        np.divide(gradient, change, out=change)
+        change *= self.rate
+        values -= change
 
 
 def embedding(follow: np.ndarray) -> np.ndarray:

@@ -15,22 +15,24 @@ import pyarrow as pa
 
 #: Texts are worked on in slices of about this many bytes, so temporaries stay near 50 MB.
 SLICE_BYTES = 750_000
+#: Bytes that are looked up together; their places take eight bytes each.
+_PART = 1 << 14
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+def _byte_values() -> np.ndarray:
     byte_value = np.random.RandomState(20240607).randint(0, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     byte_value[65:91] = byte_value[97:123]
-    space = np.zeros(256, bool)
-    space[[32, 9, 10, 11, 12, 13]] = True
-    return byte_value, space
+    return byte_value
 
 
-BYTE_VALUE, SPACE = _tables()
+BYTE_VALUE = _byte_values()
 _POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The running sums of a slice, in memory that is used again: large arrays made anew cost as much as the sums.
+_SUMS: list[np.ndarray] = [np.zeros(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,8 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, words up to each text) of all words of a slice; a word never crosses a text's end."""
-    word = ~SPACE[data]
+    word = data != 32
+    word &= data - np.uint8(9) > 4  # below 9 wraps round
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -93,8 +96,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * power[:-1], out=sums[1:])
+    if len(_SUMS[0]) <= len(data):
+        _SUMS[0] = np.zeros(len(data) + 1, np.uint64)
+    sums = _SUMS[0][: len(data) + 1]  # the first stays 0
+    for at in range(0, len(data), _PART):
+        part = sums[at + 1 : at + _PART + 1]
+        BYTE_VALUE.take(data[at : at + _PART], out=part, mode="clip")
+        part *= power[at : at + len(part)]
+    np.cumsum(sums, out=sums)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _MUL)
 
 

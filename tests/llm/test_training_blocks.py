@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
-from lodestone.llm import attention
+from lodestone.llm import attention, texthash
 from tests.llm.test_quality_urls_lm_warc import counted
 
 DOCS = "doc_id long, text string, lang string"
@@ -81,3 +83,50 @@ def test_distinct_hashes_are_those_of_unique():
     for h in (spread, spread[:1], spread[:0], rng.randint(0, 40, 1000).astype(np.uint64)):
         for got, want in zip(attention._distinct(h), np.unique(h, return_index=True, return_inverse=True), strict=True):
             assert (got == want).all() and len(got) == len(want)
+
+
+def test_matrices_fall_together_as_each_would_alone():
+    _, model, ids, _ = counted()
+    rng = np.random.RandomState(4)
+    # matrices at and beyond their bounds
+    model.layer = {k: v if k == "embed" else (v + rng.standard_normal(v.shape) * 0.25).astype(np.float32) for k, v in model.layer.items()}
+    model.layer["near"] += 3.99
+    codes = np.tile(model.symbol[ids], 4)[: attention.WINDOW - 1].astype(np.uint16)
+    context, goal, _ = model.stream(codes, np.array([len(codes)]))
+    trainer, calls = attention.Trainer(model, 0.05), []
+    fall = trainer._fall
+    trainer._fall = lambda *a: (calls.append(len(a[0])), fall(*a))
+    alone = {k: (v.astype(float), np.full(v.shape, 1e-6)) for k, v in model.layer.items() if k != "embed"}
+    for _ in range(3):
+        trainer.step(context[None, :-1], goal[:-1])
+        for k, (value, size) in alone.items():
+            d = trainer.gradient_of[k].astype(float)
+            size[...] = 0.99 * size + 0.01 * d * d
+            value -= 0.05 * d / (np.sqrt(size) + 1e-6)
+            value[...] = value * min(1.0, attention._MOST / np.linalg.norm(value)) if k in ("q", "k", "v", "gate") else value.clip(-4, 4)
+            assert np.abs(trainer.layer[k] - value).max() < 1e-3, k
+    assert len(calls) == 3 and (trainer.layer["embed"] == model.layer["embed"]).all()
+    trainer.move_vectors()
+    assert len(calls) == 4 and (trainer.layer["embed"] != model.layer["embed"]).any()
+    assert all((model.layer[k] != trainer.layer[k]).any() for k in attention._LAYER)
+
+
+def test_hashes_of_a_slice_take_no_new_memory_by_the_byte():
+    data = np.frombuffer(b"some words of a text " * 20_000, np.uint8)
+    starts, ends, _ = texthash.word_spans(data, np.array([0, len(data)]))
+    starts, ends = starts[:100], ends[:100]
+    first = texthash.span_hashes(data, starts, ends)
+    tracemalloc.start()
+    again = texthash.span_hashes(data, starts, ends)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < len(data) and (first == again).all()
+    # a smaller slice after a larger one, and the larger one after it
+    assert (texthash.span_hashes(data[:2100], starts, ends) == first).all() and (texthash.span_hashes(data, starts, ends) == first).all()
+
+
+def test_words_among_all_bytes():
+    data = bytes(b for a in range(256) for b in (a, 97, a, a, 98))
+    starts, ends, upto = texthash.word_spans(np.frombuffer(data, np.uint8), np.array([0, 640, 1280]))
+    want = [(m.start() + at, m.end() + at) for at in (0, 640) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data[at : at + 640])]
+    assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == want and upto[-1] == len(want)
