@@ -127,6 +127,14 @@ def test_shards_and_slots(spark):
     assert jump.sharded(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_sharding_hashes_ids_once_in_a_task(spark, tmp_path):
+    spark.createDataFrame(rows(), DOCS).write.parquet(f"{tmp_path}/docs")
+    made = jump.sharded(spark.read.parquet(f"{tmp_path}/docs"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # one for the rows, one for the counts of their cells, whose scans are stages of their own
+    assert len(re.findall("ArrowEvalPython", plan)) == 2
+
+
 def test_mixing_runs_no_python_on_executors(spark):
     text = mixing.mixed(spark.createDataFrame(rows(), DOCS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", text)
