@@ -5,6 +5,7 @@ import glob
 import gzip
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -169,6 +170,20 @@ def texts():
     return [*docs, (200, None, "x"), (201, "", "x"), (202, "unseenword " * 3, "x"), (None, "the of", "x"), docs[4], (203, "the " * 4000, "x")]
 
 
+def test_runs_of_many_urls_stay_off_the_driver(spark, monkeypatch):
+    draw = random.Random(5)
+    urls = [f"http://{'x.com/en' if i % 2 else 'example.com/en/7'}/" + "".join(draw.choices(urlmodel.PLAIN, k=60)) for i in range(2500)]
+    rows = spark.createDataFrame([(i, i % urlmodel.HELD_OUT, "block" if i % 2 else "allow", u) for i, u in enumerate(urls)], "id long, fold int, verdict string, url string")
+    taken = []
+    arrow = type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda df: taken.append((df.columns, (table := arrow(df)).num_rows)) or table)
+    differences = urlmodel.store(urlmodel._differences(urlmodel._counted(rows)))
+    assert differences.count() > 130_000  # 10 MB as counted
+    assert "strategy=broadcast" not in urlmodel._scored(rows, differences)._jdf.queryExecution().optimizedPlan().toString()
+    assert [columns for columns, n in taken if n > urlmodel.SYMBOLS * urlmodel.HELD_OUT] == [["run", "p"]]  # a row a short run, not one a short run and part
+    assert urlmodel._scored(rows, differences).count() == len(urls)
+
+
 def test_base_scores_as_brute_force(spark):
     rows = texts()
     table = {}
