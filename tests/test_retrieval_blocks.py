@@ -113,6 +113,44 @@ def test_similar_sets_of_all_sizes_and_shares(spark):
         assert got == {(a, b) for a, b in wanted if reps[b] == b and reps[a] == a or reps[b] == a}
 
 
+def near_copies(draw, families, copies, size):
+    sets = {}
+    for k in range(families):
+        first = [f"t{draw.randrange(4 * size)}" for _ in range(size)]
+        for _ in range(copies):
+            changed = set(first) ^ {f"t{draw.randrange(4 * size)}" for _ in range(draw.randrange(1 + size // 6))}
+            sets[len(sets)] = changed
+    return sets
+
+
+def test_similar_sets_in_cells_and_blocks(spark, monkeypatch):
+    for name, n in {"LARGE": 30, "CELL": 2000, "NAMED": 40, "BLOCK": 1500, "PAIRS": 50, "SKETCHED": 16}.items():
+        monkeypatch.setattr(sampling, name, n)
+    draw = random.Random(4)
+    sets = {}
+    for size in (12, 60, 300, 1500):
+        sets |= {len(sets) + i: {f"{size} {w}" for w in x} for i, x in near_copies(draw, 3, 20, size).items()}
+    wanted = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    reps = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    frame = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items() if x], "id long, items array<string>").repartition(3)
+    got = sorted(tuple(r) for r in sampling.similar_sets(frame, 80).collect())
+    assert got == sorted((a, b) for a, b in wanted if sets[a] and (reps[b] == b and reps[a] == a or reps[b] == a)) and len(got) > 500
+
+
+def test_similar_sets_store_few_pairs_and_each_set_once(spark, monkeypatch):
+    draw = random.Random(6)
+    sets = near_copies(draw, 1, 80, 40) | {100 + i: {f"t{draw.randrange(45)}" for _ in range(45)} for i in range(400)}
+    stored = []
+    store = sampling.store
+    monkeypatch.setattr(sampling, "store", lambda df: stored.append((df.columns, (out := store(df)).count())) or out)
+    frame = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, items array<string>")
+    found = sampling.similar_sets(frame, 80).count()
+    named = max(n for columns, n in stored if columns[:2] == ["x", "y"])
+    needed = [n for columns, n in stored if columns == ["of_cell", "of_i", "of_j", "rep"]]
+    assert found > 400 and named < 3 * found  # pairs are written after sketches were compared
+    assert needed and max(needed) <= len(sets)  # a set goes to its candidates' cell, not to each candidate
+
+
 def test_postings_are_counted_within_rows(spark, monkeypatch):
     docs = {1: "b a b, A _x", 2: "", 3: None, 4: "é e é"}
     made = retrieval.postings(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
